@@ -136,3 +136,8 @@ def xavg(c, over=None) -> Column:
     if over is not None:
         n = n.over(over)
     return F.try_divide(xsum(c, over), n.cast("double"))
+
+
+def round2(c) -> Column:
+    """Round to 2 decimals as round(x·100)/100 (half away from zero)."""
+    return F.round(col_or(c) * F.lit(100.0), 0) / F.lit(100.0)

@@ -60,3 +60,73 @@ def running_quantiles(df: DataFrame, keys, order: str, value: str, probs: dict[s
         return res
 
     return df.groupBy(*keys).applyInPandas(per_group, schema=schema)
+
+
+def exact_percentiles(df: DataFrame, value: str, probs, by=(), accuracy: int = 100_000,
+                      prefix: str = "q") -> DataFrame:
+    """Exact linear-interpolation percentiles of ``value`` per group, without one task holding a group.
+
+    Spark's exact ``percentile`` keeps every distinct value of a group in one
+    aggregation buffer, which does not survive a global quantile over
+    billions of rows.  This is exact in two distributed passes:
+
+    1. ``percentile_approx`` (rank error ≤ n/accuracy) gives, per wanted
+       rank, a bracket [lo, hi] that contains it;
+    2. one aggregation counts the rows below ``lo`` and collects only the
+       values inside the bracket (about 6·n/accuracy of them), from which
+       the two order statistics around the exact position are read.
+
+    A group whose bracket misses (possible only with heavy ties at its
+    edges) falls back to the built-in exact ``percentile`` for that group
+    alone; the fallback is a semi join on the missed groups, which AQE
+    prunes when there are none.  Values are ``NULL``/NaN-skipping.
+    Output: ``by`` columns, ``n`` and one column ``{prefix}{i}`` per prob.
+    """
+    from pyspark.sql import functions as F
+
+    from tillcast.operators.joins import maybe_broadcast
+
+    probs = [float(p) for p in probs]
+    by = list(by)
+    glob = not by
+    if glob:
+        by = ["_g"]
+        df = df.withColumn("_g", F.lit(0))
+    pad = 3.0 / accuracy
+    src = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+
+    br = src.groupBy(*by).agg(
+        F.count("_v").alias("n"),
+        F.percentile_approx("_v", [max(0.0, p - pad) for p in probs], accuracy).alias("_lo"),
+        F.percentile_approx("_v", [min(1.0, p + pad) for p in probs], accuracy).alias("_hi"),
+    )
+    joined = src.join(F.broadcast(br) if glob else maybe_broadcast(br), on=by, how="inner")
+    aggs = [F.first("n").alias("n")]
+    for i in range(len(probs)):
+        lo, hi = F.col("_lo")[i], F.col("_hi")[i]
+        aggs.append(F.count_if(F.col("_v") < lo).alias(f"_below{i}"))
+        aggs.append(F.sort_array(F.collect_list(F.when((F.col("_v") >= lo) & (F.col("_v") <= hi), F.col("_v"))))
+                    .alias(f"_in{i}"))
+    st = joined.groupBy(*by).agg(*aggs)
+
+    outs = []
+    for i, p in enumerate(probs):
+        pos = F.lit(p) * (F.col("n") - F.lit(1))
+        k0, k1 = F.floor(pos), F.ceil(pos)
+        frac = pos - k0
+        arr = F.col(f"_in{i}")
+        j0 = (k0 - F.col(f"_below{i}")).cast("int")
+        j1 = (k1 - F.col(f"_below{i}")).cast("int")
+        ok = (j0 >= 0) & (j1 < F.size(arr))
+        v0, v1 = F.element_at(arr, j0 + 1), F.element_at(arr, j1 + 1)
+        val = F.when(k0 == k1, v0).otherwise((F.lit(1.0) - frac) * v0 + frac * v1)
+        outs.append(F.when(ok, val).alias(f"{prefix}{i}"))
+    res = st.select(*by, "n", *outs)
+
+    missed = res.where(" OR ".join(f"{prefix}{i} IS NULL" for i in range(len(probs)))).select(*by)
+    fb = (src.join(F.broadcast(missed) if glob else missed, on=by, how="left_semi")
+          .groupBy(*by).agg(F.percentile("_v", probs).alias("_fb")))
+    res = res.join(fb, on=by, how="left").select(
+        *by, "n", *[F.coalesce(F.col(f"{prefix}{i}"), F.col("_fb")[i]).alias(f"{prefix}{i}") for i in range(len(probs))]
+    )
+    return res.drop("_g") if glob else res
