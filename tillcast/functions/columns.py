@@ -86,7 +86,14 @@ def round4(c) -> Column:
         m = F.lit(float(10 ** k))
         return F.round(x * m, 0) / m
 
-    return F.when(a >= 1e6, F.round(x, 0)).when(a >= 1e3, r(2)).when(a >= 1.0, r(4)).otherwise(r(6))
+    # "+ 0.0" turns a rounded -0.0 into 0.0 (IEEE), which both engines then print alike
+    return F.when(a >= 1e6, F.round(x, 0)).when(a >= 1e3, r(2)).when(a >= 1.0, r(4)).otherwise(r(6)) + F.lit(0.0)
+
+
+def round_fixed(c, k: int) -> Column:
+    """Round to k decimals as round(x·10^k)/10^k (+0.0 to drop the sign of zero)."""
+    m = F.lit(float(10 ** k))
+    return F.round(col_or(c) * m, 0) / m + F.lit(0.0)
 
 
 def bucket_right_closed(x, edges) -> Column:

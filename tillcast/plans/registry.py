@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillcast.functions.columns import round4
+from tillcast.functions.columns import round4, round_fixed
 
 
 @dataclass
@@ -39,17 +39,20 @@ def _normalise(df: DataFrame, dbl) -> DataFrame:
         elif isinstance(t, (T.FloatType, T.DecimalType)):
             c = c.cast("double")
         if f.name in dbl:
-            c = round4(c.cast("double"))
+            k = dbl[f.name]
+            c = round4(c.cast("double")) if k is None else round_fixed(c.cast("double"), k)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
 
 def register(name: str, sql: str | None = None, dbl: str | tuple = ()):
-    dbl_t = tuple(dbl.split()) if isinstance(dbl, str) else tuple(dbl)
+    toks = dbl.split() if isinstance(dbl, str) else list(dbl)
+    dbl_t = tuple(toks)
+    dbl_map = {t.split(":")[0]: (int(t.split(":")[1]) if ":" in t else None) for t in toks}
 
     def deco(fn):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return _normalise(fn(spark, sf_dir), dbl_t)
+            return _normalise(fn(spark, sf_dir), dbl_map)
 
         build.__name__ = fn.__name__
         build.__doc__ = fn.__doc__
@@ -65,7 +68,7 @@ def sql_round(c: str) -> str:
     return (f"CASE WHEN abs({x}) >= 1e6 THEN round({x}) "
             f"WHEN abs({x}) >= 1e3 THEN round({x} * 100.0) / 100.0 "
             f"WHEN abs({x}) >= 1.0 THEN round({x} * 10000.0) / 10000.0 "
-            f"ELSE round({x} * 1000000.0) / 1000000.0 END")
+            f"ELSE round({x} * 1000000.0) / 1000000.0 END + 0.0")
 
 
 def oracle(q: Query) -> str | None:
@@ -73,5 +76,13 @@ def oracle(q: Query) -> str | None:
         return None
     if not q.dbl:
         return q.sql
-    repl = ", ".join(f"{sql_round(c)} AS {c}" for c in q.dbl)
+    parts = []
+    for t in q.dbl:
+        c, _, k = t.partition(":")
+        if k:
+            m = float(10 ** int(k))
+            parts.append(f"round(CAST({c} AS DOUBLE) * {m}) / {m} + 0.0 AS {c}")
+        else:
+            parts.append(f"{sql_round(c)} AS {c}")
+    repl = ", ".join(parts)
     return f"SELECT * REPLACE ({repl}) FROM (\n{q.sql}\n) AS oracle_q"
