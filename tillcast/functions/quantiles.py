@@ -95,11 +95,13 @@ def exact_percentiles(df: DataFrame, value: str, probs, by=(), accuracy: int = 1
     pad = 3.0 / accuracy
     src = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
 
+    m = len(probs)
+    # one sketch per group serves both bracket ends
     br = src.groupBy(*by).agg(
         F.count("_v").alias("n"),
-        F.percentile_approx("_v", [max(0.0, p - pad) for p in probs], accuracy).alias("_lo"),
-        F.percentile_approx("_v", [min(1.0, p + pad) for p in probs], accuracy).alias("_hi"),
-    )
+        F.percentile_approx("_v", [max(0.0, p - pad) for p in probs] + [min(1.0, p + pad) for p in probs],
+                            accuracy).alias("_b"),
+    ).select(*by, "n", F.slice("_b", 1, m).alias("_lo"), F.slice("_b", m + 1, m).alias("_hi"))
     joined = src.join(F.broadcast(br) if glob else maybe_broadcast(br), on=by, how="inner")
     aggs = [F.first("n").alias("n")]
     for i in range(len(probs)):
