@@ -132,3 +132,31 @@ def exact_percentiles(df: DataFrame, value: str, probs, by=(), accuracy: int = 1
         *by, "n", *[F.coalesce(F.col(f"{prefix}{i}"), F.col("_fb")[i]).alias(f"{prefix}{i}") for i in range(len(probs))]
     )
     return res.drop("_g") if glob else res
+
+
+def rank_within(df: DataFrame, group: str | None, order, out: str = "pct_rank", partitions: int | None = None,
+                index_out: str | None = None) -> DataFrame:
+    """Exact ``percent_rank`` of rows inside ``group`` ordered by ``order`` (a total order), without one
+    task holding a group: rows are range-partitioned on (group, order), numbered inside each range
+    partition, and shifted by the counts of the earlier partitions of the same group (a small
+    (partition, group) count table)."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    order = list(order)
+    if group is None:
+        out_df = rank_within(df.withColumn("_g0", F.lit(0)), "_g0", order, out, partitions, index_out)
+        return out_df.drop("_g0")
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism * 2
+    r = df.repartitionByRange(n, group, *order).withColumn("_pid", F.spark_partition_id())
+    local = r.withColumn("_lr", F.row_number().over(Window.partitionBy("_pid", group).orderBy(*order)) - 1)
+    cnt = local.groupBy("_pid", group).agg(F.count(F.lit(1)).alias("_c"))
+    off = cnt.withColumn("_off", F.coalesce(F.sum("_c").over(
+        Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    tot = cnt.groupBy(group).agg(F.sum("_c").alias("_n"))
+    j = local.join(F.broadcast(off.select("_pid", group, "_off")), ["_pid", group]).join(F.broadcast(tot), group)
+    rank = F.when(F.col("_n") > 1, (F.col("_off") + F.col("_lr")) / (F.col("_n") - F.lit(1))).otherwise(F.lit(0.0))
+    j = j.withColumn(out, rank.cast("double"))
+    if index_out:
+        j = j.withColumn(index_out, (F.col("_off") + F.col("_lr")).cast("int"))
+    return j.drop("_pid", "_lr", "_off", "_n")

@@ -73,8 +73,10 @@ def category_index(df: DataFrame, category: Column, prefix: str, out: str) -> Da
     categories only and joined back."""
     cat = F.concat(F.lit(prefix + "_"), category)
     d = df.withColumn(out, cat)
-    idx = d.select(out).where(F.col(out).isNotNull()).distinct().withColumn(
-        f"{out}_index", F.dense_rank().over(Window.orderBy(out)) - 1)
+    from tillcast.functions.quantiles import rank_within
+
+    idx = rank_within(d.select(out).where(F.col(out).isNotNull()).distinct(), None, [out], out="_pr",
+                      index_out=f"{out}_index").drop("_pr")
     return d.join(maybe_broadcast(idx), out, "left")
 
 

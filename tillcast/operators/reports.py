@@ -151,8 +151,10 @@ def column_profile(df: DataFrame, numeric, categorical) -> DataFrame:
 def category_lists(stores_df: DataFrame, cols=("channel", "region", "city")) -> DataFrame:
     """Sorted distinct values per categorical column, one row per (column, value, position)."""
     long = stores_df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
+    from tillcast.functions.quantiles import rank_within
+
     d = long.where(F.col("value").isNotNull()).distinct()
-    return d.withColumn("position", F.dense_rank().over(Window.partitionBy("column").orderBy("value")) - 1)
+    return rank_within(d, "column", ["value"], out="_pr", index_out="position").drop("_pr")
 
 
 def target_encoding_table(df: DataFrame, key: str, value: str = "revenue") -> DataFrame:

@@ -1,7 +1,7 @@
 """§2.8 group splits as a (group, fold, is_test) table.
 
 The fold plan lives on the *group* dimension (one row per store and fold),
-ranked once with ``dense_rank``; rows get their side with an equi-join on
+ranked once (distributed exact rank); rows get their side with an equi-join on
 the group, so no row is ever copied per fold.
 """
 
@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 
 def _ranked_groups(df: DataFrame, group: str) -> DataFrame:
+    from tillcast.functions.quantiles import rank_within
+
     g = df.select(group).where(F.col(group).isNotNull()).distinct()
-    g = g.withColumn("_r", F.dense_rank().over(Window.orderBy(group)) - 1)
+    g = rank_within(g, None, [group], out="_pr", index_out="_r").drop("_pr")
     return g.crossJoin(F.broadcast(g.agg(F.count(F.lit(1)).alias("_G"))))
 
 

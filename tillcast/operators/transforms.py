@@ -84,11 +84,11 @@ def weekday_store_ord(df: DataFrame) -> DataFrame:
     The ordinal is computed on the distinct-store dimension (one row per
     store) and joined back, not with a window over the fact table.
     """
-    stores = df.select("store").distinct()
-    ordn = stores.withColumn("store_id_ord", F.dense_rank().over(Window.orderBy("store")) - 1)
-    from tillcast.operators.joins import maybe_broadcast
+    from tillcast.functions.quantiles import rank_within
 
-    out = df.join(maybe_broadcast(ordn), "store", "left")
+    stores = df.select("store").where(F.col("store").isNotNull()).distinct()
+    ordn = rank_within(stores, None, ["store"], out="_pr", index_out="store_id_ord").drop("_pr")
+    out = df.join(ordn, "store", "left")
     return out.withColumn("weekday_store_ord", F.col("day_of_week") * 10000 + F.col("store_id_ord"))
 
 

@@ -118,12 +118,13 @@ ONEHOT_STORE = ["city", "state", "region_classified", "store_cluster"]
 , long AS ({" UNION ALL ".join(f"SELECT id, '{f}' AS feature, '{f}_' || {f} AS category FROM sg WHERE {f} IS NOT NULL" for f in ONEHOT_STORE)})
 SELECT id, feature, category, dense_rank() OVER (PARTITION BY feature ORDER BY category) - 1 AS category_index FROM long"""))
 def q_onehot_store(spark, sf_dir):
-    from pyspark.sql import Window
     st = geo_classify(base.stores(spark, sf_dir))
     long = st.select("id", *ONEHOT_STORE).unpivot("id", ONEHOT_STORE, "feature", "v").where(F.col("v").isNotNull())
     long = long.withColumn("category", F.concat(F.col("feature"), F.lit("_"), F.col("v")))
-    return long.withColumn("category_index", F.dense_rank().over(Window.partitionBy("feature").orderBy("category")) - 1
-                           ).select("id", "feature", "category", "category_index")
+    from tillcast.functions.quantiles import rank_within
+    cats = rank_within(long.select("feature", "category").distinct(), "feature", ["category"], out="_pr",
+                       index_out="category_index").drop("_pr")
+    return long.join(cats, ["feature", "category"], "left").select("id", "feature", "category", "category_index")
 
 
 @register("cluster_month", sql("""
