@@ -73,7 +73,7 @@ def bic_table(data: DataFrame, d: int, k_values) -> list[tuple[int, float]]:
     n = data.count()
     out = []
     for k in k_values:
-        gm = GaussianMixture(featuresCol="pcs", k=k, seed=SEED, maxIter=200).fit(data)
+        gm = GaussianMixture(featuresCol="pcs", k=k, seed=SEED).fit(data)
         ll = gm.summary.logLikelihood
         p = k * d + k * d * (d + 1) / 2 + (k - 1)
         out.append((k, -2.0 * ll + p * math.log(n)))
@@ -91,13 +91,16 @@ def choose_k(bics: list[tuple[int, float]], max_k: int = MAX_K) -> int:
 
 
 def fit_clusters(profile: DataFrame):
+    from tillcast.session import cut_lineage
+
     cols = profile_columns(profile)
     pcs, pca, d = scale_pca(profile, cols)
+    pcs = cut_lineage(pcs)  # the mixtures iterate over it; one row per store
     n = pcs.count()
     ks = list(range(2, min(MAX_K + 1, n)))
     bics = bic_table(pcs, d, ks)
     k = choose_k(bics)
-    gm = GaussianMixture(featuresCol="pcs", k=k, seed=SEED, maxIter=200, probabilityCol="prob").fit(pcs)
+    gm = GaussianMixture(featuresCol="pcs", k=k, seed=SEED, probabilityCol="prob").fit(pcs)
     return pcs, pca, gm, k, bics
 
 

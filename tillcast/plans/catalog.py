@@ -1,6 +1,6 @@
 """Import every query module so that ``REGISTRY`` is complete."""
 
-from tillcast.plans import q_core, q_intervals, q_lookups, q_prep, q_reports, q_transforms, q_windows  # noqa: F401
+from tillcast.plans import q_core, q_intervals, q_lookups, q_models, q_prep, q_reports, q_transforms, q_windows  # noqa: F401
 from tillcast.plans.registry import REGISTRY, oracle
 
 
