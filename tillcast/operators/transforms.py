@@ -15,10 +15,11 @@ from tillcast.functions.columns import bucket_right_closed, clip, cyc_sin, finit
 from tillcast.functions.quantiles import exact_percentiles
 
 
-def qcut(df: DataFrame, value: str, q: int, out: str) -> DataFrame:
-    """``pd.qcut(x, q, labels=False, duplicates='drop')`` on exact linear quantile edges (right-closed)."""
+def qcut(df: DataFrame, value: str, q: int, out: str, fit: DataFrame | None = None) -> DataFrame:
+    """``pd.qcut(x, q, labels=False, duplicates='drop')`` on exact linear quantile edges (right-closed),
+    edges learnt on ``fit`` (default: ``df``)."""
     probs = [i / q for i in range(q + 1)]
-    e = exact_percentiles(df, value, probs)
+    e = exact_percentiles(df if fit is None else fit, value, probs)
     edges = e.select(F.array(*[F.col(f"q{i}") for i in range(q + 1)]).alias("_edges"))
     return df.crossJoin(F.broadcast(edges)).withColumn(out, bucket_right_closed(F.col(value), F.col("_edges"))).drop("_edges")
 
@@ -246,3 +247,49 @@ def inverse_scaled(df: DataFrame, pred: str, target_mean: str, train_pred_mean:
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["two_pi"]
+
+
+# --- Box-Cox by maximum likelihood on a λ grid (re-aimed from a per-vector solver) ---
+BOXCOX_CLUSTERS = ("PREMIUM_OFFLINE", "SEASONAL_SPECIALIST")
+BOXCOX_COARSE = [round(-2.0 + 0.1 * i, 1) for i in range(41)]          # −2.0 … 2.0
+BOXCOX_FINE_STEP = 0.005
+BOXCOX_FINE_HALF = 20                                                    # best ± 0.1
+
+
+def _boxcox_llf(x: DataFrame, grid: DataFrame, group: str) -> DataFrame:
+    """Box-Cox log-likelihood per (group, λ): (λ−1)·Σlog x − n/2·log(var_pop(y_λ)), y_λ = (x^λ−1)/λ.
+
+    var_pop(y_λ) = var_pop(x^λ)/λ² (λ ≠ 0) keeps the moments free of the constant −1/λ; Spark's
+    ``var_pop`` merges central moments, so there is no cancellation.  Rows meet the (small, fixed)
+    grid inside the map-side partial aggregation, so only (group, λ) moments are shuffled."""
+    ex = x.join(F.broadcast(grid), group) if group in grid.columns else x.crossJoin(F.broadcast(grid))
+    z = F.when(F.col("lam") == 0, F.log("_x")).otherwise(F.pow(F.col("_x"), F.col("lam")))
+    g = ex.withColumn("_z", z).groupBy(group, "lam").agg(
+        F.count("_x").alias("n"), F.sum(F.log("_x")).alias("slog"), F.var_pop("_z").alias("vz"))
+    vy = F.when(F.col("lam") == 0, F.col("vz")).otherwise(F.col("vz") / (F.col("lam") * F.col("lam")))
+    return g.withColumn("llf", (F.col("lam") - 1.0) * F.col("slog") - F.col("n") / 2.0 * F.log(vy))
+
+
+def boxcox_lambda(df: DataFrame, value: str = "revenue", group: str = "store_cluster", shift: float = 1.0,
+                  clusters=BOXCOX_CLUSTERS) -> DataFrame:
+    """Best λ per group: a coarse grid (step 0.1 on [−2, 2]) then a fine grid (step 0.005, ±0.1) around it."""
+    spark = df.sparkSession
+    x = (df.where(F.col(group).isin(*clusters)).select(group, (F.col(value) + F.lit(shift)).alias("_x"))
+         .where(F.col("_x") > 0))
+    coarse = spark.createDataFrame([(float(v),) for v in BOXCOX_COARSE], "lam double")
+    best = _boxcox_llf(x, coarse, group).groupBy(group).agg(F.max_by("lam", F.struct("llf", "lam")).alias("_best"))
+    offs = spark.createDataFrame([(round(i * BOXCOX_FINE_STEP, 3),) for i in range(-BOXCOX_FINE_HALF, BOXCOX_FINE_HALF + 1)],
+                                 "off double")
+    fine = best.crossJoin(F.broadcast(offs)).select(group, F.round(F.col("_best") + F.col("off"), 3).alias("lam"))
+    g = _boxcox_llf(x, fine, group)
+    return g.groupBy(group).agg(F.max_by("lam", F.struct("llf", "lam")).alias("boxcox_lambda"), F.max("llf").alias("llf"))
+
+
+def boxcox(df: DataFrame, lambdas: DataFrame, value: str = "revenue", group: str = "store_cluster",
+           shift: float = 1.0, out: str | None = None) -> DataFrame:
+    out = out or f"{value}_boxcox"
+    lam = F.col("boxcox_lambda")
+    j = df.join(F.broadcast(lambdas.select(group, "boxcox_lambda")), group, "left")
+    x = F.col(value) + F.lit(shift)
+    y = F.when(lam == 0, F.log(x)).otherwise((F.pow(x, lam) - 1.0) / lam)
+    return j.withColumn(out, F.when(lam.isNotNull(), y)).drop("boxcox_lambda")

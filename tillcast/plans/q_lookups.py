@@ -192,11 +192,14 @@ def q_no_history(spark, sf_dir):
     return L.no_history(r, h, cols).select("store", "date", "has_history", *cols)
 
 
-@register("yoy_fallback", sql(f"""{R_SQL}
+YOY_CTES = f"""
 , y AS (SELECT store, month, day_of_week AS dow, year, {XAVG('revenue')} AS ym FROM daily GROUP BY store, month, day_of_week, year)
 , yg AS (SELECT *, ym / NULLIF(lag(ym) OVER (PARTITION BY store, month, dow ORDER BY year), 0) - 1.0 AS g FROM y)
 , k AS (SELECT store, month, dow, arg_max(ym, year) AS latest, avg(g) AS growth, count(ym) AS ny FROM yg GROUP BY store, month, dow)
-, gm AS (SELECT {XAVG('revenue')} AS gm FROM daily)
+, gm AS (SELECT {XAVG('revenue')} AS gm FROM daily)"""
+
+
+@register("yoy_fallback", sql(f"""{R_SQL}{YOY_CTES}
 SELECT r.store, r.date, r.discount_pct,
        CASE WHEN k.latest IS NULL THEN gm.gm WHEN k.ny > 1 AND k.growth IS NOT NULL THEN k.latest * (1.0 + k.growth)
             ELSE k.latest END * ((100.0 + COALESCE(r.discount_pct, 0.0) * 100.0) / 100.0) AS yoy_fallback
