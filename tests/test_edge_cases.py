@@ -90,3 +90,14 @@ def test_festivals_and_after_last_festival(spark):
     assert out[D(2020, 12, 25)]["is_festival"] == 1 and out[D(2020, 12, 25)]["days_to_festival"] == 0
     assert out[D(2030, 12, 26)]["days_to_festival"] == 365
     assert out[D(2030, 12, 24)]["days_to_festival"] == 1
+
+
+def test_region_weekday_std_chunked_equals_plain(spark, sf_dir):
+    from tillcast.plans import base
+    d = base.daily(spark, sf_dir)
+    plain = W.region_weekday_std(d).select("store", "date", F.col("region_weekday_std").alias("a"))
+    chunked = W.region_weekday_std(d, chunk_rows=50).select("store", "date", F.col("region_weekday_std").alias("b"))
+    j = plain.join(chunked, ["store", "date"], "full_outer")
+    assert j.count() == d.count()
+    bad = j.where(~(F.col("a").eqNullSafe(F.col("b")) | (F.abs(F.col("a") - F.col("b")) < 1e-6))).count()
+    assert bad == 0

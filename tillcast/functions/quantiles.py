@@ -136,10 +136,10 @@ def exact_percentiles(df: DataFrame, value: str, probs, by=(), accuracy: int = 1
 
 def rank_within(df: DataFrame, group: str | None, order, out: str = "pct_rank", partitions: int | None = None,
                 index_out: str | None = None) -> DataFrame:
-    """Exact ``percent_rank`` of rows inside ``group`` ordered by ``order`` (a total order), without one
-    task holding a group: rows are range-partitioned on (group, order), numbered inside each range
-    partition, and shifted by the counts of the earlier partitions of the same group (a small
-    (partition, group) count table)."""
+    """Exact ``percent_rank`` (and optionally the 0-based position) of rows inside ``group`` ordered by
+    ``order`` (a total order), without one task holding a group: rows are range-partitioned on
+    (group, order), numbered inside each range partition, and shifted by the counts of the earlier
+    partitions of the same group (a small (partition, group) count table)."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
@@ -147,8 +147,13 @@ def rank_within(df: DataFrame, group: str | None, order, out: str = "pct_rank",
     if group is None:
         out_df = rank_within(df.withColumn("_g0", F.lit(0)), "_g0", order, out, partitions, index_out)
         return out_df.drop("_g0")
+    from tillcast.session import cut_lineage
+
     n = partitions or df.sparkSession.sparkContext.defaultParallelism * 2
-    r = df.repartitionByRange(n, group, *order).withColumn("_pid", F.spark_partition_id())
+    # Range bounds are sampled from the input, whose order after a shuffle is not deterministic, so the
+    # partitioned rows (with their partition id) are written once and both the local ranks and the
+    # per-partition counts read that same copy.
+    r = cut_lineage(df.repartitionByRange(n, group, *order).withColumn("_pid", F.spark_partition_id()))
     local = r.withColumn("_lr", F.row_number().over(Window.partitionBy("_pid", group).orderBy(*order)) - 1)
     cnt = local.groupBy("_pid", group).agg(F.count(F.lit(1)).alias("_c"))
     off = cnt.withColumn("_off", F.coalesce(F.sum("_c").over(

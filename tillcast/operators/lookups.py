@@ -138,16 +138,12 @@ def is_festival(df: DataFrame, festivals: DataFrame) -> DataFrame:
 def days_to_festival(df: DataFrame, festivals: DataFrame) -> DataFrame:
     """Days to the next festival on or after the date (365 if none).
 
-    Computed on the distinct dates only (bounded by the calendar span) against
-    the fixed calendar, then joined back on date.
-    """
-    dates = df.select("date").distinct()
-    fd = festivals.select(F.col("date").alias("_fd"))
-    nxt = (dates.crossJoin(F.broadcast(fd))
-           .where(F.col("_fd") >= F.col("date"))
-           .groupBy("date").agg(F.min(F.datediff("_fd", "date")).alias("_dtf")))
-    out = df.join(nxt, "date", "left")
-    return out.withColumn("days_to_festival", F.coalesce(F.col("_dtf"), F.lit(365))).drop("_dtf")
+    The calendar becomes one sorted array (a 1-row table, fixed size), and each row takes the first
+    festival date ≥ its date with a higher-order ``filter`` — no join of dates with festivals."""
+    cal = festivals.agg(F.sort_array(F.collect_set("date")).alias("_fest"))
+    out = df.crossJoin(F.broadcast(cal))
+    nxt = F.array_min(F.filter(F.col("_fest"), lambda f: f >= F.col("date")))
+    return out.withColumn("days_to_festival", F.coalesce(F.datediff(nxt, F.col("date")), F.lit(365))).drop("_fest")
 
 
 def avg_fallback(requests: DataFrame, history: DataFrame) -> DataFrame:

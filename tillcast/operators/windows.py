@@ -127,10 +127,31 @@ def week_over_week(df: DataFrame, value: str = "revenue") -> DataFrame:
 
 
 def region_weekday_std(df: DataFrame, value: str = "revenue", order_by=("store", "date"),
-                       out: str = "region_weekday_std") -> DataFrame:
-    """Sample std of the previous 28 rows inside (region, weekday), rows ordered by (store, date) (D11)."""
-    fr = Window.partitionBy("region", "day_of_week").orderBy(*order_by).rowsBetween(-28, -1)
-    return df.withColumn(out, F.stddev_samp(value).over(fr))
+                       out: str = "region_weekday_std", chunk_rows: int | None = None) -> DataFrame:
+    """Sample std of the previous 28 rows inside (region, weekday), rows ordered by (store, date) (D11).
+
+    There are only regions × 7 groups, so a plain window puts a whole group (possibly a third of all
+    rows) into one task.  With ``chunk_rows`` the groups are cut into chunks of that many consecutive
+    rows: an exact distributed rank gives every row its position p in the group, the window runs per
+    (region, weekday, p // chunk_rows), and each chunk also receives the last 28 rows of the chunk before
+    it as context rows (used by the frame, not emitted).  Results equal the unchunked window.
+    """
+    if not chunk_rows:
+        fr = Window.partitionBy("region", "day_of_week").orderBy(*order_by).rowsBetween(-28, -1)
+        return df.withColumn(out, F.stddev_samp(value).over(fr))
+    from tillcast.functions.quantiles import rank_within
+
+    key = F.concat_ws("|", F.coalesce(F.col("region"), F.lit("\\N")), F.col("day_of_week").cast("string"))
+    d = df.withColumn("_grp", key)
+    r = rank_within(d, "_grp", list(order_by), out="_pr", index_out="_p").drop("_pr")
+    c = F.lit(int(chunk_rows))
+    own = r.withColumn("_chunk", F.floor(F.col("_p") / c)).withColumn("_ctx", F.lit(0))
+    ctx = (r.select("_grp", "_p", value).where(F.pmod(F.col("_p"), c) >= c - 28)
+           .withColumn("_chunk", F.floor(F.col("_p") / c) + 1).withColumn("_ctx", F.lit(1)))
+    u = own.unionByName(ctx, allowMissingColumns=True)
+    fr = Window.partitionBy("_grp", "_chunk").orderBy("_p").rowsBetween(-28, -1)
+    res = u.withColumn(out, F.stddev_samp(value).over(fr)).where(F.col("_ctx") == 0)
+    return res.drop("_grp", "_p", "_chunk", "_ctx")
 
 
 def since_high(df: DataFrame, value: str = "revenue", out: str = "time_since_last_high_revenue") -> DataFrame:

@@ -10,6 +10,7 @@ from tillcast.plans.registry import register
 from tillcast.plans.sqlbase import XAVG, sql
 
 K = ["store", "date"]
+REGION_CHUNK_ROWS = 20_000  # rows per (region, weekday) chunk; each chunk also reads the 28 rows before it
 WS = "WINDOW w AS (PARTITION BY store ORDER BY date)"
 
 
@@ -135,7 +136,8 @@ SELECT store, date,
                                   ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING) AS region_weekday_std
 FROM daily"""), dbl="region_weekday_std")
 def q_region_weekday_std(spark, sf_dir):
-    return _d(spark, sf_dir).transform(W.region_weekday_std).select(*K, "region_weekday_std")
+    # chunked form: regions × 7 groups would otherwise each sit in a single task
+    return W.region_weekday_std(_d(spark, sf_dir), chunk_rows=REGION_CHUNK_ROWS).select(*K, "region_weekday_std")
 
 
 @register("since_high", sql(f"""
