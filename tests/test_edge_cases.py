@@ -101,3 +101,44 @@ def test_region_weekday_std_chunked_equals_plain(spark, sf_dir):
     assert j.count() == d.count()
     bad = j.where(~(F.col("a").eqNullSafe(F.col("b")) | (F.abs(F.col("a") - F.col("b")) < 1e-6))).count()
     assert bad == 0
+
+
+def test_clean_matrix_inf_nan_null(spark):
+    from tillcast.operators.transforms import clean_matrix
+    df = spark.createDataFrame([(1, float("inf")), (2, float("-inf")), (3, float("nan")), (4, None), (5, 2.5)],
+                               "i int, x double")
+    got = {r["i"]: r["x"] for r in clean_matrix(df, ["x"]).collect()}
+    assert got == {1: 0.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 2.5}
+
+
+def test_empty_stores_dimension(spark):
+    s = _sales(spark, [("1", D(2020, 1, 1), 1.0, 10.0, 0.0)])
+    empty = spark.createDataFrame([], "id string, channel string, city string, region string, is_online int, "
+                                      "store_area double, store_cluster string")
+    r = join_store(s, empty).collect()
+    assert len(r) == 1 and r[0]["store_area"] is None
+
+
+def test_align_features_missing_extra_and_critical(spark):
+    import pytest
+    from tillcast.operators.transforms import align_features
+    rows = [("1", D(2020, 1, 1), 10.0, 0.1, 5.0), ("1", D(2020, 1, 2), None, 0.2, 6.0)]
+    df = spark.createDataFrame(rows, "store string, date date, revenue_lag_7 double, discount_pct double, extra double")
+    out = align_features(df, ["revenue_lag_7", "discount_pct", "new_feature"]).orderBy("date").collect()
+    assert out[0].asDict().keys() == {"store", "date", "revenue_lag_7", "discount_pct", "new_feature"}
+    assert out[1]["revenue_lag_7"] == 10.0 and out[1]["new_feature"] == 0.0  # forward-filled, missing → 0
+    nulls = spark.createDataFrame([("1", D(2020, 1, 1), None)], "store string, date date, revenue_lag_7 double")
+    with pytest.raises(ValueError):
+        align_features(nulls, ["revenue_lag_7"])
+
+
+def test_no_history_request_uses_store_median(spark):
+    from tillcast.operators.lookups import no_history
+    hist = spark.createDataFrame([("1", D(2020, 1, 5), 10.0), ("1", D(2020, 1, 6), 30.0)],
+                                 "store string, date date, revenue double")
+    req = spark.createDataFrame([("1", D(2020, 1, 1), None), ("1", D(2020, 1, 7), 3.0), ("2", D(2020, 1, 7), None)],
+                                "store string, date date, revenue_lag_1 double")
+    got = {(r["store"], r["date"].day): r for r in no_history(req, hist, ["revenue_lag_1"]).collect()}
+    assert got[("1", 1)]["revenue_lag_1"] == 20.0 and got[("1", 1)]["has_history"] == 0
+    assert got[("1", 7)]["revenue_lag_1"] == 3.0 and got[("1", 7)]["has_history"] == 1
+    assert got[("2", 7)]["revenue_lag_1"] == 0.0
