@@ -102,7 +102,7 @@ def exact_percentiles(df: DataFrame, value: str, probs, by=(), accuracy: int = 1
         F.percentile_approx("_v", [max(0.0, p - pad) for p in probs] + [min(1.0, p + pad) for p in probs],
                             accuracy).alias("_b"),
     ).select(*by, "n", F.slice("_b", 1, m).alias("_lo"), F.slice("_b", m + 1, m).alias("_hi"))
-    joined = src.join(F.broadcast(br) if glob else maybe_broadcast(br), on=by, how="inner")
+    joined = src.join(F.broadcast(br) if glob else maybe_broadcast(br, materialize=True), on=by, how="inner")
     aggs = [F.first("n").alias("n")]
     for i in range(len(probs)):
         lo, hi = F.col("_lo")[i], F.col("_hi")[i]

@@ -77,7 +77,7 @@ def category_index(df: DataFrame, category: Column, prefix: str, out: str) -> Da
 
     idx = rank_within(d.select(out).where(F.col(out).isNotNull()).distinct(), None, [out], out="_pr",
                       index_out=f"{out}_index").drop("_pr")
-    return d.join(maybe_broadcast(idx), out, "left")
+    return d.join(maybe_broadcast(idx, materialize=True), out, "left")
 
 
 def onehot_weekday_store(df: DataFrame) -> DataFrame:

@@ -20,7 +20,16 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, materialize: bool = False) -> DataFrame:
+    """Broadcast ``df`` only if it provably has ≤ ``max_rows`` rows.
+
+    ``materialize=True`` is for tables *derived from the fact* (group statistics, encodings, quantile
+    brackets): they are written once with a reliable checkpoint, the bound is checked on the written copy
+    and the join reads that copy, so the fact pipeline behind them runs once instead of twice."""
+    if materialize:
+        from tillcast.session import cut_lineage
+
+        df = cut_lineage(df)
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 

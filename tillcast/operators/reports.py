@@ -166,7 +166,7 @@ def target_encode(df: DataFrame, keys=("city", "region", "channel"), value: str
     fit = df if fit is None else fit
     out = df
     for k in keys:
-        enc = maybe_broadcast(target_encoding_table(fit, k, value))
+        enc = maybe_broadcast(target_encoding_table(fit, k, value), materialize=True)
         out = out.join(enc, k, "left").withColumn(f"{k}_encoded", F.coalesce(F.col(f"{k}_encoded"), F.lit(0.0)))
     return out
 
@@ -250,7 +250,7 @@ def store_density(stores_df: DataFrame) -> DataFrame:
     out = stores_df
     for key in ("city", "state"):
         cnt = stores_df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(f"{key}_store_density"))
-        out = out.join(maybe_broadcast(cnt), key, "left")
+        out = out.join(maybe_broadcast(cnt, materialize=True), key, "left")
     return out.select("id", "city", "state", "city_store_density", "state_store_density")
 
 

@@ -91,8 +91,8 @@ FROM stores st LEFT JOIN gc ON gc.city = st.city LEFT JOIN gr ON gr.region = st.
 def q_geo_features(spark, sf_dir):
     d = base.daily(spark, sf_dir)
     st = base.stores(spark, sf_dir)
-    out = st.join(maybe_broadcast(R.geo_profile(d, "city")), "city", "left").join(
-        maybe_broadcast(R.geo_profile(d, "region")), "region", "left")
+    out = st.join(maybe_broadcast(R.geo_profile(d, "city"), materialize=True), "city", "left").join(
+        maybe_broadcast(R.geo_profile(d, "region"), materialize=True), "region", "left")
     return out.select("id", *[f"city_{c}" for c in GEO_COLS], *[f"region_{c}" for c in GEO_COLS])
 
 
@@ -110,7 +110,7 @@ def q_discount_z(spark, sf_dir):
     d = base.daily(spark, sf_dir).withColumn("discount_pct", clip(F.col("disc_perc") / 100.0, 0.0, 1.0))
     for k in ("channel", "region"):
         g = d.groupBy(k).agg(F.avg("discount_pct").alias(f"_m_{k}"), F.stddev_samp("discount_pct").alias(f"_s_{k}"))
-        d = d.join(maybe_broadcast(g), k, "left")
+        d = d.join(maybe_broadcast(g, materialize=True), k, "left")
         sd = F.when(F.col(f"_s_{k}").isNull() | (F.col(f"_s_{k}") == 0), F.lit(1.0)).otherwise(F.col(f"_s_{k}"))
         d = d.withColumn(f"discount_pct_z_{k}", (F.col("discount_pct") - F.col(f"_m_{k}")) / sd)
     return d.select(*K, "discount_pct_z_channel", "discount_pct_z_region")
