@@ -125,16 +125,24 @@ def bucket_left_closed(x, edges) -> Column:
 MONEY_DECIMAL = "decimal(38,6)"
 
 
+MICRO = 1_000_000.0
+
+
 def xsum(c, over=None) -> Column:
-    """Order-independent sum of a money column: exact DECIMAL sum, cast to DOUBLE once.
+    """Order-independent sum of a money column, cast to DOUBLE once.
 
     Double sums depend on the order rows arrive in (i.e. on partitioning);
-    this one gives the same bits on any cluster layout.
+    these give the same bits on any cluster layout.  Aggregates over groups
+    of unknown size sum DECIMAL(38,6).  Window frames here are per-store
+    frames (bounded by one store's history), so they sum exact LONG
+    micro-units (money has at most 6 decimals), which is the same exact
+    value and much cheaper than a BigDecimal per row and frame; an
+    overflow would raise under ANSI, never wrap.
     """
-    s = F.sum(col_or(c).cast(MONEY_DECIMAL))
-    if over is not None:
-        s = s.over(over)
-    return s.cast("double")
+    if over is None:
+        return F.sum(col_or(c).cast(MONEY_DECIMAL)).cast("double")
+    micro = F.round(col_or(c) * F.lit(MICRO), 0).cast("long")
+    return F.sum(micro).over(over).cast("double") / F.lit(MICRO)
 
 
 def xavg(c, over=None) -> Column:

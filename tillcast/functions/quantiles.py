@@ -3,35 +3,21 @@
 Spark's ``percentile`` over an UNBOUNDED PRECEDING frame is exact but
 re-sorts the growing frame for every row (quadratic per group).  Here each
 group is handed to pandas once (``applyInPandas``: Spark shuffles by the
-group key and streams groups through Arrow), kept in one sorted buffer, and
-every row's quantiles are read off the buffer with the same linear
-interpolation Spark's ``percentile`` uses.  A group is one store (one row per
-day), so it is bounded by the length of the history.
+group key and streams groups through Arrow) and its expanding quantiles come
+from pandas' skip-list (O(log n) per row, linear interpolation, NaN
+skipped).  A group is one store (one row per day), so it is bounded by the
+length of the history.
 """
 
 from __future__ import annotations
 
-from bisect import insort
-from math import floor
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _interp(buf: list, q: float) -> float:
-    n = len(buf)
-    if n == 0:
-        return np.nan
-    pos = q * (n - 1)
-    lo = floor(pos)
-    hi = min(lo + 1, n - 1)
-    frac = pos - lo
-    a, b = buf[lo], buf[hi]
-    return a + (b - a) * frac if frac else a
-
-
 def running_quantiles(df: DataFrame, keys, order: str, value: str, probs: dict[str, float]) -> DataFrame:
     """Add one column per ``{name: q}``: quantile q of ``value`` over all rows up to and including this one.
 
@@ -45,21 +31,16 @@ def running_quantiles(df: DataFrame, keys, order: str, value: str, probs: dict[s
 
     def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="mergesort")
-        vals = pdf[value].to_numpy(dtype="float64", na_value=np.nan)
-        out = np.full((len(vals), len(qs)), np.nan)
-        buf: list = []
-        for i, v in enumerate(vals):
-            if not np.isnan(v):
-                insort(buf, v)
-            if buf:
-                for j, q in enumerate(qs):
-                    out[i, j] = _interp(buf, q)
+        vals = pd.Series(pdf[value].to_numpy(dtype="float64", na_value=np.nan))
         res = pdf[cols].copy()
-        for j, n in enumerate(names):
-            res[n] = out[:, j]
+        exp = vals.expanding(min_periods=1)  # skip-list in C: O(log n) per row, NaN skipped
+        for n, q in zip(names, qs):
+            res[n] = exp.quantile(q, interpolation="linear").to_numpy()
         return res
 
-    return df.groupBy(*keys).applyInPandas(per_group, schema=schema)
+    out = df.groupBy(*keys).applyInPandas(per_group, schema=schema)
+    # no value seen yet → NULL (as a SQL window), not NaN
+    return out.withColumns({n: F.nanvl(F.col(n), F.lit(None).cast("double")) for n in names})
 
 
 def exact_percentiles(df: DataFrame, value: str, probs, by=(), accuracy: int = 100_000,

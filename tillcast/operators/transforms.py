@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillcast.functions.columns import bucket_right_closed, clip, cyc_sin, finite, safe_div, two_pi, zero_if_bad
+from tillcast.functions.columns import bucket_right_closed, clip, cyc_sin, finite, safe_div, zero_if_bad
 from tillcast.functions.quantiles import exact_percentiles
 
 
@@ -246,8 +246,6 @@ def inverse_scaled(df: DataFrame, pred: str, target_mean: str, train_pred_mean:
     return df.withColumn(out, F.expm1(F.col(pred)) * F.col(target_mean) / F.expm1(F.col(train_pred_mean)))
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["two_pi"]
-
 
 # --- Box-Cox by maximum likelihood on a λ grid (re-aimed from a per-vector solver) ---
 BOXCOX_CLUSTERS = ("PREMIUM_OFFLINE", "SEASONAL_SPECIALIST")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from tillcast.operators import windows as W
 from tillcast.operators.calendar import calendar_parts

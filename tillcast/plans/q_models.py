@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillcast.functions.quantiles import exact_percentiles
 from tillcast.models import calibration as CAL
 from tillcast.models import clustering as CL
 from tillcast.models import forest as FO
@@ -190,7 +189,6 @@ def q_remove_high_vif(spark, sf_dir):
 
 @register("vif_grouped")
 def q_vif_grouped(spark, sf_dir):
-    from tillcast.operators.encoding import onehot_rcm  # noqa: F401  (one-hot groups come from the same feature table)
     return SEL.vif_grouped(feature_table(spark, sf_dir), SEL_FEATURES)
 
 
