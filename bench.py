@@ -50,14 +50,21 @@ def main():
     names = only or [n for n in HEADLINE if n in qs]
     # warm-up: JVM, parquet footers, codegen caches
     qs["daily_rollup"](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    times = {}
+    times, failed = {}, {}
     for n in names:
         t0 = time.time()
-        qs[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[n] = round(time.time() - t0, 3)
+        try:
+            qs[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[n] = round(time.time() - t0, 3)
+        except Exception as e:  # noqa: BLE001  (one failing query must not hide the other timings)
+            failed[n] = f"{type(e).__name__}: {str(e)[:200]}"
+        print(f"{n}: {times.get(n, 'failed')}", file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_queries_total_wall", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": sf}))
+    out = {"metric": "headline_queries_total_wall", "value": round(sum(times.values()), 3), "unit": "sec",
+           "queries": times, "sf": sf}
+    if failed:
+        out["failed"] = failed
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":
