@@ -41,9 +41,9 @@ def fit_median(train: DataFrame, features, label: str = "target_log_ratio", weig
 
 def importances(model: PipelineModel, features) -> DataFrame:
     imp = model.stages[-1].featureImportances.toArray().tolist()  # one value per feature
-    from pyspark.sql import SparkSession
+    from tillcast.session import active_spark
 
-    s = SparkSession.getActiveSession()
+    s = active_spark()
     return s.createDataFrame([(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double")
 
 

@@ -20,7 +20,9 @@ CORR_GROUP = 0.7
 
 
 def _spark() -> SparkSession:
-    return SparkSession.getActiveSession()
+    from tillcast.session import active_spark
+
+    return active_spark()
 
 
 def near_zero_variance(df: DataFrame, cols, limit: float = NZV_LIMIT) -> DataFrame:

@@ -47,6 +47,11 @@ def feature_table(spark, sf_dir):
 
 
 def _cached(key, fn):
+    """Per-application cache of fitted models and written tables (a new session never sees a dead one's)."""
+    from tillcast.session import active_spark
+
+    app = active_spark().sparkContext.applicationId
+    key = (app,) + tuple(key)
     if key not in _CACHE:
         _CACHE[key] = fn()
     return _CACHE[key]

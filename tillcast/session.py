@@ -56,3 +56,8 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def active_spark() -> SparkSession:
+    """The caller's session (the thread's active one, else the process default)."""
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
