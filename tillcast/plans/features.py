@@ -42,6 +42,10 @@ CATALOGUE.update({
     "seasonal_index": (True, True), "city_encoded": (True, True), "region_encoded": (True, True),
     "channel_encoded": (True, True), "store_area_bucket": (False, True),
     "demand_trend": (True, False), "revenue_median_last_90d": (True, False), "revenue_rolling_rank_30d": (True, False),
+    # products with a target encoding inherit its look at the whole history
+    "store_area_city_interaction": (True, True), "discount_city_interaction": (True, True),
+    "discount_pct": (True, False), "is_discounted": (True, False), "discount_pct_squared": (True, False),
+    "revenue_lag_7_discount_interaction": (True, False),
 })
 
 
