@@ -161,13 +161,29 @@ def target_encoding_table(df: DataFrame, key: str, value: str = "revenue") -> Da
     return df.groupBy(key).agg(xavg(value).alias(f"{key}_encoded"))
 
 
+def target_encoding_tables(fit: DataFrame, keys, value: str = "revenue") -> DataFrame:
+    """All encodings in one pass: the keys are unpivoted to (key, category) and grouped once."""
+    long = fit.select(F.col(value).alias("_v"), *[F.col(k).cast("string").alias(k) for k in keys]).unpivot(
+        "_v", list(keys), "_kind", "_cat")
+    return long.groupBy("_kind", "_cat").agg(xavg("_v").alias("_enc"))
+
+
 def target_encode(df: DataFrame, keys=("city", "region", "channel"), value: str = "revenue", fit: DataFrame | None = None) -> DataFrame:
-    """Mean revenue per category learnt on ``fit`` (default: df), unseen → 0 (D2)."""
+    """Mean revenue per category learnt on ``fit`` (default: df), unseen → 0 (D2).
+
+    One aggregation serves every key; the (small, category-sized) result is written once, its size is
+    checked once, and each key joins its slice of it."""
+    from tillcast.operators.joins import BROADCAST_MAX_ROWS, is_small
+    from tillcast.session import cut_lineage
+
     fit = df if fit is None else fit
+    enc = cut_lineage(target_encoding_tables(fit, keys, value))
+    small = is_small(enc, BROADCAST_MAX_ROWS)
     out = df
     for k in keys:
-        enc = maybe_broadcast(target_encoding_table(fit, k, value), materialize=True)
-        out = out.join(enc, k, "left").withColumn(f"{k}_encoded", F.coalesce(F.col(f"{k}_encoded"), F.lit(0.0)))
+        e = enc.where(F.col("_kind") == k).select(F.col("_cat").alias(k), F.col("_enc").alias(f"{k}_encoded"))
+        out = out.join(F.broadcast(e) if small else e, k, "left").withColumn(
+            f"{k}_encoded", F.coalesce(F.col(f"{k}_encoded"), F.lit(0.0)))
     return out
 
 
