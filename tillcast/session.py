@@ -32,24 +32,30 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder, choosing a scratch one only if unset.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
+
+    A private temporary folder is chosen only where the setting is unset and the driver runs the tasks
+    itself (master ``local[…]``, as in tests).  On a cluster such a folder would be a different one on every
+    machine, so an unset setting raises."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if path:
+        return path.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tillcast-ckpt-"))
+    return sc.getCheckpointDir()
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is; a private temporary folder is only chosen when nothing is
-    configured, i.e. in local tests.
-    """
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Set Spark's checkpoint folder to the shared one (see ``shared_folder``) and return it."""
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    path = tempfile.mkdtemp(prefix="tillcast-ckpt-")
-    sc.setCheckpointDir(path)
-    return path
+    if not sc.getCheckpointDir():
+        path = shared_folder(spark)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(path)
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df):
