@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm import bpe, mixing
+from tillcast.llm import bpe, mixing, warc
 from tillcast.llm.common import input_table
 
 
@@ -19,5 +19,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(input_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op6_bpe": op6_bpe, "op7_mixing": op7_mixing}
-ORACLE_SQL = {"op7_mixing": mixing.OP7_SQL}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back: payload length and digest, record type, what it revisits."""
+    back = warc.round_trip(input_table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {"op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op10_warc": op10_warc}
+ORACLE_SQL = {"op7_mixing": mixing.OP7_SQL, "op10_warc": warc.OP10_SQL}
