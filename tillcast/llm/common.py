@@ -204,3 +204,33 @@ def bloom_has(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def signed(x: np.ndarray) -> pa.Array:
     """64-bit hashes as Spark's bigint (same bits)."""
     return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+# ---- folds and labelled samples --------------------------------------------------------------------------
+def crc_fold(id_, folds: int):
+    """crc32 of the id as text, modulo ``folds`` (null for a null id)."""
+    return F.crc32(id_.cast("string").cast("binary")) % folds
+
+
+def held_out(id_, folds: int, fold: int):
+    """Whether the id is in the held-out fold; a null id is not (and is never learned from either)."""
+    return F.coalesce(crc_fold(id_, folds) == fold, F.lit(False))
+
+
+def uniform(seed: str, id_):
+    """A number in [0, 1) that depends on the seed and the id alone."""
+    return F.pmod(F.xxhash64(F.lit(seed), id_.cast("string")), F.lit(1 << 30)) / float(1 << 30)
+
+
+def sample_labels(labels: DataFrame, id_col: str, label_col: str, folds: int, fold: int, rows: int, per_class: bool = False) -> DataFrame:
+    """(id, label) outside the held-out fold: all of them, or a hash sample of ``rows`` in expectation.
+
+    With ``per_class`` each label value has ``rows``.  Rows with null id or label are left out, repeats count once."""
+    got = (labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
+           .where(crc_fold(F.col("id"), folds) != fold).distinct())
+    counts = {r["label"]: r["count"] for r in got.groupBy("label").count().collect()} if per_class else {None: got.count()}
+    keep = F.lit(False)
+    for label, n in counts.items():
+        drawn = uniform("sample", F.col("id")) < min(1.0, rows / max(n, 1))
+        keep = keep | (drawn if label is None else (F.col("label") == label) & drawn)
+    return got.where(keep)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm import bpe, mixing, warc
+from tillcast.llm import bpe, mixing, quality, toxicity, warc
 from tillcast.llm.common import input_table
 
 
@@ -25,5 +25,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op10_warc": op10_warc}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by compression distance."""
+    docs, labels = input_table(spark, sf_dir, "documents"), input_table(spark, sf_dir, "labels")
+    return toxicity.classify(docs, labels).withColumnRenamed("id", "doc_id")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from random Fourier features of its statistics."""
+    docs, labels = input_table(spark, sf_dir, "documents"), input_table(spark, sf_dir, "labels")
+    return quality.classify(docs, labels).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op3_toxicity": op3_toxicity, "op8_quality": op8_quality, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op10_warc": op10_warc}
 ORACLE_SQL = {"op7_mixing": mixing.OP7_SQL, "op10_warc": warc.OP10_SQL}
