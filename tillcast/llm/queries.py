@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm import bpe, mixing, quality, toxicity, warc
+from tillcast.llm import bpe, langid, mixing, quality, toxicity, warc
 from tillcast.llm.common import input_table
 
 
@@ -37,5 +37,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, labels).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op8_quality": op8_quality, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op10_warc": op10_warc}
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document: family, then pairwise linear SVMs."""
+    return langid.identify(input_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op9_langid": op9_langid, "op3_toxicity": op3_toxicity, "op8_quality": op8_quality, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op10_warc": op10_warc}
 ORACLE_SQL = {"op7_mixing": mixing.OP7_SQL, "op10_warc": warc.OP10_SQL}
