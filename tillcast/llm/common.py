@@ -18,7 +18,7 @@ from tillcast.session import shared_folder
 
 U64 = np.uint64
 #: Bytes of text that one vectorised pass looks at (a longer text is a pass of its own).
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 17
 
 
 # ---- tables in the shared folder -------------------------------------------------------------------------
