@@ -84,14 +84,15 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def text_buffers(col: pa.Array):
-    """(first row, buffer, offsets) for runs of whole texts of about PASS_BYTES; null texts are empty."""
+def text_buffers(col: pa.Array, size: int = 0):
+    """(first row, buffer, offsets) for runs of whole texts of about ``size`` bytes; null texts are empty."""
+    size = size or PASS_BYTES
     col = pc_fill(col)
     off = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
     data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
     row = 0
     while row < len(col):
-        stop = max(row + 1, int(np.searchsorted(off, off[row] + PASS_BYTES, "right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(off, off[row] + size, "right")) - 1)
         yield row, data[off[row] : off[stop]], (off[row : stop + 1] - off[row])
         row = stop
 
