@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm import bpe, langid, mixing, order_minhash, quality, superminhash, toxicity, warc
+from tillcast.llm import bpe, langid, mixing, order_minhash, quality, rabitq, superminhash, toxicity, warc
 from tillcast.llm.common import input_table
 
 
@@ -53,5 +53,10 @@ def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
-QUERIES = {"op5_superminhash": op5_superminhash, "op2_order_minhash": op2_order_minhash, "op9_langid": op9_langid, "op3_toxicity": op3_toxicity, "op8_quality": op8_quality, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op10_warc": op10_warc}
+def op4_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links and components of all embeddings at a cosine of 0.98 within a label."""
+    return rabitq.near_duplicates(input_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+QUERIES = {"op4_rabitq": op4_rabitq, "op5_superminhash": op5_superminhash, "op2_order_minhash": op2_order_minhash, "op9_langid": op9_langid, "op3_toxicity": op3_toxicity, "op8_quality": op8_quality, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op10_warc": op10_warc}
 ORACLE_SQL = {"op7_mixing": mixing.OP7_SQL, "op10_warc": warc.OP10_SQL}
