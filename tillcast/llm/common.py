@@ -8,6 +8,7 @@ passes over the batch and no per-row Python.
 from __future__ import annotations
 
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -129,7 +130,7 @@ BLOCKS = 64
 
 
 def sum_cells(partials: DataFrame, cells: int, dtype: str = "int64") -> np.ndarray:
-    """Add up per-task cell blocks (columns block int, data binary of ``dtype``) and return the whole table.
+    """Add up per-task cell blocks (block int, data: deflated cells of ``dtype``) and return the whole table.
 
     The table has a fixed number of cells, whatever the input, so it may go to the driver and be broadcast.
     Tasks send their blocks on to sqrt-many groups first, so that no task reads what all tasks have sent."""
@@ -139,8 +140,8 @@ def sum_cells(partials: DataFrame, cells: int, dtype: str = "int64") -> np.ndarr
 
         total = np.zeros(cells // BLOCKS, dtype)
         for d in pdf["data"]:
-            total += np.frombuffer(d, dtype)
-        return pd.DataFrame({"block": [key[0]], "data": [total.tobytes()]})
+            total += np.frombuffer(zlib.decompress(d), dtype)
+        return pd.DataFrame({"block": [key[0]], "data": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "block int, data binary"
     n = max(1, int(partials.sparkSession.sparkContext.defaultParallelism ** 0.5))
@@ -149,14 +150,14 @@ def sum_cells(partials: DataFrame, cells: int, dtype: str = "int64") -> np.ndarr
     rows = once.groupBy("block").applyInPandas(add, schema).collect()
     out = np.zeros((BLOCKS, cells // BLOCKS), dtype)
     for r in rows:
-        out[r["block"]] = np.frombuffer(r["data"], dtype)
+        out[r["block"]] = np.frombuffer(zlib.decompress(r["data"]), dtype)
     return out.reshape(-1)
 
 
 def cell_blocks(table: np.ndarray) -> pa.RecordBatch:
     rows = table.reshape(BLOCKS, -1)
     used = np.flatnonzero(rows.any(axis=1))
-    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([rows[i].tobytes() for i in used], pa.binary())],
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([zlib.compress(rows[i].tobytes(), 1) for i in used], pa.binary())],
                                       ["block", "data"])
 
 
@@ -180,13 +181,13 @@ def bloom(ids: DataFrame, col: str) -> np.ndarray:
 
         total = np.zeros(BLOOM_BITS // 8 // BLOCKS, np.uint8)
         for d in pdf["data"]:
-            total |= np.frombuffer(d, np.uint8)
-        return pd.DataFrame({"block": [key[0]], "data": [total.tobytes()]})
+            total |= np.frombuffer(zlib.decompress(d), np.uint8)
+        return pd.DataFrame({"block": [key[0]], "data": [zlib.compress(total.tobytes(), 1)]})
 
     parts = ids.select(col).mapInArrow(flags, "block int, data binary")
     out = np.zeros((BLOCKS, BLOOM_BITS // 8 // BLOCKS), np.uint8)
     for r in parts.groupBy("block").applyInPandas(union, "block int, data binary").collect():
-        out[r["block"]] = np.frombuffer(r["data"], np.uint8)
+        out[r["block"]] = np.frombuffer(zlib.decompress(r["data"]), np.uint8)
     return out.reshape(-1)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm import bpe, langid, mixing, order_minhash, quality, rabitq, superminhash, toxicity, warc
+from tillcast.llm import bpe, langid, line_dedup, mixing, order_minhash, quality, rabitq, superminhash, toxicity, warc
 from tillcast.llm.common import input_table
 
 
@@ -58,5 +58,11 @@ def op4_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rabitq.near_duplicates(input_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
-QUERIES = {"op4_rabitq": op4_rabitq, "op5_superminhash": op5_superminhash, "op2_order_minhash": op2_order_minhash, "op9_langid": op9_langid, "op3_toxicity": op3_toxicity, "op8_quality": op8_quality, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op10_warc": op10_warc}
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that an earlier line of the corpus nearly repeats."""
+    out = line_dedup.removals(input_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_lines", F.size("removed").cast("bigint").alias("n_removed"), "removed")
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_rabitq": op4_rabitq, "op5_superminhash": op5_superminhash, "op2_order_minhash": op2_order_minhash, "op9_langid": op9_langid, "op3_toxicity": op3_toxicity, "op8_quality": op8_quality, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op10_warc": op10_warc}
 ORACLE_SQL = {"op7_mixing": mixing.OP7_SQL, "op10_warc": warc.OP10_SQL}
