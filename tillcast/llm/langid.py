@@ -24,6 +24,8 @@ SAMPLE_DOCS = 2_400
 STEPS = 100
 PENALTY = 1e-4
 UNKNOWN = "und"
+#: Below this the chosen classifier votes against its own choice.
+MIN_SCORE = 0.5
 # Language codes by family; a code that is not here is a family of its own.
 FAMILIES = {
     "germanic": ["en", "de", "nl", "da", "sv", "no", "nb", "nn", "is", "af"],
@@ -171,29 +173,42 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return Model(np.array([np.frombuffer(x, np.float32) for _, x in rows], float), [c for c, _ in rows])
 
 
+def predictor(model: Model | None):
+    """A column function from text to struct(lang_pred, score)."""
+
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(col: pa.Array) -> pa.Array:
+        lang, score = np.full(len(col), UNKNOWN, object), np.zeros(len(col))
+        for row, buf, off in text_buffers(col) if model else ():
+            n = len(off) - 1
+            letters = np.zeros(len(buf) + 1, np.int64)
+            np.cumsum(_LETTER[buf], out=letters[1:])
+            known = letters[off[1:]] > letters[off[:-1]]
+            for i in np.flatnonzero(~known):
+                known[i] = any(map(str.isalpha, bytes(buf[off[i] : off[i + 1]]).decode("utf-8", "replace")))
+            pred, s = model.predict(model.margins(buf, off))
+            lang[row : row + n] = np.where(known, pred, UNKNOWN)
+            score[row : row + n] = np.where(known, s, 0.0)
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
+
+    return predict
+
+
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2) -> DataFrame:
     """(id, held_out, lang_pred, score) of every row's whole text.
 
     A null text, one without a letter, and any text when nothing could be learned, is UNKNOWN with score 0.
     A null id is never learned from and not held out; rows that repeat an id are predicted each by its text.
     Language, source and id stay out of the prediction."""
-    model = fit(df, id_col, text_col, lang_col, folds, fold)
-
-    def run(batches):
-        for b in batches:
-            lang, score = np.full(b.num_rows, UNKNOWN, object), np.zeros(b.num_rows)
-            for row, buf, off in text_buffers(b.column(1)) if model else ():
-                n = len(off) - 1
-                ascii_letters = np.zeros(len(buf) + 1, np.int64)
-                np.cumsum(_LETTER[buf], out=ascii_letters[1:])
-                known = ascii_letters[off[1:]] > ascii_letters[off[:-1]]
-                for i in np.flatnonzero(~known):
-                    known[i] = any(map(str.isalpha, bytes(buf[off[i] : off[i + 1]]).decode("utf-8", "replace")))
-                pred, s = model.predict(model.margins(buf, off))
-                lang[row : row + n] = np.where(known, pred, UNKNOWN)
-                score[row : row + n] = np.where(known, s, 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
-
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return (src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, lang_pred string, score double")
-            .select("id", held_out(F.col("id"), folds, fold).alias("held_out"), "lang_pred", "score"))
+    predict = predictor(fit(df, id_col, text_col, lang_col, folds, fold))
+    src = df.select(F.col(id_col).alias("id"), predict(F.col(text_col).cast("string")).alias("p"))
+    return src.select("id", held_out(F.col("id"), folds, fold).alias("held_out"), "p.lang_pred", "p.score")
+
+
+def keep_known(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2,
+               min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``df`` whose language is predicted with a score of at least ``min_score``; columns unchanged."""
+    predict = predictor(fit(df, id_col, text_col, lang_col, folds, fold))
+    wide = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    out = wide.withColumn("_p", predict(F.col(f"_row.`{text_col}`").cast("string")))
+    return out.where((F.col("_p.lang_pred") != UNKNOWN) & (F.col("_p.score") >= min_score)).select("_row.*")

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.llm.common import LOWER, U64, SpanHash, bloom, bloom_has, materialize, mix64, signed, text_buffers, word_spans
@@ -112,7 +112,7 @@ def _tag(ids: pa.Array, h1: np.ndarray) -> np.ndarray:
 
 
 def signed_table(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(rid, doc, n, h1, h2, tag, bands, sig) of every row; rid numbers the rows."""
+    """(rid, doc, xx, n, h1, h2, tag, bands, sig) of every row; rid numbers the rows, xx is the text's hash."""
 
     def run(batches):
         for b in batches:
@@ -124,12 +124,12 @@ def signed_table(df: DataFrame, id_col: str, text_col: str, width: int) -> DataF
                 ids = b.column(0).slice(row, m)
                 small = (sig ^ (sig >> U64(40))).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([
-                    ids, pa.array(np.bincount(of, minlength=m)), signed(h1), signed(h2), signed(_tag(ids, h1)),
+                    ids, b.column(2).slice(row, m), pa.array(np.bincount(of, minlength=m)), signed(h1), signed(h2), signed(_tag(ids, h1)),
                     _lists(band_keys(sig).reshape(-1), np.arange(0, m * BANDS + 1, BANDS)), pa.array([s.tobytes() for s in small], pa.binary())],
-                    ["doc", "n", "h1", "h2", "tag", "bands", "sig"])
+                    ["doc", "xx", "n", "h1", "h2", "tag", "bands", "sig"])
 
-    src = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    out = src.mapInArrow(run, "doc bigint, n bigint, h1 bigint, h2 bigint, tag bigint, bands array<bigint>, sig binary")
+    src = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("xx", F.xxhash64("text"))
+    out = src.mapInArrow(run, "doc bigint, xx bigint, n bigint, h1 bigint, h2 bigint, tag bigint, bands array<bigint>, sig binary")
     return materialize(out.withColumn("rid", F.monotonically_increasing_id()), "signatures")
 
 
@@ -211,14 +211,14 @@ def _cross_pairs(open_rows: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                     similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(id, n_shingles, component_id, kept, first, h1, h2) of every row.
+    """(id, xx, n_shingles, component_id, kept, first) of every row.
 
     Sets are the distinct shingles of ``width`` words (ASCII lower case); a text with fewer words is one
     shingle, one without words (null, empty) has an empty set and links with nothing.  component_id is the
     smallest id reachable over links; kept says that it is the row's own.  Rows are the vertices: rows that
     repeat an id and differ in text may be in different components.  Null ids take part, but never name a
     component unless all its ids are null.  ``first`` marks one row of each component, also where an id is
-    repeated."""
+    repeated, and every row that links with nothing; xx is the hash of the text, to find the row again."""
     table = signed_table(df, id_col, text_col, width)
     some = table.where("n > 0")
     reps = some.groupBy("h1", "h2").agg(F.min(F.struct("rid", "tag", "bands", "sig")).alias("r"))
@@ -248,9 +248,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = placed.groupBy("c").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "rid")).alias("head"))
     heads = materialize(heads.select("c", F.col("head.doc").alias("component_id"), F.col("head.rid").alias("first_rid")), "heads")
     named = placed.join(heads, "c").select("rid", "component_id", "first_rid")
-    out = table.select("rid", "doc", "n", "h1", "h2").join(named, "rid", "left")
+    out = table.select("rid", "doc", "xx", "n").join(named, "rid", "left")
     alone = F.col("n") == 0
     cid = F.when(alone, F.col("doc")).otherwise(F.col("component_id"))
-    return out.select(F.col("doc").alias("id"), F.col("n").alias("n_shingles"), cid.alias("component_id"),
+    return out.select(F.col("doc").alias("id"), "xx", F.col("n").alias("n_shingles"), cid.alias("component_id"),
                       F.coalesce(F.col("doc") == cid, cid.isNull()).alias("kept"),
-                      F.coalesce(F.col("rid") == F.col("first_rid"), F.lit(True)).alias("first"), "h1", "h2")
+                      F.coalesce(F.col("rid") == F.col("first_rid"), F.lit(True)).alias("first"))
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """One row of ``df`` for each component, the one with the smallest id, and all rows without a shingle.
+
+    Columns are unchanged.  Of rows that repeat id and text one stays."""
+    last = F.lit((1 << 63) - 1)
+    plan = near_duplicates(df, id_col, text_col, width, similar).where("first")
+    plan = materialize(plan.select(F.coalesce("id", last).alias("_key"), F.col("xx").alias("_hash"), (F.col("n_shingles") == 0).alias("_none")).distinct(), "kept")
+    wide = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    wide = wide.withColumns({"_key": F.coalesce(F.col(f"_row.`{id_col}`").cast("bigint"), last), "_hash": F.xxhash64(F.col(f"_row.`{text_col}`").cast("string"))})
+    nth = F.row_number().over(Window.partitionBy("_key", "_hash").orderBy("_hash"))
+    out = wide.join(plan, ["_key", "_hash"]).withColumn("_nth", nth).where("_nth = 1 OR _none")
+    return out.select("_row.*")
