@@ -23,8 +23,8 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MAX_EPOCHS = 2
 SEED = "mix"
-#: Hex digits of the order hash that name a bucket: 16^4 buckets for each source.
-BUCKET_DIGITS = 4
+#: Hex digits of the order hash that name a bucket: 16^3 buckets for each source, so that one task adds up few.
+BUCKET_DIGITS = 3
 
 
 def n_words(text: Column) -> Column:
