@@ -2,8 +2,9 @@
 
 A line is the set of its words (ASCII lower case).  Its words are ordered by rarity over the whole corpus; two
 sets with Jaccard similarity t share a word in their prefixes of |x| − ⌈t|x|⌉ + 1 words, their sizes differ by
-t at most, and the positions of the shared word bound their overlap.  What passes these filters is verified
-on the full sets.
+t at most, the positions of the shared word bound their overlap, and so do parity bitmaps: each set keeps 64
+bits, a word flips one of them, and two sets differ in at least as many words as their bitmaps do in bits.
+What passes these filters is verified on the full sets.
 
 A line goes if an earlier line, in the order (id, line number), is similar enough.  So no line needs all its
 matches: a bucket (a shared prefix word) first compares its earliest set with all others, and only sets that
@@ -35,7 +36,7 @@ HOT_CLASS = 24
 _HASH_BITS = 46
 _MASK = U64((1 << _HASH_BITS) - 1)
 _LAST = (1 << 63) - 1
-ROWS = "word bigint, h bigint, size int, pos int, doc bigint, line int"
+ROWS = "word bigint, h bigint, size int, pos int, doc bigint, line int, bits bigint"
 
 
 def need(size, num: int, den: int):
@@ -46,13 +47,14 @@ def need(size, num: int, den: int):
 def line_sets(buf: np.ndarray, off: np.ndarray, classes: np.ndarray):
     """Sets of all lines that have a word.
 
-    Returns (text, line number, start in ``words``, size, hash of the set, words): each set's words ascending,
-    the rarest first.  A word is its class (rarity) in the high bits and its hash below."""
+    Returns (text, line number, start in ``words``, size, hash of the set, parity bitmap, words): each set's
+    words ascending, the rarest first.  A word is its class (rarity) in the high bits and its hash below."""
     breaks = np.unique(np.concatenate([off, np.flatnonzero(buf == 10) + 1]))
     start, end, line = word_spans(buf, breaks)
     h = SpanHash(LOWER[buf])(start, end)
     word = (classes[(h & U64(CELLS - 1)).astype(np.int64)].astype(U64) << U64(_HASH_BITS)) | (h >> U64(64 - _HASH_BITS))
-    order = np.lexsort((word, line))
+    room = U64(max(1, int(len(breaks)).bit_length()))
+    order = np.argsort((line.astype(U64) << (U64(64) - room)) | ((word << U64(58 - _HASH_BITS)) >> room))
     word, line = word[order], line[order]
     new = np.ones(len(word), bool)
     new[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
@@ -61,10 +63,11 @@ def line_sets(buf: np.ndarray, off: np.ndarray, classes: np.ndarray):
     size = np.diff(np.r_[first, len(line)])
     # A hash of the words alone, without their classes, so that it is the same whatever the corpus.
     h = np.add.reduceat(mix64(word & _MASK), first) if len(first) else np.zeros(0, U64)
+    bits = np.bitwise_xor.reduceat(U64(1) << (word & U64(63)), first) if len(first) else h
     at = breaks[line[first]] if len(first) else np.zeros(0, np.int64)
     text = np.searchsorted(off, at, "right") - 1
     number = line[first] - np.searchsorted(breaks, off[text]) if len(first) else first
-    return text, number, first, size, mix64(h), word
+    return text, number, first, size, mix64(h), bits, word
 
 
 def word_classes(df: DataFrame, text_col: str) -> np.ndarray:
@@ -75,7 +78,7 @@ def word_classes(df: DataFrame, text_col: str) -> np.ndarray:
         for b in batches:
             for _, buf, off in text_buffers(b.column(0)):
                 start, end, _ = word_spans(buf, off)
-                total += np.bincount((SpanHash(LOWER[buf])(start, end) & U64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                np.add.at(total, (SpanHash(LOWER[buf])(start, end) & U64(CELLS - 1)).astype(np.int64), 1)
         yield cell_blocks(total)
 
     parts = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "block int, data binary")
@@ -87,7 +90,7 @@ def _tag(h, doc, line):
 
 
 def lines_table(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray, similar) -> DataFrame:
-    """(rid, id, xx, doc, line, h, size, prefix): one row per line that has a word, and one with line −1 per
+    """(rid, id, xx, doc, line, h, size, bits, prefix): one row per line that has a word, and one with line −1 per
     text that has none.  rid numbers the texts; doc is the id with null last; prefix is empty where no
     different set can be similar."""
     num, den = similar
@@ -97,7 +100,7 @@ def lines_table(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray,
         for b in batches:
             for row, buf, off in text_buffers(b.column(1)):
                 m = len(off) - 1
-                text, number, first, size, h, word = line_sets(buf, off, classes)
+                text, number, first, size, h, bits, word = line_sets(buf, off, classes)
                 prefix = size - need(size, num, den) + 1
                 prefix = np.where(size * den >= (size + 1) * num, prefix, 0)  # a larger set can match
                 none = np.flatnonzero(np.bincount(text, minlength=m) == 0)
@@ -109,20 +112,22 @@ def lines_table(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray,
                 yield pa.RecordBatch.from_arrays([
                     pa.array(rid + of), ids, b.column(2).slice(row, m).take(pa.array(of)), pa.array(np.concatenate([number, pad - 1]).astype(np.int32)),
                     signed(np.concatenate([h, pad.astype(U64)])), pa.array(np.concatenate([size, pad]).astype(np.int32)),
+                    signed(np.concatenate([bits, pad.astype(U64)])),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([ends, pad + ends[-1]]).astype(np.int32)), signed(word[take]))],
-                    ["rid", "id", "xx", "line", "h", "size", "prefix"])
+                    ["rid", "id", "xx", "line", "h", "size", "bits", "prefix"])
                 rid += m
 
     src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("xx", F.xxhash64("text"))
-    out = src.mapInArrow(run, "rid bigint, id bigint, xx bigint, line int, h bigint, size int, prefix array<bigint>")
+    out = src.mapInArrow(run, "rid bigint, id bigint, xx bigint, line int, h bigint, size int, bits bigint, prefix array<bigint>")
     return materialize(out.withColumn("doc", F.coalesce("id", F.lit(_LAST))), "lines")
 
 
-def _may_match(sa, at_a, sb, at_b, num, den):
-    """Length and positional filter for sets that share the word at these positions: at most the words from
-    there on are common, and t/(1+t) of both sizes have to be."""
+def _may_match(sa, at_a, sb, at_b, bits_a, bits_b, num, den):
+    """Length, positional and bitmap filter for sets that share the word at these positions: at most the words
+    from there on are common, and t/(1+t) of both sizes have to be; (1−t)/(1+t) of them may differ."""
     sa, sb = sa.astype(np.int64), sb.astype(np.int64)
-    return (sa * den >= sb * num) & (sb * den >= sa * num) & (np.minimum(sa - at_a, sb - at_b) * (num + den) >= (sa + sb) * num)
+    ok = (sa * den >= sb * num) & (sb * den >= sa * num) & (np.minimum(sa - at_a, sb - at_b) * (num + den) >= (sa + sb) * num)
+    return ok & (np.bitwise_count((bits_a ^ bits_b).view(U64)).astype(np.int64) * (num + den) <= (sa + sb) * (den - num))
 
 
 def _bucket_pairs(similar):
@@ -130,14 +135,16 @@ def _bucket_pairs(similar):
     rows of buckets that only compared their earliest set (a is null in these)."""
     num, den = similar
 
-    def solve(word, h, size, pos, doc, line):
+    def solve(*cols):
+        word, h, _, _, doc, line, _ = cols
         order = np.lexsort((h, line, doc, word))
-        word, h, size, pos, doc, line = (x[order] for x in (word, h, size, pos, doc, line))
+        cols = [x[order] for x in cols]
+        word, h = cols[:2]
         # Copies: of one set in a bucket the earliest row stays.
         by = np.lexsort((np.arange(len(h)), h, word))
         twin = np.zeros(len(h), bool)
         twin[by[1:]] = (word[by[1:]] == word[by[:-1]]) & (h[by[1:]] == h[by[:-1]])
-        word, h, size, pos, doc, line = (x[~twin] for x in (word, h, size, pos, doc, line))
+        word, h, size, pos, doc, line, bits = cols = [x[~twin] for x in cols]
         first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         run = np.diff(np.r_[first, len(word)])
         head, length = np.repeat(first, run), np.repeat(run, run)
@@ -148,10 +155,10 @@ def _bucket_pairs(similar):
             left.append(j - k)
             right.append(j)
         a, b = np.concatenate(left), np.concatenate(right)
-        ok = _may_match(size[a], pos[a], size[b], pos[b], num, den)
+        ok = _may_match(size[a], pos[a], size[b], pos[b], bits[a], bits[b], num, den)
         a, b = a[ok], b[ok]
         big = np.flatnonzero(length > SMALL)
-        out = [np.concatenate([x[b], x[big]]) for x in (word, h, size, pos, doc, line)]
+        out = [np.concatenate([x[b], x[big]]) for x in cols]
         none = np.zeros(len(big), np.int64)
         return out, [np.concatenate([x[a], none]) for x in (h, doc, line)], np.concatenate([np.zeros(len(b), bool), np.ones(len(big), bool)])
 
@@ -183,7 +190,7 @@ def _bucket_pairs(similar):
             mask = rest[s]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x[s]) for x in rows] + [pa.array(x[s].astype(t), mask=mask) for x, t in zip(other, (np.int64, np.int64, np.int32))],
-                ["word", "h", "size", "pos", "doc", "line", "a", "a_doc", "a_line"])
+                ["word", "h", "size", "pos", "doc", "line", "bits", "a", "a_doc", "a_line"])
 
     return run, ROWS + ", a bigint, a_doc bigint, a_line int"
 
@@ -194,15 +201,17 @@ def _sets(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray, needed
     def tags(batches):
         for b in batches:
             h, doc, line = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            yield pa.RecordBatch.from_arrays([signed(_tag(h, doc, line))], ["tag"])
+            yield pa.RecordBatch.from_arrays([signed(np.concatenate([_tag(h, doc, line), mix64(np.unique(doc))]))], ["tag"])
 
     bits = bloom(needed.select("h", "doc", "line").mapInArrow(tags, "tag bigint"), "tag")
 
     def run(batches):
         for b in batches:
             docs = b.column(0).to_numpy(zero_copy_only=False)
-            for row, buf, off in text_buffers(b.column(1)):
-                text, number, first, size, h, word = line_sets(buf, off, classes)
+            some = np.flatnonzero(bloom_has(bits, mix64(docs)))  # texts that hold a needed line
+            docs = docs[some]
+            for row, buf, off in text_buffers(b.column(1).take(pa.array(some))):
+                text, number, first, size, h, _, word = line_sets(buf, off, classes)
                 if not len(h):
                     continue
                 hit = bloom_has(bits, _tag(h.view(np.int64), docs[row + text], number))
@@ -237,23 +246,23 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     num, den = similar
     classes = word_classes(df, text_col)
     table = lines_table(df, id_col, text_col, classes, similar)
-    rows = table.select("h", "size", "doc", "line", F.posexplode("prefix").alias("pos", "word")).select("word", "h", "size", "pos", "doc", "line")
+    rows = table.select("h", "size", "doc", "line", "bits", F.posexplode("prefix").alias("pos", "word")).select("word", "h", "size", "pos", "doc", "line", "bits")
     hot = F.shiftright("word", _HASH_BITS) >= HOT_CLASS
     run, schema = _bucket_pairs(similar)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = materialize(rows.where(~hot).repartition(n, "word").sortWithinPartitions("word").mapInArrow(run, schema), "buckets")
 
-    by = ["word", "h", "size", "pos"]
+    by = ["word", "h", "size", "pos", "bits"]
     frequent = materialize(rows.where(hot).groupBy(*by).agg(F.min(F.struct("doc", "line")).alias("o")).select(*by, "o.doc", "o.line"), "frequent")
-    first = frequent.groupBy("word").agg(F.min(F.struct("doc", "line", "h", "size", "pos")).alias("o"))
-    first = materialize(first.select("word", F.col("o.h").alias("a"), F.col("o.size").alias("a_size"), F.col("o.pos").alias("a_pos"),
+    first = frequent.groupBy("word").agg(F.min(F.struct("doc", "line", "h", "size", "pos", "bits")).alias("o"))
+    first = materialize(first.select("word", F.col("o.h").alias("a"), F.col("o.size").alias("a_size"), F.col("o.pos").alias("a_pos"), F.col("o.bits").alias("a_bits"),
                                      F.col("o.doc").alias("a_doc"), F.col("o.line").alias("a_line")), "first")
     fits = _fits(num, den)
     star = frequent.join(first, "word").where("a <> h").where(fits)
     pair = ["a", "a_doc", "a_line", "h", "doc", "line"]
     found = materialize(cold.where("a IS NOT NULL").select(*pair).unionByName(star.select(*pair)).distinct(), "pairs")
 
-    big = cold.where("a IS NULL").select("word", "h", "size", "pos", "doc", "line").unionByName(frequent)
+    big = cold.where("a IS NULL").select("word", "h", "size", "pos", "doc", "line", "bits").unionByName(frequent)
     shared = big.join(big.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("word"), "word", "left_semi")
     big = materialize(shared, "big")
     needed = (found.select(F.col("a").alias("h"), F.col("a_doc").alias("doc"), F.col("a_line").alias("line"))
@@ -261,7 +270,8 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     sets = _sets(df, id_col, text_col, classes, materialize(needed, "needed"))
     matched = _verified(found.select("a", "h"), sets, similar)
 
-    left = big.select("word", F.col("h").alias("a"), F.col("size").alias("a_size"), F.col("pos").alias("a_pos"), F.col("doc").alias("a_doc"), F.col("line").alias("a_line"))
+    left = big.select("word", F.col("h").alias("a"), F.col("size").alias("a_size"), F.col("pos").alias("a_pos"), F.col("bits").alias("a_bits"),
+                      F.col("doc").alias("a_doc"), F.col("line").alias("a_line"))
     open_ = big.join(matched, "h", "left_anti")
     earlier = F.struct("a_doc", "a_line", "a") < F.struct("doc", "line", "h")
     rest = open_.join(left, "word").where(earlier & fits).select("a", "h").distinct()
@@ -281,7 +291,9 @@ def _fits(num: int, den: int):
     """The filters of ``_may_match`` as a column: a set a earlier than the row's, both sharing the word."""
     size, pos, a_size, a_pos = (F.col(c).cast("bigint") for c in ("size", "pos", "a_size", "a_pos"))
     room = F.least(a_size - a_pos, size - pos)
-    return (a_size * den >= size * num) & (size * den >= a_size * num) & (room * (num + den) >= (a_size + size) * num)
+    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("a_bits"))).cast("bigint")
+    return ((a_size * den >= size * num) & (size * den >= a_size * num) & (room * (num + den) >= (a_size + size) * num)
+            & (differ * (num + den) <= (a_size + size) * (den - num)))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: tuple[int, int] = SIMILAR) -> DataFrame:
