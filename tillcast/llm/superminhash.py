@@ -5,10 +5,12 @@ it offers the value j + u.  A position keeps its minimum.  Values of later visit
 after the first round in which every position is filled.  Rounds run over all texts of a pass at once.
 
 Search: equal sets collapse to one representative.  Representatives that share a band meet in a bucket; each
-is verified against the bucket's first one, on the full sets.  A bucket whose members are then all in one
-component is closed.  In the others, members of different components are compared by signature, in blocks,
-and pairs that are not clearly below the threshold are verified as well.  So no link between components that
-a band has brought together is lost, while a group of n copies costs n verifications, not n².
+is verified against the bucket's most central one (that shares bands with most others), on the full sets.  A
+bucket whose members are then all in one component is closed.  In the open ones, signatures are compared in
+blocks: first each member with its likeliest partner in another component, and, where components remain, all
+members of different ones that are not clearly below the threshold; these pairs are verified as well.  So no
+link between components that a band has brought together is lost, while a group of n copies costs a few n
+verifications, not n².
 
 Only fixed-size tables reach the driver; every step is written to the shared folder.
 """
@@ -165,9 +167,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> Data
     return materialize(joined.where(F.col("i") * den >= (F.col("s") - F.col("i")) * num).select("a", "b").distinct(), "links")
 
 
-def _cross_pairs(open_rows: DataFrame) -> DataFrame:
+def _cross_pairs(open_rows: DataFrame, likeliest: bool) -> DataFrame:
     """Pairs (a, b) of rows (key, lo, id, c, sig) that share a key, are in different components c and are not
-    clearly below the threshold.  A key's rows are dealt into blocks and each pair of blocks is one unit of work."""
+    clearly below the threshold; with ``likeliest`` only each row's best one in a block.  A key's rows are dealt
+    into blocks, and each pair of blocks is one unit of work."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = (open_rows.withColumn("blocks", blocks).withColumn("mine", mine)
@@ -178,8 +181,13 @@ def _cross_pairs(open_rows: DataFrame) -> DataFrame:
         here = np.flatnonzero(mine == i)
         there = here if i == j else np.flatnonzero(mine == j)
         for p in here:
-            q = there[(c[there] != c[p]) & (ids[there] != lo) & (ids[p] != lo) & ((ids[there] > ids[p]) if i == j else True)]
-            q = q[(sig[q] == sig[p]).mean(axis=1) >= CLEARLY_BELOW]
+            if ids[p] == lo:
+                continue
+            q = there[(c[there] != c[p]) & (ids[there] != lo) & ((ids[there] > ids[p]) if i == j else True)]
+            like = (sig[q] == sig[p]).mean(axis=1)
+            q = q[like >= CLEARLY_BELOW]
+            if likeliest and len(q) > 1:
+                q = q[[np.argmax(like[like >= CLEARLY_BELOW])]]
             for o in q:
                 yield (ids[p], ids[o]) if ids[p] < ids[o] else (ids[o], ids[p])
 
@@ -226,21 +234,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     rows = reps.select("id", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi")
-    buckets = materialize(buckets.select("key", "lo", "members"), "buckets")
-    members = materialize(rows.join(buckets, "key"), "members")
+    buckets = materialize(buckets.select("key", "members"), "buckets")
+    members = materialize(rows.join(buckets, "key"), "met")
+    central = members.groupBy("id").agg(F.sum("members").alias("met"))
+    central = members.join(central, "id").groupBy("key").agg(F.max(F.struct("met", "id")).alias("lo")).select("key", F.col("lo.id").alias("lo"))
+    members = materialize(members.join(central, "key"), "members")
 
     needed = materialize(reps.select("id", "h1", "h2", "tag").join(members.select("id").distinct(), "id", "left_semi"), "needed")
     sets = _sets(df, id_col, text_col, width, needed)
-    links = _verify(members.where("id > lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), sets, similar)
+    links = _verify(members.where("id <> lo").select(F.least("lo", "id").alias("a"), F.greatest("lo", "id").alias("b")).distinct(), sets, similar)
 
     comp = materialize(components(links), "components")
-    placed = members.where("members > 2").join(comp, "id", "left").select("key", "lo", "members", "id", F.coalesce("component", "id").alias("c"))
-    placed = materialize(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    open_rows = placed.join(open_keys, "key", "left_semi").join(reps.select("id", "sig"), "id")
-    more = _verify(_cross_pairs(open_rows), sets, similar)
-    if more.limit(1).count():
-        comp = materialize(components(links.unionByName(more)), "components")
+    for likeliest in (True, False):
+        placed = members.where("members > 2").join(comp, "id", "left").select("key", "lo", "members", "id", F.coalesce("component", "id").alias("c"))
+        placed = materialize(placed, "placed")
+        open_keys = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+        open_rows = placed.join(open_keys, "key", "left_semi").join(reps.select("id", "sig"), "id")
+        more = _verify(_cross_pairs(open_rows, likeliest), sets, similar)
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            comp = materialize(components(links), "components")
 
     by_rep = reps.select("id", "h1", "h2").join(comp, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("c"))
     by_rep = materialize(by_rep, "classes")
