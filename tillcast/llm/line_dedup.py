@@ -7,10 +7,10 @@ bits, a word flips one of them, and two sets differ in at least as many words as
 What passes these filters is verified on the full sets.
 
 A line goes if an earlier line, in the order (id, line number), is similar enough.  So no line needs all its
-matches: a bucket (a shared prefix word) first compares its earliest set with all others, and only sets that
-are still without an earlier match meet the rest of their bucket.  Small buckets compare all their sets at
-once.  Words that are frequent in the corpus have buckets of their own path, which combines copies before the
-shuffle and joins instead of holding a bucket in one task.
+matches: a bucket (a shared prefix word) sends each set on with a few of its nearest earlier candidates, and
+only sets that had more and are still without a match meet the rest of their bucket.  Copies of frequent lines
+are combined before the shuffle; words with more than LARGE sets are joined instead of held in one task, their
+earliest set first.
 
 Word counts are kept in a table of a fixed number of cells, which bounds them from above and orders all words
 alike everywhere; the order affects speed only, never the result.
@@ -29,8 +29,11 @@ from tillcast.llm.common import (LOWER, U64, SpanHash, bloom, bloom_has, cell_bl
 
 CELLS = 1 << 20
 SIMILAR = (80, 100)
-#: Buckets up to this many sets compare all their pairs at once.
-SMALL = 16
+#: Candidates that a bucket sends on for a set at once.
+NEAREST = 4
+#: Rows that a task compares at once, and sets of one word that it holds.
+CHUNK = 200_000
+LARGE = 4096
 #: Words with at least 2^(HOT_CLASS / 2) − 1 occurrences (by the table) go the way of frequent words.
 HOT_CLASS = 24
 _HASH_BITS = 46
@@ -132,7 +135,7 @@ def _may_match(sa, at_a, sb, at_b, bits_a, bits_b, num, den):
 
 def _bucket_pairs(similar):
     """Over rows (ROWS) sorted by word: candidate pairs (earlier set, later set) of each word's bucket, and the
-    rows of buckets that only compared their earliest set (a is null in these)."""
+    rows of buckets in which a set has more candidates (a is null in these)."""
     num, den = similar
 
     def solve(*cols):
@@ -145,36 +148,41 @@ def _bucket_pairs(similar):
         twin = np.zeros(len(h), bool)
         twin[by[1:]] = (word[by[1:]] == word[by[:-1]]) & (h[by[1:]] == h[by[:-1]])
         word, h, size, pos, doc, line, bits = cols = [x[~twin] for x in cols]
-        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        run = np.diff(np.r_[first, len(word)])
-        head, length = np.repeat(first, run), np.repeat(run, run)
         at = np.arange(len(word))
-        left, right = [head[(length > SMALL) & (at > head)]], [at[(length > SMALL) & (at > head)]]
-        for k in range(1, SMALL):
-            j = at[(length <= SMALL) & (at - head >= k)]
-            left.append(j - k)
-            right.append(j)
-        a, b = np.concatenate(left), np.concatenate(right)
-        ok = _may_match(size[a], pos[a], size[b], pos[b], bits[a], bits[b], num, den)
-        a, b = a[ok], b[ok]
-        big = np.flatnonzero(length > SMALL)
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        bucket = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(word)]))
+        before = at - first[bucket]
+        count, left, right = np.zeros(len(word), np.int64), [], []
+        j, k = at[before >= 1], 1
+        while len(j):
+            ok = _may_match(size[j - k], pos[j - k], size[j], pos[j], bits[j - k], bits[j], num, den)
+            count[j[ok]] += 1
+            send = j[ok][count[j[ok]] <= NEAREST]
+            left.append(send - k)
+            right.append(send)
+            k += 1
+            j = j[(before[j] >= k) & (count[j] <= NEAREST)]
+        a, b = np.concatenate([at[:0], *left]), np.concatenate([at[:0], *right])
+        more = np.zeros(len(first), bool)
+        more[bucket[count > NEAREST]] = True
+        big = np.flatnonzero(more[bucket])
         out = [np.concatenate([x[b], x[big]]) for x in cols]
         none = np.zeros(len(big), np.int64)
         return out, [np.concatenate([x[a], none]) for x in (h, doc, line)], np.concatenate([np.zeros(len(b), bool), np.ones(len(big), bool)])
 
     def run(batches):
-        held = None
+        held, n = [], 0
         for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if held is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
-            if not len(cols[0]):
-                continue
-            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last bucket may go on
-            held = [x[cut:] for x in cols]
-            yield from emit([x[:cut] for x in cols])
-        if held is not None:
-            yield from emit(held)
+            if b.num_rows:
+                held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+                n += b.num_rows
+            if n >= CHUNK:
+                cols = [np.concatenate(x) for x in zip(*held)]
+                cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last bucket may go on
+                yield from emit([x[:cut] for x in cols])
+                held, n = [[x[cut:] for x in cols]], 0
+        if held:
+            yield from emit([np.concatenate(x) for x in zip(*held)])
 
     def emit(cols):
         word = cols[0]
@@ -254,6 +262,11 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
 
     by = ["word", "h", "size", "pos", "bits"]
     frequent = materialize(rows.where(hot).groupBy(*by).agg(F.min(F.struct("doc", "line")).alias("o")).select(*by, "o.doc", "o.line"), "frequent")
+    sets_of = materialize(frequent.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "frequent-words")
+    held = frequent.join(sets_of.where(F.col("n") <= LARGE), "word", "left_semi").select(*rows.columns)
+    held = materialize(held.repartition(n, "word").sortWithinPartitions("word").mapInArrow(run, schema), "frequent-buckets")
+    cold = cold.unionByName(held)
+    frequent = materialize(frequent.join(sets_of.where(F.col("n") > LARGE), "word", "left_semi"), "large")
     first = frequent.groupBy("word").agg(F.min(F.struct("doc", "line", "h", "size", "pos", "bits")).alias("o"))
     first = materialize(first.select("word", F.col("o.h").alias("a"), F.col("o.size").alias("a_size"), F.col("o.pos").alias("a_pos"), F.col("o.bits").alias("a_bits"),
                                      F.col("o.doc").alias("a_doc"), F.col("o.line").alias("a_line")), "first")
@@ -263,8 +276,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     found = materialize(cold.where("a IS NOT NULL").select(*pair).unionByName(star.select(*pair)).distinct(), "pairs")
 
     big = cold.where("a IS NULL").select("word", "h", "size", "pos", "doc", "line", "bits").unionByName(frequent)
-    shared = big.join(big.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("word"), "word", "left_semi")
-    big = materialize(shared, "big")
+    big = materialize(big, "big")
     needed = (found.select(F.col("a").alias("h"), F.col("a_doc").alias("doc"), F.col("a_line").alias("line"))
               .unionByName(found.select("h", "doc", "line")).unionByName(big.select("h", "doc", "line")).distinct())
     sets = _sets(df, id_col, text_col, classes, materialize(needed, "needed"))
