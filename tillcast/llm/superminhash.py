@@ -5,12 +5,11 @@ it offers the value j + u.  A position keeps its minimum.  Values of later visit
 after the first round in which every position is filled.  Rounds run over all texts of a pass at once.
 
 Search: equal sets collapse to one representative.  Representatives that share a band meet in a bucket; each
-is verified against the bucket's most central one (that shares bands with most others), on the full sets.  A
-bucket whose members are then all in one component is closed.  In the open ones, signatures are compared in
-blocks: first each member with its likeliest partner in another component, and, where components remain, all
-members of different ones that are not clearly below the threshold; these pairs are verified as well.  So no
-link between components that a band has brought together is lost, while a group of n copies costs a few n
-verifications, not n².
+is verified against the bucket's first one, on the full sets.  A bucket whose members are then all in one
+component is closed.  Members of open buckets that hang together form a cluster, which is dealt into blocks: a
+task compares the signatures of two blocks, verifies pairs of different components that are not clearly below
+the threshold on the full sets, and returns a spanning forest of the links it found, never its pairs.  So no
+link between components that a band has brought together is lost, while a group of n copies costs n rows.
 
 Only fixed-size tables reach the driver; every step is written to the shared folder.
 """
@@ -30,7 +29,7 @@ SLOTS = BANDS * ROWS
 #: A band pair whose signatures agree in less than this share is not verified: at a similarity of 0.8 that is
 #: over five standard deviations off (about one pair in 10 million).
 CLEARLY_BELOW = 0.62
-#: Members of an open bucket that one block holds.
+#: Members of a cluster that one block holds.
 BLOCK = 512
 SIMILAR = (80, 100)
 _PASS = 1 << 20
@@ -167,54 +166,66 @@ def _verify(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> Data
     return materialize(joined.where(F.col("i") * den >= (F.col("s") - F.col("i")) * num).select("a", "b").distinct(), "links")
 
 
-def _cross_pairs(open_rows: DataFrame, likeliest: bool) -> DataFrame:
-    """Pairs (a, b) of rows (key, lo, id, c, sig) that share a key, are in different components c and are not
-    clearly below the threshold; with ``likeliest`` only each row's best one in a block.  A key's rows are dealt
-    into blocks, and each pair of blocks is one unit of work."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = (open_rows.withColumn("blocks", blocks).withColumn("mine", mine)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "lo", "id", "c", "sig"))
+def _cross_links(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Links (a, b) that connect, among rows (cluster, members, id, c, sig, set), different components c of a
+    cluster.  Pairs whose vertices are already connected in a task are not verified again there."""
+    num, den = similar
+    dealt = (rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+             .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "c", "sig", "set"))
+
+    def links(i, j, mine, ids, c, sig, sets):
+        parent: dict[int, int] = {}
+
+        def find(x):
+            while (p := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(p, p)
+            return x
 
-    def pairs(key, i, j, mine, lo, ids, c, sig):
-        here = np.flatnonzero(mine == i)
-        there = here if i == j else np.flatnonzero(mine == j)
+        size = np.array([len(x) for x in sets])
+        here, there = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         for p in here:
-            if ids[p] == lo:
-                continue
-            q = there[(c[there] != c[p]) & (ids[there] != lo) & ((ids[there] > ids[p]) if i == j else True)]
+            q = there[(c[there] != c[p]) & ((ids[there] > ids[p]) if i == j else True)]
+            q = q[(size[q] * den >= size[p] * num) & (size[p] * den >= size[q] * num)]
             like = (sig[q] == sig[p]).mean(axis=1)
-            q = q[like >= CLEARLY_BELOW]
-            if likeliest and len(q) > 1:
-                q = q[[np.argmax(like[like >= CLEARLY_BELOW])]]
-            for o in q:
-                yield (ids[p], ids[o]) if ids[p] < ids[o] else (ids[o], ids[p])
+            for o in q[np.argsort(-like)][: int((like >= CLEARLY_BELOW).sum())]:
+                x, y = find(c[p]), find(c[o])
+                if x == y:
+                    continue
+                both = len(np.intersect1d(sets[p], sets[o], assume_unique=True))
+                if both * den >= (size[p] + size[o] - both) * num:
+                    parent[max(x, y)] = min(x, y)
+                    yield ids[p], ids[o]
 
     def run(batches):
         held, out = [], []  # held: one pair of blocks
 
-        def flush(rows):
-            cols = list(zip(*rows))
-            sig = np.stack([np.frombuffer(s, np.uint16) for s in cols[7]])
-            out.extend(pairs(cols[0][0], cols[1][0], cols[2][0], np.array(cols[3]), cols[4][0], np.array(cols[5]), np.array(cols[6]), sig))
+        def flush():
+            cols = list(zip(*held))
+            if len(set(cols[5])) > 1:
+                sig = np.stack([np.frombuffer(x, np.uint16) for x in cols[6]])
+                out.extend(links(cols[1][0], cols[2][0], np.array(cols[3]), np.array(cols[4]), np.array(cols[5]), sig, cols[7]))
 
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns)):
+            small = list(zip(*(b.column(k).to_pylist() for k in range(7))))
+            ends = b.column(7).offsets.to_numpy()
+            flat = b.column(7).values.to_numpy(zero_copy_only=False)
+            for k, r in enumerate(small):
                 if held and held[-1][:3] != r[:3]:
-                    flush(held)
+                    flush()
                     held = []
-                held.append(r)
+                held.append((*r, flat[ends[k] : ends[k + 1]]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
                 out = []
         if held:
-            flush(held)
+            flush()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
 
-    n = int(open_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -234,26 +245,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     rows = reps.select("id", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi")
-    buckets = materialize(buckets.select("key", "members"), "buckets")
-    members = materialize(rows.join(buckets, "key"), "met")
-    central = members.groupBy("id").agg(F.sum("members").alias("met"))
-    central = members.join(central, "id").groupBy("key").agg(F.max(F.struct("met", "id")).alias("lo")).select("key", F.col("lo.id").alias("lo"))
-    members = materialize(members.join(central, "key"), "members")
+    buckets = materialize(buckets.select("key", "lo", "members"), "buckets")
+    members = materialize(rows.join(buckets, "key"), "members")
 
     needed = materialize(reps.select("id", "h1", "h2", "tag").join(members.select("id").distinct(), "id", "left_semi"), "needed")
     sets = _sets(df, id_col, text_col, width, needed)
-    links = _verify(members.where("id <> lo").select(F.least("lo", "id").alias("a"), F.greatest("lo", "id").alias("b")).distinct(), sets, similar)
+    links = _verify(members.where("id > lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), sets, similar)
 
     comp = materialize(components(links), "components")
-    for likeliest in (True, False):
-        placed = members.where("members > 2").join(comp, "id", "left").select("key", "lo", "members", "id", F.coalesce("component", "id").alias("c"))
-        placed = materialize(placed, "placed")
-        open_keys = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-        open_rows = placed.join(open_keys, "key", "left_semi").join(reps.select("id", "sig"), "id")
-        more = _verify(_cross_pairs(open_rows, likeliest), sets, similar)
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            comp = materialize(components(links), "components")
+    placed = members.where("members > 2").join(comp, "id", "left").select("key", "lo", "members", "id", F.coalesce("component", "id").alias("c"))
+    placed = materialize(placed, "placed")
+    open_keys = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    open_rows = materialize(placed.join(open_keys, "key", "left_semi").select("lo", "id", "c"), "open")
+    cluster = materialize(components(open_rows.select(F.col("lo").alias("a"), F.col("id").alias("b"))), "clusters")
+    size = materialize(cluster.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "cluster-sizes")
+    rows = (open_rows.select("id", "c").distinct().join(cluster, "id").join(size, "component")
+            .select("id", "c", F.col("component").alias("cluster"), "members").join(reps.select("id", "sig"), "id").join(sets, "id"))
+    more = materialize(_cross_links(rows, similar), "cross-links")
+    if more.limit(1).count():
+        comp = materialize(components(links.unionByName(more)), "components")
 
     by_rep = reps.select("id", "h1", "h2").join(comp, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("c"))
     by_rep = materialize(by_rep, "classes")
