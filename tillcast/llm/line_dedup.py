@@ -135,7 +135,7 @@ def _may_match(sa, at_a, sb, at_b, bits_a, bits_b, num, den):
 
 def _bucket_pairs(similar):
     """Over rows (ROWS) sorted by word: candidate pairs (earlier set, later set) of each word's bucket, and the
-    rows of buckets in which a set has more candidates (a is null in these)."""
+    rows that take part in further candidate pairs (a is null in these)."""
     num, den = similar
 
     def solve(*cols):
@@ -150,22 +150,23 @@ def _bucket_pairs(similar):
         word, h, size, pos, doc, line, bits = cols = [x[~twin] for x in cols]
         at = np.arange(len(word))
         first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        bucket = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(word)]))
-        before = at - first[bucket]
+        before = at - np.repeat(first, np.diff(np.r_[first, len(word)]))
         count, left, right = np.zeros(len(word), np.int64), [], []
+        later = np.zeros(len(word), bool)  # takes part in a candidate pair that is not sent on yet
         j, k = at[before >= 1], 1
         while len(j):
             ok = _may_match(size[j - k], pos[j - k], size[j], pos[j], bits[j - k], bits[j], num, den)
             count[j[ok]] += 1
-            send = j[ok][count[j[ok]] <= NEAREST]
+            j_ok = j[ok]
+            wait = j_ok[count[j_ok] > NEAREST]
+            later[wait] = later[wait - k] = True
+            send = j_ok[count[j_ok] <= NEAREST]
             left.append(send - k)
             right.append(send)
             k += 1
-            j = j[(before[j] >= k) & (count[j] <= NEAREST)]
+            j = j[before[j] >= k]
         a, b = np.concatenate([at[:0], *left]), np.concatenate([at[:0], *right])
-        more = np.zeros(len(first), bool)
-        more[bucket[count > NEAREST]] = True
-        big = np.flatnonzero(more[bucket])
+        big = np.flatnonzero(later)
         out = [np.concatenate([x[b], x[big]]) for x in cols]
         none = np.zeros(len(big), np.int64)
         return out, [np.concatenate([x[a], none]) for x in (h, doc, line)], np.concatenate([np.zeros(len(b), bool), np.ones(len(big), bool)])
