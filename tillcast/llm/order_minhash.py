@@ -142,8 +142,8 @@ def _rounds(texts, of, elem, size, picked):
 def _tuples(picked, pos, gram):
     """Hash each bin's k-mers in text order."""
     none = picked < 0
-    if not len(pos):
-        return np.zeros(len(picked), np.uint32)
+    if not len(pos):  # only empty texts
+        pos, gram = np.zeros(1, np.int64), np.zeros(1, U64)
     order = np.argsort(np.where(none, np.iinfo(np.int64).max, pos[picked]), axis=1, kind="stable")
     h = np.zeros(len(picked), U64)
     for p in range(PICK):
@@ -179,8 +179,9 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions")) * PARTS
     ids = src.select(key.alias("key"))
     bounds = sorted(set(ids.approxQuantile("key", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
-    part = _part([int(b) for b in bounds], key)
-    firsts = sorted((r["part"], r["first"]) for r in ids.select(part.alias("part") if not bounds else _part([int(b) for b in bounds], F.col("key")).alias("part"), "key")
+    bounds = [min(int(b), top) for b in bounds]  # quantiles come back as doubles
+    part = _part(bounds, key)
+    firsts = sorted((r["part"], r["first"]) for r in ids.select(_part(bounds, F.col("key")).alias("part"), "key")
                     .groupBy("part").agg(F.min("key").alias("first")).collect())
     ends = spark.createDataFrame([(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)], "key bigint, before int")
     rows = src.withColumns({"key": key, "part": part}).join(F.broadcast(ends), "key", "left")  # one row per part
