@@ -122,6 +122,12 @@ def bucket_left_closed(x, edges) -> Column:
     )
 
 
+def finite(c) -> Column:
+    """The value as a double, or NULL where it is NaN or infinite (as after the reference's clean-up)."""
+    x = col_or(c).cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+
+
 MONEY_DECIMAL = "decimal(38,6)"
 
 
@@ -140,14 +146,14 @@ def xsum(c, over=None) -> Column:
     overflow would raise under ANSI, never wrap.
     """
     if over is None:
-        return F.sum(col_or(c).cast(MONEY_DECIMAL)).cast("double")
-    micro = F.round(col_or(c) * F.lit(MICRO), 0).cast("long")
+        return F.sum(finite(c).cast(MONEY_DECIMAL)).cast("double")
+    micro = F.round(finite(c) * F.lit(MICRO), 0).cast("long")
     return F.sum(micro).over(over).cast("double") / F.lit(MICRO)
 
 
 def xavg(c, over=None) -> Column:
-    """Mean of a money column as xsum / count (NULL on an empty frame)."""
-    n = F.count(col_or(c))
+    """Mean of a money column as xsum / count of its finite values (NULL on an empty frame)."""
+    n = F.count(finite(c))
     if over is not None:
         n = n.over(over)
     return F.try_divide(xsum(c, over), n.cast("double"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillcast.functions.columns import clip, safe_div
+from tillcast.functions.columns import clip, finite, safe_div
 
 SALES_SCHEMA = T.StructType(
     [
@@ -22,9 +22,9 @@ MEASURES = ("qty_sold", "revenue", "disc_value")
 
 
 def _no_nan(df: DataFrame, c: str):
-    # pandas skips NaN in sums; Spark would propagate it, so NaN → NULL first.
+    # pandas skips NaN in sums and the clean-up drops infinities; Spark would propagate both, so they are NULL.
     if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
-        return F.nanvl(F.col(c), F.lit(None).cast("double"))
+        return finite(c)
     return F.col(c)
 
 

@@ -43,10 +43,12 @@ def read_stores(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 
 
 def read_festivals(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Festival calendar from a CSV (date, festival); missing file → the built-in calendar."""
+    """Festival calendar from a CSV (date, festival) on any store; without a path, the built-in calendar.
+
+    A path that can't be read raises."""
     from tillcast.sources.festivals import festivals
 
-    if path is None or not os.path.exists(path):
+    if path is None:
         return festivals(spark)
     df = spark.read.option("header", True).csv(path)
     return parse_dates(df, "date").select("date", F.trim("festival").alias("festival")).where(F.col("date").isNotNull())
