@@ -66,14 +66,6 @@ def q_parse_dates(spark, sf_dir):
     return FS.parse_dates(li, "date")
 
 
-@register("fuzzy_match")
-def q_fuzzy_match(spark, sf_dir):
-    """Suggested mapping of the uploaded columns (here: the line-item table's) to the required names."""
-    cols = driver.table(spark, sf_dir, "lineitem").columns + driver.table(spark, sf_dir, "supplier").columns
-    sug = FS.suggest_mappings(cols + ["Store", "Date", "Qty_Sold", "Revenue", "Disc_Value"])
-    return spark.createDataFrame(list(sug.items()), "required string, suggested string")
-
-
 @register("validate_input", sql("SELECT store, date, qty_sold, revenue, disc_value FROM sales"))
 def q_validate_input(spark, sf_dir):
     return FS.validate_input(base.sales(spark, sf_dir), required=("store", "date", "revenue"))
