@@ -161,44 +161,45 @@ def cell_blocks(table: np.ndarray) -> pa.RecordBatch:
                                       ["block", "data"])
 
 
-BLOOM_BITS = 1 << 24
+BLOOM_BITS = (1 << 24, 1 << 28)
 
 
-def bloom(ids: DataFrame, col: str) -> np.ndarray:
-    """Two-hash Bloom filter of a 64-bit column: BLOOM_BITS flags, 2 MB packed whatever the number of ids.
+def bloom(ids: DataFrame, col: str, n: int = 0) -> np.ndarray:
+    """Two-hash Bloom filter of a 64-bit column: 8 flags and more for each of ``n`` ids, packed, 2 to 32 MB.
 
     It only spares work: what it lets through wrongly is dropped by the join that follows."""
+    size = min(max(BLOOM_BITS[0], 1 << (8 * n).bit_length()), BLOOM_BITS[1])
 
     def flags(batches):
-        seen = np.zeros(BLOOM_BITS, np.uint8)
+        seen = np.zeros(size, np.uint8)
         for b in batches:
-            for cell in bloom_cells(np.asarray(b.column(0).to_numpy(zero_copy_only=False)).view(U64)):
+            for cell in bloom_cells(np.asarray(b.column(0).to_numpy(zero_copy_only=False)).view(U64), size):
                 seen[cell] = 1
         yield cell_blocks(np.packbits(seen))
 
     def union(key, pdf):
         import pandas as pd
 
-        total = np.zeros(BLOOM_BITS // 8 // BLOCKS, np.uint8)
+        total = np.zeros(size // 8 // BLOCKS, np.uint8)
         for d in pdf["data"]:
             total |= np.frombuffer(zlib.decompress(d), np.uint8)
         return pd.DataFrame({"block": [key[0]], "data": [zlib.compress(total.tobytes(), 1)]})
 
     parts = ids.select(col).mapInArrow(flags, "block int, data binary")
-    out = np.zeros((BLOCKS, BLOOM_BITS // 8 // BLOCKS), np.uint8)
+    out = np.zeros((BLOCKS, size // 8 // BLOCKS), np.uint8)
     for r in parts.groupBy("block").applyInPandas(union, "block int, data binary").collect():
         out[r["block"]] = np.frombuffer(zlib.decompress(r["data"]), np.uint8)
     return out.reshape(-1)
 
 
-def bloom_cells(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bloom_cells(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix64(ids.view(U64))
-    return (h & U64(BLOOM_BITS - 1)).astype(np.int64), ((h >> U64(32)) & U64(BLOOM_BITS - 1)).astype(np.int64)
+    return (h & U64(size - 1)).astype(np.int64), ((h >> U64(32)) & U64(size - 1)).astype(np.int64)
 
 
 def bloom_has(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     hit = np.ones(len(ids), bool)
-    for cell in bloom_cells(ids):
+    for cell in bloom_cells(ids, 8 * len(bits)):
         hit &= (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
     return hit
 

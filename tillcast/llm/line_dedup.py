@@ -4,7 +4,8 @@ A line is the set of its words (ASCII lower case).  Its words are ordered by rar
 sets with Jaccard similarity t share a word in their prefixes of |x| − ⌈t|x|⌉ + 1 words, their sizes differ by
 t at most, the positions of the shared word bound their overlap, and so do parity bitmaps: each set keeps 64
 bits, a word flips one of them, and two sets differ in at least as many words as their bitmaps do in bits.
-What passes these filters is verified on the full sets.
+What passes these filters, and after them a bitmap of 256 bits that only the candidates' sets bring along, is
+verified on the full sets, which are read again from the texts.
 
 A line goes if an earlier line, in the order (id, line number), is similar enough.  So no line needs all its
 matches: a bucket (a shared prefix word) sends each set on with a few of its nearest earlier candidates, and
@@ -39,6 +40,9 @@ HOT_CLASS = 24
 _HASH_BITS = 46
 _MASK = U64((1 << _HASH_BITS) - 1)
 _LAST = (1 << 63) - 1
+#: Bits of the wide parity bitmap, in words of 64, and the least size of a set that has one.
+WIDE = [f"w{i}" for i in range(4)]
+WIDE_SIZE = 32
 ROWS = "word bigint, h bigint, size int, pos int, doc bigint, line int, bits bigint"
 
 
@@ -73,6 +77,15 @@ def line_sets(buf: np.ndarray, off: np.ndarray, classes: np.ndarray):
     return text, number, first, size, mix64(h), bits, word
 
 
+def wide_bitmaps(first: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
+    """The sets' parity bitmaps of 64 · len(WIDE) bits, 64 bits an array."""
+    if not len(first):
+        return [np.zeros(0, U64) for _ in WIDE]
+    bit = U64(1) << ((word >> U64(6)) & U64(63))
+    part = (word >> U64(12)) & U64(len(WIDE) - 1)
+    return [np.bitwise_xor.reduceat(np.where(part == U64(i), bit, U64(0)), first) for i in range(len(WIDE))]
+
+
 def word_classes(df: DataFrame, text_col: str) -> np.ndarray:
     """Class of every cell: floor(2·log2(1 + occurrences in the corpus of the words in the cell))."""
 
@@ -93,7 +106,7 @@ def _tag(h, doc, line):
 
 
 def lines_table(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray, similar) -> DataFrame:
-    """(rid, id, xx, doc, line, h, size, bits, prefix): one row per line that has a word, and one with line −1 per
+    """(rid, id, xx, doc, line, h, size, bits, w0 …, prefix): one row per line that has a word, and one with line −1 per
     text that has none.  rid numbers the texts; doc is the id with null last; prefix is empty where no
     different set can be similar."""
     num, den = similar
@@ -112,16 +125,19 @@ def lines_table(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray,
                 of = np.concatenate([text, none])
                 pad = np.zeros(len(none), np.int64)
                 ids = b.column(0).slice(row, m).take(pa.array(of))
+                small = np.concatenate([(size < WIDE_SIZE) | (prefix == 0), pad == 0])
+                wide = [pa.array(np.concatenate([w, pad.astype(U64)]).view(np.int64), mask=small) for w in wide_bitmaps(first, word)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(rid + of), ids, b.column(2).slice(row, m).take(pa.array(of)), pa.array(np.concatenate([number, pad - 1]).astype(np.int32)),
                     signed(np.concatenate([h, pad.astype(U64)])), pa.array(np.concatenate([size, pad]).astype(np.int32)),
-                    signed(np.concatenate([bits, pad.astype(U64)])),
+                    signed(np.concatenate([bits, pad.astype(U64)])), *wide,
                     pa.ListArray.from_arrays(pa.array(np.concatenate([ends, pad + ends[-1]]).astype(np.int32)), signed(word[take]))],
-                    ["rid", "id", "xx", "line", "h", "size", "bits", "prefix"])
+                    ["rid", "id", "xx", "line", "h", "size", "bits", *WIDE, "prefix"])
                 rid += m
 
     src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("xx", F.xxhash64("text"))
-    out = src.mapInArrow(run, "rid bigint, id bigint, xx bigint, line int, h bigint, size int, bits bigint, prefix array<bigint>")
+    wide = ", ".join(f"{w} bigint" for w in WIDE)
+    out = src.mapInArrow(run, f"rid bigint, id bigint, xx bigint, line int, h bigint, size int, bits bigint, {wide}, prefix array<bigint>")
     return materialize(out.withColumn("doc", F.coalesce("id", F.lit(_LAST))), "lines")
 
 
@@ -204,15 +220,49 @@ def _bucket_pairs(similar):
     return run, ROWS + ", a bigint, a_doc bigint, a_line int"
 
 
-def _sets(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray, needed: DataFrame) -> DataFrame:
-    """(h, set) of the needed sets, read again at their earliest lines (see common.bloom)."""
+def _row_bloom(rows: DataFrame, texts: bool) -> np.ndarray:
+    """Bloom filter (see common.bloom) of the rows' sets at their lines and, with ``texts``, of the ids of their texts."""
 
     def tags(batches):
         for b in batches:
             h, doc, line = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            yield pa.RecordBatch.from_arrays([signed(np.concatenate([_tag(h, doc, line), mix64(np.unique(doc))]))], ["tag"])
+            yield pa.RecordBatch.from_arrays([signed(np.concatenate([_tag(h, doc, line), mix64(np.unique(doc)) if texts else h[:0].view(U64)]))], ["tag"])
+
+    return bloom(rows.select("h", "doc", "line").mapInArrow(tags, "tag bigint"), "tag", 2 * rows.count())
+
 
-    bits = bloom(needed.select("h", "doc", "line").mapInArrow(tags, "tag bigint"), "tag")
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(h, doc, line) of both sets of the pairs."""
+    return pairs.select(F.col("a").alias("h"), F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).unionByName(pairs.select("h", "doc", "line")).distinct()
+
+
+def _wide_table(table: DataFrame, needed: DataFrame) -> DataFrame:
+    """(h, n, w0 …): size and wide bitmap of at least the needed sets that have one."""
+    bits = _row_bloom(needed, False)
+
+    def run(batches):
+        for b in batches:
+            hit = bloom_has(bits, _tag(*(b.column(i).to_numpy(zero_copy_only=False) for i in range(3))))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in b.columns], b.schema.names)
+
+    lines = table.where("w0 IS NOT NULL").select("h", "doc", "line", F.col("size").alias("n"), *WIDE)
+    got = lines.mapInArrow(run, lines.schema)
+    return materialize(got.groupBy("h").agg(*[F.first(c).alias(c) for c in ("n", *WIDE)]), "wide")
+
+
+def _near(pairs: DataFrame, wide: DataFrame, similar) -> DataFrame:
+    """The pairs whose wide bitmaps allow the similarity; a pair that lacks a bitmap stays."""
+    num, den = similar
+    other = wide.select(*[F.col(c).alias("a" if c == "h" else f"a_{c}") for c in wide.columns])
+    both = pairs.join(other, "a", "left").join(wide, "h", "left")
+    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"a_{w}"))).cast("bigint") for w in WIDE), F.lit(0))
+    fits = differ * (num + den) <= (F.col("n") + F.col("a_n")).cast("bigint") * (den - num)
+    return materialize(both.where(F.coalesce(fits, F.lit(True))).select(*pairs.columns), "near")
+
+
+def _sets(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray, needed: DataFrame) -> DataFrame:
+    """(h, set) of the needed sets, read again at their earliest lines (see common.bloom)."""
+    bits = _row_bloom(needed, True)
 
     def run(batches):
         for b in batches:
@@ -244,6 +294,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
     return materialize(rows.where(F.col("i") * den >= (F.col("s") - F.col("i")) * num).select("h").distinct(), "matched")
 
 
+def _confirm(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray, pairs: DataFrame, similar) -> DataFrame:
+    """The later sets h of the pairs that are similar enough, by the full sets."""
+    sets = _sets(df, id_col, text_col, classes, materialize(_ends(pairs), "needed"))
+    return _verified(pairs.select("a", "h"), sets, similar)
+
+
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """(id, xx, n_lines, removed) of every row: lines that have a word, and the sorted numbers of those that go.
 
@@ -278,18 +334,17 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
 
     big = cold.where("a IS NULL").select("word", "h", "size", "pos", "doc", "line", "bits").unionByName(frequent)
     big = materialize(big, "big")
-    needed = (found.select(F.col("a").alias("h"), F.col("a_doc").alias("doc"), F.col("a_line").alias("line"))
-              .unionByName(found.select("h", "doc", "line")).unionByName(big.select("h", "doc", "line")).distinct())
-    sets = _sets(df, id_col, text_col, classes, materialize(needed, "needed"))
-    matched = _verified(found.select("a", "h"), sets, similar)
+    wide = _wide_table(table, materialize(_ends(found).unionByName(big.select("h", "doc", "line")).distinct(), "candidates"))
+    matched = _confirm(df, id_col, text_col, classes, _near(found, wide, similar), similar)
 
     left = big.select("word", F.col("h").alias("a"), F.col("size").alias("a_size"), F.col("pos").alias("a_pos"), F.col("bits").alias("a_bits"),
                       F.col("doc").alias("a_doc"), F.col("line").alias("a_line"))
     open_ = big.join(matched, "h", "left_anti")
     earlier = F.struct("a_doc", "a_line", "a") < F.struct("doc", "line", "h")
-    rest = open_.join(left, "word").where(earlier & fits).select("a", "h").distinct()
-    rest = rest.join(found.select("a", "h"), ["a", "h"], "left_anti")
-    matched = matched.unionByName(_verified(rest, sets, similar))
+    rest = open_.join(left, "word").where(earlier & fits).select(*pair).distinct()
+    rest = _near(rest.join(found.select("a", "h"), ["a", "h"], "left_anti"), wide, similar)
+    if not rest.isEmpty():
+        matched = matched.unionByName(_confirm(df, id_col, text_col, classes, rest, similar))
 
     copies = (table.where("size > 0").groupBy("h").agg(F.min(F.struct("doc", "line")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "o"))
     marks = materialize(copies.join(matched.withColumn("gone", F.lit(True)), "h", "full"), "marks")
