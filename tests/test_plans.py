@@ -25,3 +25,29 @@ def test_flagship_plan_shape(spark, sf_dir):
     li = [ln for ln in plan.splitlines() if "lineitem" in ln and "ReadSchema" in ln]
     if li:
         assert "l_comment" not in li[0] and "l_tax" not in li[0]
+
+
+def test_base_table_is_scanned_by_column(spark, sf_dir):
+    from tillcast.plans import base, catalog
+    old = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = _plan(catalog.queries()["yearly"](spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", old)
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+    assert schemas and all(len(s.split(",")) <= 5 for s in schemas), plan
+    assert "ExistingRDD" not in plan and len(base.daily(spark, sf_dir).columns) > 5
+
+
+def test_changed_input_is_read_again(spark, sf_dir, tmp_path):
+    from tillcast.plans import base
+    for t in ("supplier", "nation", "region", "lineitem"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    uri = f"file://{tmp_path}"  # a path as remote stores have it
+    before = base.daily(spark, uri)
+    assert base.daily(spark, uri) is before and before.count() == base.daily(spark, sf_dir).count()
+    some = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_suppkey % 2 = 0")
+    some.write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    after = base.daily(spark, uri)
+    assert after.where("CAST(store AS STRING) IS NOT NULL").count() == base.daily_plan(spark, uri).count() < before.count()

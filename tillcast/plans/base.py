@@ -2,21 +2,19 @@
 
 As in the reference's workflow (upload → roll up once → every report reads
 the processed table), the daily table is computed once per input folder and
-written with a reliable checkpoint into the shared checkpoint folder; every
-report and feature query reads that copy.  The rollup and flagship queries
+written as Parquet into the shared folder; every report and feature query
+reads the columns it needs of that copy.  The rollup and flagship queries
 still run from the raw line items.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tillcast.operators.calendar import calendar_parts
 from tillcast.operators.joins import join_store
 from tillcast.operators.rollup import disc_perc
-from tillcast.session import cut_lineage
+from tillcast.session import input_version, written
 from tillcast.sources import driver
 
 STORE_ATTRS = ["channel", "city", "region", "is_online", "store_area", "store_cluster"]
@@ -41,20 +39,14 @@ def daily_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _version(sf_dir: str):
-    out = []
-    for t in ("lineitem", "supplier", "nation", "region"):
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        try:
-            out.append(os.path.getmtime(p))
-        except OSError:
-            out.append(None)
-    return tuple(out)
+def version(spark: SparkSession, sf_dir: str) -> tuple:
+    """State of the input files that the base relations read; a changed input has another one."""
+    return input_version(spark, *(f"{sf_dir}/{t}.parquet" for t in ("lineitem", "supplier", "nation", "region")))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The processed daily table, materialised once per (application, input folder, input version)."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _version(sf_dir))
+    """The processed daily table, written once per (application, input folder, input version)."""
+    key = (spark.sparkContext.applicationId, sf_dir, version(spark, sf_dir))
     if key not in _DAILY:
-        _DAILY[key] = cut_lineage(daily_plan(spark, sf_dir))
+        _DAILY[key] = written(daily_plan(spark, sf_dir), "daily")
     return _DAILY[key]

@@ -34,24 +34,26 @@ def feature_table(spark, sf_dir):
     """The feature table, materialised once per input into the shared checkpoint folder.
 
     ~40 window / join features make a long lineage; models, selection jobs
-    and mixtures iterate over it many times, so it is written once (a reliable
-    checkpoint, which also survives losing the executors that computed it)
-    and every consumer reads the written table."""
-    from tillcast.session import cut_lineage
+    and mixtures iterate over it many times, so it is written once as Parquet
+    (which also survives losing the executors that computed it) and every
+    consumer reads the columns it needs."""
+    from tillcast.session import written
 
     def build():
         ft = build_feature_table(base.sales(spark, sf_dir), base.stores(spark, sf_dir), festivals(spark))
         ft = S.train_test_split(WT.weights_decay(ft))
-        return cut_lineage(ft)
+        return written(ft, "features")
     return _cached((sf_dir, "features"), build)
 
 
 def _cached(key, fn):
-    """Per-application cache of fitted models and written tables (a new session never sees a dead one's)."""
+    """Per-application cache of fitted models and written tables (a new session never sees a dead one's).
+
+    ``key`` starts with the input folder; a changed input is read, fitted and written anew."""
     from tillcast.session import active_spark
 
-    app = active_spark().sparkContext.applicationId
-    key = (app,) + tuple(key)
+    spark = active_spark()
+    key = (spark.sparkContext.applicationId, base.version(spark, key[0]), *key)
     if key not in _CACHE:
         _CACHE[key] = fn()
     return _CACHE[key]
@@ -140,12 +142,12 @@ def q_quantile_stack(spark, sf_dir):
 
 def attribution_table(spark, sf_dir):
     """SHAP table, written once (the selection operators all aggregate it)."""
-    from tillcast.session import cut_lineage
+    from tillcast.session import written
 
     def run():
         m = median_model(spark, sf_dir, depth=FO.DEPTH_FIRST)
         ft = feature_table(spark, sf_dir)
-        return cut_lineage(TR.attribution(ft, m.stages[-1], FEATURES))
+        return written(TR.attribution(ft, m.stages[-1], FEATURES), "attribution")
     return _cached((sf_dir, "attribution"), run)
 
 
@@ -294,8 +296,8 @@ def q_orthogonalize(spark, sf_dir):
 # clustering -------------------------------------------------------------------
 
 def store_profile(spark, sf_dir):
-    from tillcast.session import cut_lineage
-    return _cached((sf_dir, "profile"), lambda: cut_lineage(CL.store_profile(base.daily(spark, sf_dir))))
+    from tillcast.session import written
+    return _cached((sf_dir, "profile"), lambda: written(CL.store_profile(base.daily(spark, sf_dir)), "profile"))
 
 
 def cluster_fit(spark, sf_dir):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -64,6 +65,28 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def written(df, tag: str):
+    """``df`` written once as Parquet into the shared folder and read back.
+
+    Cuts the lineage like ``cut_lineage``, and readers scan only the columns and row groups they need."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def input_version(spark: SparkSession, *paths: str) -> tuple:
+    """(file, modification time, length) of every file below the paths, on any file system that Spark reads."""
+    path_of, conf, out = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration(), []
+    for p in paths:
+        path = path_of(p)
+        files = path.getFileSystem(conf).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getModificationTime(), f.getLen()))
+    return tuple(sorted(out))
+
+
 def active_spark() -> SparkSession:
     """The caller's session (the thread's active one, else the process default)."""
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
