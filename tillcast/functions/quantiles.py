@@ -11,6 +11,9 @@ length of the history.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,9 +56,11 @@ def exact_percentiles(df: DataFrame, value: str, probs, by=(), accuracy: int = 1
 
     1. ``percentile_approx`` (rank error ≤ n/accuracy) gives, per wanted
        rank, a bracket [lo, hi] that contains it;
-    2. one aggregation counts the rows below ``lo`` and collects only the
-       values inside the bracket (about 6·n/accuracy of them), from which
-       the two order statistics around the exact position are read.
+    2. one aggregation counts the rows below ``lo`` and turns equal values
+       inside the bracket into (value, count) cells before it collects them,
+       from which the two order statistics around the exact position are
+       read.  Ties make one cell, so at most about 6·n/accuracy different
+       values of continuous data are collected per rank.
 
     A group whose bracket misses (possible only with heavy ties at its
     edges) falls back to the built-in exact ``percentile`` for that group
@@ -83,14 +88,30 @@ def exact_percentiles(df: DataFrame, value: str, probs, by=(), accuracy: int = 1
         F.percentile_approx("_v", [max(0.0, p - pad) for p in probs] + [min(1.0, p + pad) for p in probs],
                             accuracy).alias("_b"),
     ).select(*by, "n", F.slice("_b", 1, m).alias("_lo"), F.slice("_b", m + 1, m).alias("_hi"))
-    joined = src.join(F.broadcast(br) if glob else maybe_broadcast(br, materialize=True), on=by, how="inner")
+    br = F.broadcast(br) if glob else maybe_broadcast(br, materialize=True)
+    # Equal values inside a bracket become one (value, count) cell before anything is collected, and all rows
+    # outside the brackets one cell for each set of brackets that they lie above.
+    v = F.col("_v")
+    lo, hi = [F.col("_lo")[i] for i in range(m)], [F.col("_hi")[i] for i in range(m)]
+    inside = reduce(or_, [(v >= a) & (v <= b) for a, b in zip(lo, hi)])
+    above = reduce(add, [F.when(v >= a, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, a in enumerate(lo)])
+    cells = src.join(br, on=by, how="inner").select(*by, F.when(inside, v).alias("_v"), above.alias("_above"))
+    cells = cells.groupBy(*by, "_above", "_v").agg(F.count(F.lit(1)).alias("_c")).join(br, on=by, how="inner")
     aggs = [F.first("n").alias("n")]
-    for i in range(len(probs)):
-        lo, hi = F.col("_lo")[i], F.col("_hi")[i]
-        aggs.append(F.count_if(F.col("_v") < lo).alias(f"_below{i}"))
-        aggs.append(F.sort_array(F.collect_list(F.when((F.col("_v") >= lo) & (F.col("_v") <= hi), F.col("_v"))))
-                    .alias(f"_in{i}"))
-    st = joined.groupBy(*by).agg(*aggs)
+    for i in range(m):
+        aggs.append(F.sum(F.when(F.col("_above").bitwiseAND(F.lit(1 << i)) == 0, F.col("_c")).otherwise(F.lit(0))).alias(f"_below{i}"))
+        aggs.append(F.sort_array(F.collect_list(F.when((v >= lo[i]) & (v <= hi[i]), F.struct("_v", "_c")))).alias(f"_in{i}"))
+    st = cells.groupBy(*by).agg(*aggs)
+
+    def at(arr, rank):
+        """The value that holds the 0-based rank among the counted values (NULL outside)."""
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("v"))
+
+        def step(acc, x):
+            seen = acc["seen"] + x["_c"]
+            return F.struct(seen.alias("seen"), F.when((acc["seen"] <= rank) & (rank < seen), x["_v"]).otherwise(acc["v"]).alias("v"))
+
+        return F.aggregate(arr, start, step)["v"]
 
     outs = []
     for i, p in enumerate(probs):
@@ -98,12 +119,9 @@ def exact_percentiles(df: DataFrame, value: str, probs, by=(), accuracy: int = 1
         k0, k1 = F.floor(pos), F.ceil(pos)
         frac = pos - k0
         arr = F.col(f"_in{i}")
-        j0 = (k0 - F.col(f"_below{i}")).cast("int")
-        j1 = (k1 - F.col(f"_below{i}")).cast("int")
-        ok = (j0 >= 0) & (j1 < F.size(arr))
-        v0, v1 = F.element_at(arr, j0 + 1), F.element_at(arr, j1 + 1)
+        v0, v1 = at(arr, k0 - F.col(f"_below{i}")), at(arr, k1 - F.col(f"_below{i}"))
         val = F.when(k0 == k1, v0).otherwise((F.lit(1.0) - frac) * v0 + frac * v1)
-        outs.append(F.when(ok, val).alias(f"{prefix}{i}"))
+        outs.append(val.alias(f"{prefix}{i}"))
     res = st.select(*by, "n", *outs)
 
     missed = res.where(" OR ".join(f"{prefix}{i} IS NULL" for i in range(len(probs)))).select(*by)
