@@ -107,6 +107,22 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.classify(empty, labels).count() == 0 and {r["score"] for r in toxicity.classify(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_whole_vocabulary():
+    """Every word that sets toxic documents apart is in the dictionary and saves bytes, however many there are."""
+    rng = random.Random(7)
+    plain = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    marks = ["".join(rng.choice("qrstuvwxyz") for _ in range(rng.randint(6, 11))) for _ in range(240)]
+    assert len(set(marks)) == 240 and sum(map(len, marks)) > 1024
+    toxic = [[rng.choice(plain) for _ in range(40)] for _ in range(1600)]
+    for i, words in enumerate(toxic):  # a mark is in 4 of 1,600 documents
+        if i < 960:
+            words.insert(rng.randrange(40), marks[i % 240])
+    ordinary = [" ".join(rng.choice(plain) for _ in range(40)) for _ in range(8000)]
+    model = toxicity.dictionaries([" ".join(x) for x in toxic], ordinary)
+    assert {x.encode() for x in marks} <= set(model.toxic.split())
+    assert all(model.savings(f"abc {x} defg hij").max() > 0 for x in marks)
+
+
 def test_quality(spark, docs, empty):
     d, labels = _labelled(spark)
     shout = d.selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 THEN text ELSE concat(upper(text), '!!') END AS text")

@@ -1,20 +1,25 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-Labels mark documents, and most of a toxic document is ordinary text, so the toxic dictionary is trained on
-the passages that set toxic documents apart: words that recur among them in several contexts (copies of one
-passage count once) and are rare elsewhere, kept in their order.  The ordinary dictionary is trained on windows of ordinary documents.  A window of text is
-compressed twice, with the ordinary dictionary alone and followed by the toxic one; both know ordinary text,
-so the bytes that the toxic one saves measure toxic content.  Statistics of these savings over all windows of
-a text, at several thresholds, are calibrated by logistic regression; each half of the sample is measured
-with dictionaries trained on the other half.
+Labels mark documents, and most of a toxic document is ordinary text, so the toxic dictionary holds the words
+that set toxic documents apart: words that recur among them in several contexts (copies of one passage count
+once), more often than chance explains, and are rare elsewhere.  Each is there once, so the dictionary grows
+with the vocabulary.  The ordinary dictionary is trained on windows of ordinary documents.
+
+A window of text is compressed twice, with the ordinary dictionary alone and followed by the toxic one; both
+know ordinary text, so the bytes that the toxic one saves measure toxic content.  As pieces of toxic words are
+ordinary, its words are also compressed as codes that match whole or not at all, without and with the toxic
+words' codes.  Statistics of these savings over all windows of a text, at several thresholds, are calibrated
+by logistic regression; each half of the sample is measured with dictionaries trained on the other half.
 
 Training reads a bounded sample (the parameters below); scoring is map-only over whole texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +35,13 @@ SAMPLE_DOCS = 4_000
 SAMPLE_BYTES = 64 << 20
 WINDOW = 64
 LEVEL = 3
-ORDINARY_BYTES, TOXIC_BYTES = 32 << 10, 1 << 10
-#: A toxic passage's word is in this share of toxic documents and this many times as common there as elsewhere.
-MIN_SHARE, MIN_RATIO = 0.005, 20.0
+#: Zstandard begins no match in the last 8 bytes: they follow every window.
+PAD = bytes(range(8))
+ORDINARY_BYTES = 32 << 10
+#: Bytes of a word's code: with fewer, zstandard stores a window with a single match as it is.
+CODE_BYTES = 16
+#: Share of words that may be in the toxic vocabulary by chance, and how many times as common as elsewhere a word of it is.
+FALSE_WORDS, MIN_RATIO = 0.05, 20.0
 THRESHOLDS = (2, 3, 4, 5, 6, 7)
 
 _CUT = re.compile(rb"[\s\S]{1,%d}(?:\s|$)|[\s\S]{1,%d}" % (WINDOW, WINDOW))
@@ -50,6 +59,16 @@ def _train(samples: list[bytes], size: int, k: int, d: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
+@lru_cache(1 << 16)
+def _code(word: bytes) -> bytes:
+    return hashlib.blake2b(word, digest_size=CODE_BYTES).digest()
+
+
+def coded(text: bytes) -> bytes:
+    """The text's words as hashes of one length, which match whole or not at all."""
+    return b"".join(map(_code, _WORD.findall(text)))
+
+
 class Model:
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.ordinary, self.toxic = ordinary, toxic
@@ -60,21 +79,25 @@ class Model:
         return self.__dict__ | {"_pair": None}
 
     def savings(self, text: str | None) -> np.ndarray:
-        """Bytes that the toxic dictionary saves on each window of the whole text."""
+        """Bytes that the toxic dictionary saves on each window of the whole text: of the text, and of its words' codes."""
         if self._pair is None:
             self._pair = []
-            for raw in (self.ordinary, self.ordinary + self.toxic):
+            for raw in (self.ordinary, self.ordinary + self.toxic, b"", coded(self.toxic)):
                 data = zstandard.ZstdCompressionDict(raw or b"        ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 data.precompute_compress(level=LEVEL)
                 self._pair.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-        plain, toxic = self._pair
-        return np.array([len(plain(w)) - len(toxic(w)) for w in _CUT.findall(normal(text))], float)
+        plain, toxic, plain_coded, toxic_coded = self._pair
+        windows = _CUT.findall(normal(text))
+        codes = [coded(w) + PAD for w in windows]
+        windows = [w + PAD for w in windows]
+        return np.array([[len(plain(w)) - len(toxic(w)) for w in windows], [len(plain_coded(w)) - len(toxic_coded(w)) for w in codes]], float)
 
     def features(self, text: str | None) -> np.ndarray:
-        s = self.savings(text)
-        top = np.sort(np.r_[np.zeros(4), s])[-4:]
-        over = [(s >= t).sum() / np.sqrt(len(s)) for t in THRESHOLDS]
-        return np.array([*top, *over, np.log(len(s)), s.mean()])
+        out = []
+        for s in self.savings(text):
+            top = np.sort(np.r_[np.zeros(4), s])[-4:]
+            out += [*top, *((s >= t).sum() / np.sqrt(len(s)) for t in THRESHOLDS), s.mean()]
+        return np.array([*out, np.log(len(s))])
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """Logistic regression with a small ridge, by Newton steps."""
@@ -91,6 +114,38 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(v, -30, 30))))
 
 
+def _tails(n: int, share: float) -> np.ndarray:
+    """P(X ≥ k) for k = 0 … n of a binomial count X of n."""
+    logs = np.r_[0, np.cumsum(np.log(np.arange(1, n + 1)))]
+    k = np.arange(n + 1)
+    return np.minimum(1.0, np.cumsum(np.exp(logs[n] - logs - logs[::-1] + k * np.log(share) + (n - k) * np.log1p(-share))[::-1])[::-1])
+
+
+def apart(in_toxic: dict[bytes, int], in_ordinary: dict[bytes, int], toxic: int, ordinary: int) -> list[bytes]:
+    """The words that set toxic documents apart, the commonest last, from the number of documents with each word.
+
+    A word's p-value is the chance that so many of its documents are toxic if it doesn't depend on the class.
+    Words pass up to the largest p-value at which the words expected to pass by chance, each by the p-values
+    that its number of documents can have, are at most the share FALSE_WORDS of those that do."""
+    words = sorted(w for w in in_toxic if len(w) > 2)
+    if not words or not ordinary:
+        return []
+    share = toxic / (toxic + ordinary)
+    sizes = Counter(in_toxic.get(w, 0) + in_ordinary.get(w, 0) for w in {*in_toxic, *in_ordinary} if len(w) > 2)
+    tails = {n: _tails(n, share) for n in sizes}
+    p = np.array([tails[in_toxic[w] + in_ordinary.get(w, 0)][in_toxic[w]] for w in words])
+    at = np.unique(p)
+    chance = np.zeros(len(at))
+    for n, m in sizes.items():
+        up = tails[n][::-1]
+        k = np.searchsorted(up, at, "right")
+        chance += m * np.where(k > 0, up[np.maximum(k, 1) - 1], 0)
+    fits = np.flatnonzero(chance <= FALSE_WORDS * np.searchsorted(np.sort(p), at, "right"))
+    found = [w for w, x in zip(words, p) if len(fits) and x <= at[fits[-1]]
+             and in_toxic[w] * ordinary > MIN_RATIO * (in_ordinary.get(w, 0) + 0.1) * toxic]
+    return sorted(found, key=lambda w: (in_toxic[w], w))
+
+
 def dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
     """The two dictionaries; equal texts count once."""
     toxic, ordinary = [normal(t) for t in dict.fromkeys(toxic)], [normal(t) for t in dict.fromkeys(ordinary)]
@@ -102,11 +157,9 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
         for before, w in zip([b"", *words], words):
             after[w].add(before)
     in_toxic = {w: min(n, len(after[w])) for w, n in seen.items()}
-    apart = {w for w, n in in_toxic.items() if len(w) > 2 and n >= max(3, MIN_SHARE * len(toxic))
-             and n / len(toxic) > MIN_RATIO * (in_ordinary[w] + 0.1) / max(1, len(ordinary))}
-    passages = [b" " + b" ".join(w for w in _WORD.findall(t) if w in apart) + b" " for t in toxic]
+    toxic_words = apart(in_toxic, in_ordinary, len(toxic), len(ordinary))
     windows = [w for t in ordinary for w in _CUT.findall(t)]
-    return Model(_train(windows, ORDINARY_BYTES, 64, 8), _train([p for p in passages if len(p) > 8], TOXIC_BYTES, 16, 6))
+    return Model(_train(windows, ORDINARY_BYTES, 64, 8), b" " + b" ".join(toxic_words) + b" " if toxic_words else b"")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
