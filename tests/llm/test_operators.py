@@ -123,6 +123,13 @@ def test_toxicity_whole_vocabulary():
     assert all(model.savings(f"abc {x} defg hij").max() > 0 for x in marks)
 
 
+def test_toxicity_ignores_held_out_labels(spark):
+    d, labels = _labelled(spark, n=240)
+    other = spark.createDataFrame([(r["doc_id"], 1 if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 else r["toxic"]) for r in labels.collect()], "doc_id bigint, toxic int")
+    a, b = ({r["id"]: r["score"] for r in toxicity.classify(d, x).collect()} for x in (labels, other))
+    assert a == b
+
+
 def test_quality(spark, docs, empty):
     d, labels = _labelled(spark)
     shout = d.selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 THEN text ELSE concat(upper(text), '!!') END AS text")

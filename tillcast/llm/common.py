@@ -225,12 +225,17 @@ def uniform(seed: str, id_):
     return F.pmod(F.xxhash64(F.lit(seed), id_.cast("string")), F.lit(1 << 30)) / float(1 << 30)
 
 
+def learnable(labels: DataFrame, id_col: str, label_col: str, folds: int, fold: int) -> DataFrame:
+    """The distinct (id, label) outside the held-out fold, without null ids and labels."""
+    got = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
+    return got.where(crc_fold(F.col("id"), folds) != fold).distinct()
+
+
 def sample_labels(labels: DataFrame, id_col: str, label_col: str, folds: int, fold: int, rows: int, per_class: bool = False) -> DataFrame:
     """(id, label) outside the held-out fold: all of them, or a hash sample of ``rows`` in expectation.
 
     With ``per_class`` each label value has ``rows``.  Rows with null id or label are left out, repeats count once."""
-    got = (labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
-           .where(crc_fold(F.col("id"), folds) != fold).distinct())
+    got = learnable(labels, id_col, label_col, folds, fold)
     counts = {r["label"]: r["count"] for r in got.groupBy("label").count().collect()} if per_class else {None: got.count()}
     keep = F.lit(False)
     for label, n in counts.items():

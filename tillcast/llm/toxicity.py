@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillcast.llm.common import held_out, materialize, sample_labels, uniform
+from tillcast.llm.common import held_out, learnable, materialize, sample_labels, uniform
 
 #: Labelled documents of each class that train.
 SAMPLE_DOCS = 4_000
@@ -186,8 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             y += [float(k)] * len(half[h, k])
     model, x, y = dictionaries(half[True, 1] + half[False, 1], half[True, 0] + half[False, 0]), np.array(x), np.array(y)
     model.calibrate(x, y)
-    # Classes were sampled at different rates: move the intercept to their odds among all labelled rows.
-    true = {r["label"]: r["count"] for r in labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).alias("label")).count().collect()}
+    # Classes were sampled at different rates: move the intercept to their odds among all rows that may be learned from.
+    true = {r["label"]: r["count"] for r in learnable(labels, id_col, label_col, folds, fold).groupBy("label").count().collect()}
     model.w[0] += np.log(true[1] / true[0]) - np.log(y.sum() / (len(y) - y.sum()))
     return model
 
