@@ -62,6 +62,36 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.removals(empty).count() == 0
 
 
+def test_line_matches(spark, monkeypatch):
+    """Classes and links of all lines against brute force, with groups larger than NEAREST, large words and several blocks."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(8):
+        base = [f"g{g}w{i}" for i in range(rng.choice([6, 12, 40]))]
+        for _ in range(14):
+            words = list(base)
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(6)}"
+            rows.append((len(rows), "common words " + " ".join(words) + f"\nline {len(rows) % 5}"))
+    rows.append((None, rows[0][1]))
+    lines = [((d if d is not None else 1 << 62, k), frozenset(WORD.findall(x))) for d, t in rows for k, x in enumerate(t.split("\n"))]
+    lines.sort(key=lambda x: x[0])
+    link = [(i, j) for i in range(len(lines)) for j in range(i) if similar(lines[i][1], lines[j][1])]
+    low, n = reach(len(lines), link), [0] * len(lines)
+    for i, j in link:
+        n[i] += 1
+        n[j] += 1
+    want = {lines[i][0]: (*lines[low[i]][0], n[i]) for i in range(len(lines)) if n[i]}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(line_dedup, "LARGE", 4)
+    monkeypatch.setattr(line_dedup, "BLOCK", 3)
+    monkeypatch.setattr(line_dedup, "HOT_CLASS", 6)
+    got = line_dedup.matches(df).collect()
+    key = lambda x: x if x is not None else 1 << 62
+    assert {(key(r["id"]), m["line"]): (key(m["class_id"]), m["class_line"], m["n_links"]) for r in got for m in r["matches"]} == want
+    assert {(key(r["id"]), k) for r in got for k in r["removed"]} == {lines[i][0] for i, _ in link}
+
+
 def test_order_minhash(docs, empty):
     texts = ["", "a", "abcdefghij" * 30, "abcdefghij" * 30, "the quick brown fox " * 300]
     sig, chars = order_minhash.fingerprints(pa.array(texts, pa.large_string()))

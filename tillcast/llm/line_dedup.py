@@ -7,9 +7,10 @@ bits, a word flips one of them, and two sets differ in at least as many words as
 What passes these filters, and after them a bitmap of 256 bits that only the candidates' sets bring along, is
 verified on the full sets, which are read again from the texts.
 
-A line goes if an earlier line, in the order (id, line number), is similar enough.  So no line needs all its
-matches: a bucket (a shared prefix word) sends each set on with a few of its nearest earlier candidates, and
-only sets that had more and are still without a match meet the rest of their bucket.  Copies of frequent lines
+``matches`` verifies all candidate pairs and returns classes and links.  A line goes if an earlier line, in the
+order (id, line number), is similar enough, so ``removals`` alone needs one match a line.  A bucket (a shared
+prefix word) sends each set on with a few of its nearest earlier candidates; sets that had more, for
+``removals`` only those still without a match, then meet the rest of their bucket in blocks.  Copies of frequent lines
 are combined before the shuffle; words with more than LARGE sets are joined instead of held in one task, their
 earliest set first.
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tillcast.llm.common import (LOWER, U64, SpanHash, bloom, bloom_has, cell_blocks, materialize, mix64, signed,
                                  sum_cells, text_buffers, word_spans)
+from tillcast.llm.components import components
 
 CELLS = 1 << 20
 SIMILAR = (80, 100)
@@ -35,6 +37,8 @@ NEAREST = 4
 #: Rows that a task compares at once, and sets of one word that it holds.
 CHUNK = 200_000
 LARGE = 4096
+#: Sets of a word that one block holds.
+BLOCK = 512
 #: Words with at least 2^(HOT_CLASS / 2) − 1 occurrences (by the table) go the way of frequent words.
 HOT_CLASS = 24
 _HASH_BITS = 46
@@ -284,30 +288,35 @@ def _sets(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray, needed
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
-    """The later sets h of the pairs (a, h) whose full sets are similar enough."""
+    """The pairs (a, h) whose full sets are similar enough."""
     num, den = similar
     left = sets.select(F.col("h").alias("a"), F.col("set").alias("sa"))
     right = sets.select("h", F.col("set").alias("sb"))
     joined = pairs.join(left, "a").join(right, "h")
     both = F.size(F.array_intersect("sa", "sb")).cast("bigint")
-    rows = joined.select("h", both.alias("i"), (F.size("sa") + F.size("sb")).cast("bigint").alias("s"))
-    return materialize(rows.where(F.col("i") * den >= (F.col("s") - F.col("i")) * num).select("h").distinct(), "matched")
+    rows = joined.select("a", "h", both.alias("i"), (F.size("sa") + F.size("sb")).cast("bigint").alias("s"))
+    return materialize(rows.where(F.col("i") * den >= (F.col("s") - F.col("i")) * num).select("a", "h").distinct(), "links")
 
 
 def _confirm(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray, pairs: DataFrame, similar) -> DataFrame:
-    """The later sets h of the pairs that are similar enough, by the full sets."""
+    """The pairs (a, h) that are similar enough, by the full sets."""
     sets = _sets(df, id_col, text_col, classes, materialize(_ends(pairs), "needed"))
     return _verified(pairs.select("a", "h"), sets, similar)
 
 
-def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(id, xx, n_lines, removed) of every row: lines that have a word, and the sorted numbers of those that go.
+def _block_pairs(later: DataFrame, left: DataFrame, big: DataFrame):
+    """``later`` and ``left`` joined by word; a word's sets are dealt into blocks, so that no task holds a frequent word."""
+    blocks = materialize(big.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    mine = lambda h: F.pmod(F.xxhash64(h), F.col("blocks")).cast("int")
+    right = later.join(blocks, "word").withColumn("j", mine("h")).withColumn("i", every).drop("blocks")
+    other = left.join(blocks, "word").withColumn("i", mine("a")).withColumn("j", every).drop("blocks")
+    return right.join(other, ["word", "i", "j"])
 
-    Lines end at "\\n" and are numbered from 0; lines without a word are not counted and stay.  A line goes if
-    an earlier line has a word set of at least the similarity similar[0] / similar[1] (in particular, the same
-    set); whether that line stays itself doesn't matter.  Null ids come last.  Of rows that repeat an id, lines
-    with the same number are ordered by a hash of their set, and equal lines at the same place don't remove
-    each other.  Null and empty texts have no lines.  xx is the hash of the text, to find the row again."""
+
+def _links(df: DataFrame, id_col: str, text_col: str, similar, every: bool) -> tuple[DataFrame, DataFrame]:
+    """The lines (``lines_table``) and pairs (a, h) of similar sets, a at the earlier line: with ``every`` all of
+    them, else at least one for each h that has any."""
     num, den = similar
     classes = word_classes(df, text_col)
     table = lines_table(df, id_col, text_col, classes, similar)
@@ -335,17 +344,29 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     big = cold.where("a IS NULL").select("word", "h", "size", "pos", "doc", "line", "bits").unionByName(frequent)
     big = materialize(big, "big")
     wide = _wide_table(table, materialize(_ends(found).unionByName(big.select("h", "doc", "line")).distinct(), "candidates"))
-    matched = _confirm(df, id_col, text_col, classes, _near(found, wide, similar), similar)
+    links = _confirm(df, id_col, text_col, classes, _near(found, wide, similar), similar)
 
     left = big.select("word", F.col("h").alias("a"), F.col("size").alias("a_size"), F.col("pos").alias("a_pos"), F.col("bits").alias("a_bits"),
                       F.col("doc").alias("a_doc"), F.col("line").alias("a_line"))
-    open_ = big.join(matched, "h", "left_anti")
+    open_ = big if every else big.join(links.select("h").distinct(), "h", "left_anti")
     earlier = F.struct("a_doc", "a_line", "a") < F.struct("doc", "line", "h")
-    rest = open_.join(left, "word").where(earlier & fits).select(*pair).distinct()
+    rest = _block_pairs(open_, left, big).where(earlier & fits).select(*pair).distinct()
     rest = _near(rest.join(found.select("a", "h"), ["a", "h"], "left_anti"), wide, similar)
     if not rest.isEmpty():
-        matched = matched.unionByName(_confirm(df, id_col, text_col, classes, rest, similar))
+        links = links.unionByName(_confirm(df, id_col, text_col, classes, rest, similar))
+    return table, links
+
 
+def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """(id, xx, n_lines, removed) of every row: lines that have a word, and the sorted numbers of those that go.
+
+    Lines end at "\\n" and are numbered from 0; lines without a word are not counted and stay.  A line goes if
+    an earlier line has a word set of at least the similarity similar[0] / similar[1] (in particular, the same
+    set); whether that line stays itself doesn't matter.  Null ids come last.  Of rows that repeat an id, lines
+    with the same number are ordered by a hash of their set, and equal lines at the same place don't remove
+    each other.  Null and empty texts have no lines.  xx is the hash of the text, to find the row again."""
+    table, links = _links(df, id_col, text_col, similar, False)
+    matched = links.select("h").distinct()
     copies = (table.where("size > 0").groupBy("h").agg(F.min(F.struct("doc", "line")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "o"))
     marks = materialize(copies.join(matched.withColumn("gone", F.lit(True)), "h", "full"), "marks")
     lines = table.where("size > 0").select("rid", "doc", "line", "h").join(marks, "h")
@@ -355,6 +376,33 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     return docs.join(gone, "rid", "left").select("id", "xx", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
+def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """``removals`` with a column matches: (line, class_id, class_line, n_links) of every line that is similar to another.
+
+    All pairs of different sets are verified.  n_links counts the other lines that are similar to the line, equal
+    ones included; lines that hang together by such links are a class, named by the id and number of its earliest
+    line (a null id if it has one).  removed is as in ``removals``."""
+    table, links = _links(df, id_col, text_col, similar, True)
+    sets = table.where("size > 0").groupBy("h").agg(F.min(F.struct("doc", "line")).alias("o"), F.count(F.lit(1)).alias("n"))
+    sets = materialize(sets, "copies")
+    both = links.select("h", F.col("a").alias("other")).unionByName(links.select(F.col("a").alias("h"), F.col("h").alias("other")))
+    near = both.join(sets.select(F.col("h").alias("other"), "n"), "other").groupBy("h").agg(F.sum("n").alias("near"))
+    comp = components(links.select("a", F.col("h").alias("b"))).select(F.col("id").alias("h"), "component")
+    gone = links.select("h", F.lit(True).alias("gone")).distinct()
+    placed = sets.join(near, "h", "left").join(comp, "h", "left").join(gone, "h", "left")
+    placed = placed.select("h", "o", F.coalesce("gone", F.lit(False)).alias("gone"), F.coalesce("component", "h").alias("c"),
+                           (F.coalesce("near", F.lit(0)) + F.col("n") - 1).alias("n_links")).where("n_links > 0")
+    placed = materialize(placed, "placed")
+    marks = materialize(placed.join(placed.groupBy("c").agg(F.min("o").alias("head")), "c"), "marks")
+    lines = table.where("size > 0").select("rid", "doc", "line", "h").join(marks, "h")
+    match = F.struct("line", F.nullif(F.col("head.doc"), F.lit(_LAST)).alias("class_id"), F.col("head.line").alias("class_line"), "n_links")
+    lines = lines.select("rid", "line", match.alias("match"), (F.col("gone") | (F.struct("doc", "line") > F.col("o"))).alias("gone"))
+    lines = lines.groupBy("rid").agg(F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("removed"), F.sort_array(F.collect_list("match")).alias("matches"))
+    docs = table.groupBy("rid").agg(F.first("id").alias("id"), F.first("xx").alias("xx"), F.count(F.when(F.col("size") > 0, 1)).alias("n_lines"))
+    out = docs.join(lines, "rid", "left")
+    return out.select("id", "xx", "n_lines", *[F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c) for c in ("removed", "matches")])
+
+
 def _fits(num: int, den: int):
     """The filters of ``_may_match`` as a column: a set a earlier than the row's, both sharing the word."""
     size, pos, a_size, a_pos = (F.col(c).cast("bigint") for c in ("size", "pos", "a_size", "a_pos"))

@@ -59,9 +59,9 @@ def op4_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every document that an earlier line of the corpus nearly repeats."""
-    out = line_dedup.removals(input_table(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), "n_lines", F.size("removed").cast("bigint").alias("n_removed"), "removed")
+    """Lines of every document that an earlier line of the corpus nearly repeats; class and links of all similar lines."""
+    out = line_dedup.matches(input_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_lines", F.size("removed").cast("bigint").alias("n_removed"), "removed", "matches")
 
 
 QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_rabitq": op4_rabitq, "op5_superminhash": op5_superminhash, "op2_order_minhash": op2_order_minhash, "op9_langid": op9_langid, "op3_toxicity": op3_toxicity, "op8_quality": op8_quality, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op10_warc": op10_warc}
