@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm import bpe, langid, line_dedup, mixing, order_minhash, quality, rabitq, superminhash, toxicity, warc
+from tillcast.llm import bpe, langid, license_scan, line_dedup, mixing, order_minhash, quality, rabitq, superminhash, toxicity, warc
 from tillcast.llm.common import input_table
 
 
@@ -64,5 +64,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_lines", F.size("removed").cast("bigint").alias("n_removed"), "removed", "matches")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_rabitq": op4_rabitq, "op5_superminhash": op5_superminhash, "op2_order_minhash": op2_order_minhash, "op9_langid": op9_langid, "op3_toxicity": op3_toxicity, "op8_quality": op8_quality, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op10_warc": op10_warc}
-ORACLE_SQL = {"op7_mixing": mixing.OP7_SQL, "op10_warc": warc.OP10_SQL}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of every document: phrases in their places and notices by an exact set-similarity join."""
+    return license_scan.scan(input_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("hits")
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_rabitq": op4_rabitq, "op5_superminhash": op5_superminhash, "op2_order_minhash": op2_order_minhash, "op9_langid": op9_langid, "op3_toxicity": op3_toxicity, "op8_quality": op8_quality, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op10_warc": op10_warc,
+           "op11_license_scan": op11_license_scan}
+ORACLE_SQL = {"op7_mixing": mixing.OP7_SQL, "op10_warc": warc.OP10_SQL, "op11_license_scan": license_scan.OP11_SQL}
