@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm import bpe, langid, license_scan, line_dedup, mixing, order_minhash, quality, rabitq, superminhash, toxicity, warc
+from tillcast.llm import bpe, langid, license_scan, line_dedup, merkle, mixing, order_minhash, quality, rabitq, repair, superminhash, toxicity, warc
 from tillcast.llm.common import input_table
 
 
@@ -69,6 +69,16 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(input_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("hits")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents: leaf, subroot, root, proof, and the root that a tampered text leads to."""
+    return merkle.op12_manifest(input_table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure repair of all damaged conversations: faults, the cheapest edits, and the repaired text's digest."""
+    return repair.op13_repair(input_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_rabitq": op4_rabitq, "op5_superminhash": op5_superminhash, "op2_order_minhash": op2_order_minhash, "op9_langid": op9_langid, "op3_toxicity": op3_toxicity, "op8_quality": op8_quality, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op10_warc": op10_warc,
-           "op11_license_scan": op11_license_scan}
-ORACLE_SQL = {"op7_mixing": mixing.OP7_SQL, "op10_warc": warc.OP10_SQL, "op11_license_scan": license_scan.OP11_SQL}
+           "op11_license_scan": op11_license_scan, "op12_merkle": op12_merkle, "op13_repair": op13_repair}
+ORACLE_SQL = {"op7_mixing": mixing.OP7_SQL, "op10_warc": warc.OP10_SQL, "op11_license_scan": license_scan.OP11_SQL, "op12_merkle": merkle.OP12_SQL, "op13_repair": repair.OP13_SQL}
