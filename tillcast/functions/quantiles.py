@@ -11,15 +11,14 @@ length of the history.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add, or_
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillcast.functions.percentiles import exact_percentiles  # noqa: F401  (used from here by the operators)
+
 
 def running_quantiles(df: DataFrame, keys, order: str, value: str, probs: dict[str, float]) -> DataFrame:
     """Add one column per ``{name: q}``: quantile q of ``value`` over all rows up to and including this one.
@@ -46,91 +45,8 @@ def running_quantiles(df: DataFrame, keys, order: str, value: str, probs: dict[s
     return out.withColumns({n: F.nanvl(F.col(n), F.lit(None).cast("double")) for n in names})
 
 
-def exact_percentiles(df: DataFrame, value: str, probs, by=(), accuracy: int = 100_000,
-                      prefix: str = "q") -> DataFrame:
-    """Exact linear-interpolation percentiles of ``value`` per group, without one task holding a group.
-
-    Spark's exact ``percentile`` keeps every distinct value of a group in one
-    aggregation buffer, which does not survive a global quantile over
-    billions of rows.  This is exact in two distributed passes:
-
-    1. ``percentile_approx`` (rank error ≤ n/accuracy) gives, per wanted
-       rank, a bracket [lo, hi] that contains it;
-    2. one aggregation counts the rows below ``lo`` and turns equal values
-       inside the bracket into (value, count) cells before it collects them,
-       from which the two order statistics around the exact position are
-       read.  Ties make one cell, so at most about 6·n/accuracy different
-       values of continuous data are collected per rank.
-
-    A group whose bracket misses (possible only with heavy ties at its
-    edges) falls back to the built-in exact ``percentile`` for that group
-    alone; the fallback is a semi join on the missed groups, which AQE
-    prunes when there are none.  Values are ``NULL``/NaN-skipping.
-    Output: ``by`` columns, ``n`` and one column ``{prefix}{i}`` per prob.
-    """
-    from pyspark.sql import functions as F
-
-    from tillcast.operators.joins import maybe_broadcast
-
-    probs = [float(p) for p in probs]
-    by = list(by)
-    glob = not by
-    if glob:
-        by = ["_g"]
-        df = df.withColumn("_g", F.lit(0))
-    pad = 3.0 / accuracy
-    src = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-
-    m = len(probs)
-    # one sketch per group serves both bracket ends
-    br = src.groupBy(*by).agg(
-        F.count("_v").alias("n"),
-        F.percentile_approx("_v", [max(0.0, p - pad) for p in probs] + [min(1.0, p + pad) for p in probs],
-                            accuracy).alias("_b"),
-    ).select(*by, "n", F.slice("_b", 1, m).alias("_lo"), F.slice("_b", m + 1, m).alias("_hi"))
-    br = F.broadcast(br) if glob else maybe_broadcast(br, materialize=True)
-    # Equal values inside a bracket become one (value, count) cell before anything is collected, and all rows
-    # outside the brackets one cell for each set of brackets that they lie above.
-    v = F.col("_v")
-    lo, hi = [F.col("_lo")[i] for i in range(m)], [F.col("_hi")[i] for i in range(m)]
-    inside = reduce(or_, [(v >= a) & (v <= b) for a, b in zip(lo, hi)])
-    above = reduce(add, [F.when(v >= a, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, a in enumerate(lo)])
-    cells = src.join(br, on=by, how="inner").select(*by, F.when(inside, v).alias("_v"), above.alias("_above"))
-    cells = cells.groupBy(*by, "_above", "_v").agg(F.count(F.lit(1)).alias("_c")).join(br, on=by, how="inner")
-    aggs = [F.first("n").alias("n")]
-    for i in range(m):
-        aggs.append(F.sum(F.when(F.col("_above").bitwiseAND(F.lit(1 << i)) == 0, F.col("_c")).otherwise(F.lit(0))).alias(f"_below{i}"))
-        aggs.append(F.sort_array(F.collect_list(F.when((v >= lo[i]) & (v <= hi[i]), F.struct("_v", "_c")))).alias(f"_in{i}"))
-    st = cells.groupBy(*by).agg(*aggs)
-
-    def at(arr, rank):
-        """The value that holds the 0-based rank among the counted values (NULL outside)."""
-        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("v"))
-
-        def step(acc, x):
-            seen = acc["seen"] + x["_c"]
-            return F.struct(seen.alias("seen"), F.when((acc["seen"] <= rank) & (rank < seen), x["_v"]).otherwise(acc["v"]).alias("v"))
-
-        return F.aggregate(arr, start, step)["v"]
-
-    outs = []
-    for i, p in enumerate(probs):
-        pos = F.lit(p) * (F.col("n") - F.lit(1))
-        k0, k1 = F.floor(pos), F.ceil(pos)
-        frac = pos - k0
-        arr = F.col(f"_in{i}")
-        v0, v1 = at(arr, k0 - F.col(f"_below{i}")), at(arr, k1 - F.col(f"_below{i}"))
-        val = F.when(k0 == k1, v0).otherwise((F.lit(1.0) - frac) * v0 + frac * v1)
-        outs.append(val.alias(f"{prefix}{i}"))
-    res = st.select(*by, "n", *outs)
-
-    missed = res.where(" OR ".join(f"{prefix}{i} IS NULL" for i in range(len(probs)))).select(*by)
-    fb = (src.join(F.broadcast(missed) if glob else missed, on=by, how="left_semi")
-          .groupBy(*by).agg(F.percentile("_v", probs).alias("_fb")))
-    res = res.join(fb, on=by, how="left").select(
-        *by, "n", *[F.coalesce(F.col(f"{prefix}{i}"), F.col("_fb")[i]).alias(f"{prefix}{i}") for i in range(len(probs))]
-    )
-    return res.drop("_g") if glob else res
+#: Rows of the (partition, group) counts up to which they are broadcast.
+BROADCAST_RANK_ROWS = 500_000
 
 
 def rank_within(df: DataFrame, group: str | None, order, out: str = "pct_rank", partitions: int | None = None,
@@ -138,7 +54,8 @@ def rank_within(df: DataFrame, group: str | None, order, out: str = "pct_rank",
     """Exact ``percent_rank`` (and optionally the 0-based position) of rows inside ``group`` ordered by
     ``order`` (a total order), without one task holding a group: rows are range-partitioned on
     (group, order), numbered inside each range partition, and shifted by the counts of the earlier
-    partitions of the same group (a small (partition, group) count table)."""
+    partitions of the same group (a (partition, group) count table, broadcast only after a check of its
+    size).  Without ``partitions`` the session's shuffle settings decide how many there are."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
@@ -148,19 +65,22 @@ def rank_within(df: DataFrame, group: str | None, order, out: str = "pct_rank",
         return out_df.drop("_g0")
     from tillcast.session import cut_lineage
 
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism * 2
+    from tillcast.operators.joins import maybe_broadcast
+
+    ranged = df.repartitionByRange(*([partitions] if partitions else []), group, *order)
     # Range bounds are sampled from the input, whose order after a shuffle is not deterministic, so the
     # partitioned rows (with their partition id) are written once and both the local ranks and the
     # per-partition counts read that same copy.
-    r = cut_lineage(df.repartitionByRange(n, group, *order).withColumn("_pid", F.spark_partition_id()))
+    r = cut_lineage(ranged.withColumn("_pid", F.spark_partition_id()))
     local = r.withColumn("_lr", F.row_number().over(Window.partitionBy("_pid", group).orderBy(*order)) - 1)
     cnt = local.groupBy("_pid", group).agg(F.count(F.lit(1)).alias("_c"))
     off = cnt.withColumn("_off", F.coalesce(F.sum("_c").over(
         Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     tot = cnt.groupBy(group).agg(F.sum("_c").alias("_n"))
-    j = local.join(F.broadcast(off.select("_pid", group, "_off")), ["_pid", group]).join(F.broadcast(tot), group)
+    off = off.join(tot, group).select("_pid", group, "_off", "_n")
+    j = local.join(maybe_broadcast(off, BROADCAST_RANK_ROWS, materialize=True), ["_pid", group])
     rank = F.when(F.col("_n") > 1, (F.col("_off") + F.col("_lr")) / (F.col("_n") - F.lit(1))).otherwise(F.lit(0.0))
     j = j.withColumn(out, rank.cast("double"))
     if index_out:
-        j = j.withColumn(index_out, (F.col("_off") + F.col("_lr")).cast("int"))
+        j = j.withColumn(index_out, (F.col("_off") + F.col("_lr")).cast("bigint"))
     return j.drop("_pid", "_lr", "_off", "_n")
