@@ -16,14 +16,15 @@ DEPTH_FIRST = 8
 DEPTH_FINAL = 12
 MIN_LEAF = 30
 FEATURE_FRACTION = "0.3"
+GBT_ROUNDS = 20
 SEED = 42
 # -------------------------------------
 
 
 def forest(features, label: str, weight: str | None = "weight_x_n", depth: int = DEPTH_FINAL, n_trees: int = N_TREES,
-           leaf_col: str = "") -> Pipeline:
+           leaf_col: str = "", min_leaf: int = MIN_LEAF) -> Pipeline:
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", numTrees=n_trees,
-                               maxDepth=depth, minInstancesPerNode=MIN_LEAF, featureSubsetStrategy=FEATURE_FRACTION,
+                               maxDepth=depth, minInstancesPerNode=min_leaf, featureSubsetStrategy=FEATURE_FRACTION,
                                seed=SEED, subsamplingRate=1.0, bootstrap=True, leafCol=leaf_col)
     if weight:
         rf.setWeightCol(weight)
@@ -34,8 +35,7 @@ def fit_median(train: DataFrame, features, label: str = "target_log_ratio", weig
                depth: int = DEPTH_FINAL, n_trees: int = N_TREES) -> PipelineModel:
     """Weighted forest on log1p(revenue / store×weekday mean).  Rows are ordered by key before the fit
     so that the (seeded) bootstrap does not depend on how the input happened to be partitioned."""
-    data = train.where(F.col(label).isNotNull()).repartition(train.sparkSession.sparkContext.defaultParallelism, "store") \
-        .sortWithinPartitions("store", "date")
+    data = train.where(F.col(label).isNotNull()).repartition("store").sortWithinPartitions("store", "date")
     return forest(features, label, weight, depth, n_trees).fit(data)
 
 
@@ -60,7 +60,7 @@ def fit_spread(pred: DataFrame, features, weight: str | None = "weight_x_n", dep
     return fit_median(st, features, "spread_target", weight, depth)
 
 
-def median_gbt(features, label: str = "target_log_ratio") -> Pipeline:
+def median_gbt(features, label: str = "target_log_ratio", rounds: int = GBT_ROUNDS) -> Pipeline:
     """Gradient-boosted median (absolute loss) for the quantile stack."""
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, lossType="absolute", maxDepth=5, maxIter=50, seed=SEED)
+    gbt = GBTRegressor(featuresCol="features", labelCol=label, lossType="absolute", maxDepth=5, maxIter=rounds, seed=SEED)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), gbt])

@@ -223,18 +223,25 @@ def shap_drop(att: DataFrame, features, share: float = 0.01) -> DataFrame:
     return m.crossJoin(F.broadcast(mx)).withColumn("keep", (F.col("mean_abs_shap") >= F.col("_mx") * share).cast("int")).drop("_mx")
 
 
-def shap_stability(per_fold: DataFrame, top_n: int = 20, always=()) -> DataFrame:
-    """per_fold: (fold, feature, mean_abs_shap).  Stability = mean/(std+1e-10) over folds; keep features with
-    std ≤ 0.5·mean, best ``top_n`` by stability, plus ``always``."""
+# Features that the stability selection always includes, and the one it never does.
+STABLE_ALWAYS = ("store_month_avg", "revenue_rolling_rank_30d", "revenue_median_last_90d")
+STABLE_NEVER = ("revenue_percentile",)
+STABLE_FEATURES = 25
+
+
+def shap_stability(per_fold: DataFrame, top_n: int = STABLE_FEATURES, always=STABLE_ALWAYS, never=STABLE_NEVER) -> DataFrame:
+    """per_fold: (fold, feature, mean_abs_shap).  Stability = mean / (population std + 1e-10) over the folds.
+
+    Selected: features with std <= 0.5 * mean among the ``top_n`` of all features by stability, and ``always``;
+    none of ``never``."""
     from pyspark.sql import Window
 
-    s = per_fold.groupBy("feature").agg(F.avg("mean_abs_shap").alias("mean"), F.stddev_samp("mean_abs_shap").alias("std"))
-    s = s.withColumn("std", F.coalesce("std", F.lit(0.0))).withColumn("stability", F.col("mean") / (F.col("std") + 1e-10))
+    s = per_fold.groupBy("feature").agg(F.count("mean_abs_shap").alias("n_folds"), F.avg("mean_abs_shap").alias("mean"), F.stddev_pop("mean_abs_shap").alias("std"))
+    s = s.withColumn("stability", F.col("mean") / (F.col("std") + 1e-10))
     s = s.withColumn("stable", (F.col("std") <= F.col("mean") * 0.5).cast("int"))
-    s = s.withColumn("rank", F.row_number().over(Window.orderBy(F.col("stable").desc(), F.col("stability").desc(), "feature")))
-    sel = ((F.col("stable") == 1) & (F.col("rank") <= top_n)) | F.col("feature").isin(*always) if always else \
-        ((F.col("stable") == 1) & (F.col("rank") <= top_n))
-    return s.withColumn("selected", sel.cast("int"))
+    s = s.withColumn("rank", F.row_number().over(Window.orderBy(F.col("stability").desc(), "feature")))  # one row per feature
+    chosen = ((F.col("stable") == 1) & (F.col("rank") <= top_n)) | F.col("feature").isin(*always)
+    return s.withColumn("selected", (chosen & ~F.col("feature").isin(*never)).cast("int"))
 
 
 def common_features(selected: DataFrame, min_clusters: int = 2) -> DataFrame:
@@ -243,6 +250,7 @@ def common_features(selected: DataFrame, min_clusters: int = 2) -> DataFrame:
         F.col("n_clusters") >= min_clusters)
 
 
+# Name patterns of history features, and stable features that a ranking should have at its top.
 LEAK_PATTERNS = ("revenue_lag_", "revenue_rolling_", "rolling_", "lag_")
 MUST_HAVE = ("store", "store_dayofweek_avg", "discount_pct")
 

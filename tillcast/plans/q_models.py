@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tillcast.models import calibration as CAL
 from tillcast.models import clustering as CL
 from tillcast.models import forest as FO
+from tillcast.models import selection_fits as SF
+from tillcast.models import stacking as ST
 from tillcast.models import trees as TR
 from tillcast.models.permutation import permutation_importance
 from tillcast.operators import intervals as I
@@ -20,9 +22,11 @@ from tillcast.operators import selection as SEL
 from tillcast.operators import splits as S
 from tillcast.operators import transforms as T
 from tillcast.operators import weights as WT
+from tillcast.operators.joins import maybe_broadcast
 from tillcast.plans import base
 from tillcast.plans.features import FEATURES, CATALOGUE, build_feature_table
 from tillcast.plans.registry import register
+from tillcast.session import written
 from tillcast.sources.festivals import festivals
 
 K = ["store", "date"]
@@ -37,8 +41,6 @@ def feature_table(spark, sf_dir):
     and mixtures iterate over it many times, so it is written once as Parquet
     (which also survives losing the executors that computed it) and every
     consumer reads the columns it needs."""
-    from tillcast.session import written
-
     def build():
         ft = build_feature_table(base.sales(spark, sf_dir), base.stores(spark, sf_dir), festivals(spark))
         ft = S.train_test_split(WT.weights_decay(ft))
@@ -110,40 +112,15 @@ def q_forest_spread(spark, sf_dir):
 
 @register("quantile_stack")
 def q_quantile_stack(spark, sf_dir):
-    """Quantile forest (leaf residual percentiles) + absolute-loss GBT median, then a meta forest on the three."""
-    def fit():
-        ft = feature_table(spark, sf_dir)
-        train = ft.where("is_test = 0")
-        qf = FO.forest(FEATURES, LABEL, "weight_x_n", FO.DEPTH_FIRST, leaf_col="leaves").fit(train)
-        tr = qf.transform(train).withColumn("_res", F.col(LABEL) - F.col("prediction"))
-        leaves = TR.leaf_quantiles(tr, "leaves", "_res")
-        gbt = FO.median_gbt(FEATURES, LABEL).fit(train)
-        return qf, leaves, gbt
-    qf, leaves, gbt = _cached((sf_dir, "qstack"), fit)
+    """Cross-fitted quantile forests and boosted medians per store fold, a linear quantile model on top for each band."""
     ft = feature_table(spark, sf_dir)
-    sc = qf.transform(ft).withColumnRenamed("prediction", "rf_pred").drop("features")
-    rq = TR.quantile_forest_predict(sc, "leaves", leaves)
-    g = gbt.transform(ft.select(*K, *FEATURES)).select(*K, F.col("prediction").alias("gbt_pred"))
-    out = sc.select(*K, "is_test", LABEL, "rf_pred").join(rq, K).join(g, K)
-    out = out.withColumns({"q10": F.col("rf_pred") + F.col("rq10"),
-                           "q50": (F.col("rf_pred") + F.col("rq50") + F.col("gbt_pred")) / 2.0,
-                           "q90": F.col("rf_pred") + F.col("rq90")})
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-    meta = _cached((sf_dir, "meta"), lambda: Pipeline(stages=[
-        VectorAssembler(inputCols=["q10", "q50", "q90"], outputCol="features"),
-        RandomForestRegressor(labelCol=LABEL, numTrees=20, maxDepth=5, seed=FO.SEED)]).fit(
-        out.where("is_test = 0 AND target_log_ratio IS NOT NULL")))
-    res = meta.transform(out).withColumnRenamed("prediction", "meta_p50")
-    return I.band_sort(res.select(*K, LABEL, F.col("q10").alias("p10"), F.col("meta_p50").alias("p50"),
-                                  F.col("q90").alias("p90")))
+    stack = _cached((sf_dir, "stack"), lambda: ST.fit_stack(ft.where("is_test = 0"), FEATURES, LABEL, "weight_x_n"))
+    out = stack.predict(ft, F.col("is_test") == 0)
+    return I.band_sort(out.select(*K, "is_test", LABEL, F.col("m10").alias("p10"), F.col("m50").alias("p50"), F.col("m90").alias("p90")))
 
 
 def attribution_table(spark, sf_dir):
     """SHAP table, written once (the selection operators all aggregate it)."""
-    from tillcast.session import written
-
     def run():
         m = median_model(spark, sf_dir, depth=FO.DEPTH_FIRST)
         ft = feature_table(spark, sf_dir)
@@ -245,27 +222,31 @@ def q_shap_drop(spark, sf_dir):
 
 @register("shap_stability")
 def q_shap_stability(spark, sf_dir):
-    """Per group fold (store folds): mean |SHAP| on the fold's test stores; stability across folds."""
-    att = attribution_table(spark, sf_dir)
-    plan = S.group_split(att).where("is_test = 1").select("store", "fold")
-    per = SEL.mean_abs_attribution(att.join(plan, "store"), FEATURES, by=("fold",))
-    return SEL.shap_stability(per, always=list(T.ANCHORS))
+    """A forest per store fold, explained on its training stores; stability of mean |SHAP| across the folds."""
+    ft = feature_table(spark, sf_dir)
+    per = _cached((sf_dir, "fold-shap"), lambda: SF.attribution_by_fold(ft, FEATURES, LABEL))
+    return SEL.shap_stability(per)
+
+
+def cluster_attribution(spark, sf_dir):
+    def fit():
+        cl = base.stores(spark, sf_dir).select(F.col("id").alias("store"), "store_cluster")
+        ft = feature_table(spark, sf_dir).drop("store_cluster").join(maybe_broadcast(cl), "store")
+        return SF.attribution_by_cluster(written(ft.select(*K, "store_cluster", LABEL, *FEATURES), "clustered"), FEATURES, LABEL)
+    return _cached((sf_dir, "cluster-shap"), fit)
 
 
 @register("shap_by_cluster")
 def q_shap_by_cluster(spark, sf_dir):
-    att = attribution_table(spark, sf_dir)
-    cl = base.stores(spark, sf_dir).select(F.col("id").alias("store"), "store_cluster")
-    return SEL.mean_abs_attribution(att.join(cl, "store"), FEATURES, by=("store_cluster",))
+    """A forest per cluster, explained on the cluster's rows; the cluster's 20 largest features are selected."""
+    return cluster_attribution(spark, sf_dir)
 
 
 @register("common_features")
 def q_common_features(spark, sf_dir):
-    from pyspark.sql import Window
-    sh = q_shap_by_cluster(spark, sf_dir)
-    top = sh.withColumn("_r", F.row_number().over(Window.partitionBy("store_cluster").orderBy(
-        F.col("mean_abs_shap").desc(), "feature"))).where("_r <= 10")
-    return SEL.common_features(top.select(F.col("store_cluster").alias("cluster"), "feature"))
+    """Features that at least two clusters select."""
+    sh = cluster_attribution(spark, sf_dir).where("selected = 1")
+    return SEL.common_features(sh.select(F.col("store_cluster").alias("cluster"), "feature"))
 
 
 @register("leakage_audit")
@@ -296,7 +277,6 @@ def q_orthogonalize(spark, sf_dir):
 # clustering -------------------------------------------------------------------
 
 def store_profile(spark, sf_dir):
-    from tillcast.session import written
     return _cached((sf_dir, "profile"), lambda: written(CL.store_profile(base.daily(spark, sf_dir)), "profile"))
 
 
