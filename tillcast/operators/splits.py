@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def _ranked_groups(df: DataFrame, group: str) -> DataFrame:
@@ -67,35 +68,80 @@ def train_test_split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42,
     return df.withColumn("is_test", (h < F.lit(int(test_fraction * 1_000_000))).cast("int"))
 
 
+#: Decay rates that a round of the search tries per cluster, besides those known already.
+DECAY_TRIES = 9
+
+
+def decay_errors(rows: DataFrame, plan: DataFrame, tries: DataFrame, most: int, group: str, cluster: str) -> DataFrame:
+    """(cluster, decay, mean_rmse) of every decay that ``tries`` (cluster, _decays array) names for a cluster.
+
+    One pass: three weighted sums per decay and (store, cluster, weekday), side by side in one aggregation."""
+    j = rows.join(F.broadcast(tries.withColumnRenamed(cluster, "_c")), F.col(cluster).eqNullSafe(F.col("_c")))
+    aggs = []
+    for i in range(most):
+        w = F.exp(-F.get("_decays", F.lit(i)) * F.col("_la"))
+        aggs += [F.sum(w).alias(f"s0_{i}"), F.sum(w * F.col("_y")).alias(f"s1_{i}"), F.sum(w * F.col("_y") * F.col("_y")).alias(f"s2_{i}")]
+    mom = j.groupBy(group, cluster, "_dow").agg(*aggs, F.first("_decays").alias("_decays"))
+    sums = [F.array(*[F.col(f"{c}_{i}") for i in range(most)]).alias(c) for c in ("s0", "s1", "s2")]
+    mom = mom.select(group, cluster, "_dow", F.explode(F.arrays_zip(F.col("_decays").alias("decay"), *sums)).alias("m"))  # a row per store, weekday and rate
+    mom = mom.select(group, cluster, "_dow", "m.*").where("decay IS NOT NULL").join(plan, group)
+    train, test = F.col("is_test") == 0, F.col("is_test") == 1
+    side = mom.groupBy("fold", cluster, "_dow", "decay").agg(
+        *[F.sum(F.when(train, F.col(c))).alias(f"tr_{c}") for c in ("s0", "s1")], *[F.sum(F.when(test, F.col(c))).alias(f"te_{c}") for c in ("s0", "s1", "s2")])
+    side = side.where("te_s0 IS NOT NULL AND tr_s0 IS NOT NULL")
+    pred = F.col("tr_s1") / F.col("tr_s0")
+    sse = F.col("te_s2") - F.lit(2.0) * pred * F.col("te_s1") + pred * pred * F.col("te_s0")
+    fold = side.groupBy("fold", cluster, "decay").agg(F.sqrt(F.greatest(F.sum(sse) / F.sum("te_s0"), F.lit(0.0))).alias("rmse"))
+    return fold.groupBy(cluster, "decay").agg(F.avg("rmse").alias("mean_rmse"))
+
+
 def decay_search(df: DataFrame, decays, group: str = "store", cluster: str = "store_cluster", n_splits: int = 5,
                  test_size: float = 0.2) -> DataFrame:
-    """Per cluster, the time-decay rate with the lowest mean weighted RMSE over group folds (D10).
+    """Per cluster, the time-decay rate of ``decays`` with the lowest mean weighted RMSE over group folds (D10).
 
     Prediction of a test row = decay-weighted mean revenue of the *train* rows of the same cluster and
-    weekday; error weights are the same decay weights.  Everything is one set of weighted moments per
-    (store, cluster, weekday, decay) — rows are expanded over the (fixed, small) decay grid inside the
-    map-side partial aggregation — combined with the fold plan on the store dimension.
+    weekday; error weights are the same decay weights.  The error is a smooth curve over the decay: a round tries a
+    few evenly spaced rates inside each cluster's bracket and narrows it to the neighbours of the best, until
+    those are the neighbouring rates.  Each round is one pass over the written rows, without copying them.
     """
-    spark = df.sparkSession
-    grid = spark.createDataFrame([(float(d),) for d in decays], "decay double")
+    from tillcast.session import cut_lineage, written
+
+    grid = sorted(float(d) for d in decays)
     mx = df.agg(F.max("date").alias("_maxd"))
-    rows = df.crossJoin(F.broadcast(mx)).select(
+    rows = written(df.crossJoin(F.broadcast(mx)).select(
         group, cluster, F.weekday("date").alias("_dow"), F.col("revenue").alias("_y"),
-        F.log1p(F.datediff(F.col("_maxd"), F.col("date")).cast("double")).alias("_la"))
-    ex = rows.crossJoin(F.broadcast(grid)).withColumn("_w", F.exp(-F.col("decay") * F.col("_la")))
-    mom = ex.groupBy(group, cluster, "_dow", "decay").agg(
-        F.sum("_w").alias("s0"), F.sum(F.col("_w") * F.col("_y")).alias("s1"),
-        F.sum(F.col("_w") * F.col("_y") * F.col("_y")).alias("s2"))
-    plan = group_split(df, group, n_splits, test_size)
-    j = mom.join(plan, group, "inner")
-    side = j.groupBy("fold", cluster, "_dow", "decay").agg(
-        *[F.sum(F.when(F.col("is_test") == 0, F.col(c))).alias(f"tr_{c}") for c in ("s0", "s1")],
-        *[F.sum(F.when(F.col("is_test") == 1, F.col(c))).alias(f"te_{c}") for c in ("s0", "s1", "s2")])
-    pred = F.col("tr_s1") / F.col("tr_s0")
-    sse = F.col("te_s2") - F.lit(2.0) * pred * F.col("te_s1") + pred * pred * F.col("te_s0")
-    side = side.where(F.col("te_s0").isNotNull() & F.col("tr_s0").isNotNull()).withColumn("sse", sse)
-    fold = side.groupBy("fold", cluster, "decay").agg((F.sum("sse") / F.sum("te_s0")).alias("_wmse"))
-    fold = fold.withColumn("rmse", F.sqrt(F.greatest(F.col("_wmse"), F.lit(0.0))))
-    per = fold.groupBy(cluster, "decay").agg(F.avg("rmse").alias("mean_rmse"))
-    return per.groupBy(cluster).agg(F.min_by(F.struct("decay", "mean_rmse"), F.struct("mean_rmse", "decay")).alias("b")).select(
-        cluster, F.col("b.decay").alias("best_decay"), F.col("b.mean_rmse").alias("mean_rmse"))
+        F.log1p(F.datediff(F.col("_maxd"), F.col("date")).cast("double")).alias("_la")), "decay-rows")
+    plan = cut_lineage(group_split(df, group, n_splits, test_size))
+    names = [r[0] for r in rows.select(cluster).distinct().collect()]  # clusters, a handful
+    known: dict = {c: {} for c in names}
+    bracket = {c: (0, len(grid) - 1) for c in names}
+    while True:
+        tries = {}
+        for c, (a, b) in bracket.items():
+            step = max(1, -(-(b - a) // (DECAY_TRIES - 1)))
+            tries[c] = [i for i in [*range(a, b, step), b] if i not in known[c]]
+        tries = {c: t for c, t in tries.items() if t}
+        if not tries:
+            break
+        schema = df.select(cluster).schema.add("_decays", ArrayType(DoubleType()))
+        table = df.sparkSession.createDataFrame([(c, [grid[i] for i in t]) for c, t in tries.items()], schema)
+        place = {d: i for i, d in enumerate(grid)}
+        for r in decay_errors(rows, plan, table, max(map(len, tries.values())), group, cluster).collect():
+            known[r[cluster]][place[r["decay"]]] = r["mean_rmse"]
+        for c in tries:
+            seen = sorted(known[c])
+            scored = [i for i in seen if known[c][i] is not None]
+            if not scored:
+                bracket[c] = (0, 0)
+                continue
+            best = min(scored, key=lambda i: (known[c][i], i))
+            k = seen.index(best)
+            bracket[c] = (seen[max(0, k - 1)], seen[min(len(seen) - 1, k + 1)])
+    rows = []
+    for c in names:
+        scored = {i: e for i, e in known[c].items() if e is not None}
+        if scored:
+            best = min(scored, key=lambda i: (scored[i], i))
+            rows.append((c, grid[best], scored[best]))
+    schema = df.select(cluster).schema.add("best_decay", "double").add("mean_rmse", "double")
+    return df.sparkSession.createDataFrame(rows, schema)

@@ -6,6 +6,7 @@ bounded per-store windows.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tillcast.functions.columns import bucket_right_closed, clip, cyc_sin, finite, safe_div, zero_if_bad
 from tillcast.functions.quantiles import exact_percentiles
+from tillcast.session import cut_lineage
 
 
 def qcut(df: DataFrame, value: str, q: int, out: str, fit: DataFrame | None = None) -> DataFrame:
@@ -247,40 +249,77 @@ def inverse_scaled(df: DataFrame, pred: str, target_mean: str, train_pred_mean:
 
 
 
-# --- Box-Cox by maximum likelihood on a λ grid (re-aimed from a per-vector solver) ---
+# --- Box-Cox by maximum likelihood: a safeguarded search on the derivative ---
 BOXCOX_CLUSTERS = ("PREMIUM_OFFLINE", "SEASONAL_SPECIALIST")
-BOXCOX_COARSE = [round(-2.0 + 0.1 * i, 1) for i in range(41)]          # −2.0 … 2.0
-BOXCOX_FINE_STEP = 0.005
-BOXCOX_FINE_HALF = 20                                                    # best ± 0.1
-
-
-def _boxcox_llf(x: DataFrame, grid: DataFrame, group: str) -> DataFrame:
-    """Box-Cox log-likelihood per (group, λ): (λ−1)·Σlog x − n/2·log(var_pop(y_λ)), y_λ = (x^λ−1)/λ.
-
-    var_pop(y_λ) = var_pop(x^λ)/λ² (λ ≠ 0) keeps the moments free of the constant −1/λ; Spark's
-    ``var_pop`` merges central moments, so there is no cancellation.  Rows meet the (small, fixed)
-    grid inside the map-side partial aggregation, so only (group, λ) moments are shuffled."""
-    ex = x.join(F.broadcast(grid), group) if group in grid.columns else x.crossJoin(F.broadcast(grid))
-    z = F.when(F.col("lam") == 0, F.log("_x")).otherwise(F.pow(F.col("_x"), F.col("lam")))
-    g = ex.withColumn("_z", z).groupBy(group, "lam").agg(
-        F.count("_x").alias("n"), F.sum(F.log("_x")).alias("slog"), F.var_pop("_z").alias("vz"))
-    vy = F.when(F.col("lam") == 0, F.col("vz")).otherwise(F.col("vz") / (F.col("lam") * F.col("lam")))
-    return g.withColumn("llf", (F.col("lam") - 1.0) * F.col("slog") - F.col("n") / 2.0 * F.log(vy))
+BOXCOX_RANGE = (-2.0, 2.0)
+BOXCOX_WIDTH = 1e-10
+BOXCOX_ROUNDS = 60
+#: Below this |λ| the transform and its derivative are taken from their series.
+BOXCOX_SERIES = 1e-6
+
+
+def _boxcox_terms(log_x, lam):
+    """y = (x^λ − 1) / λ and dy/dλ, by their series around λ = 0."""
+    e = F.expm1(lam * log_x)
+    y = F.when(F.abs(lam) < BOXCOX_SERIES, log_x + lam * log_x * log_x / 2.0).otherwise(e / lam)
+    dy = F.when(F.abs(lam) < BOXCOX_SERIES, log_x * log_x / 2.0 + lam * log_x * log_x * log_x / 3.0).otherwise((log_x * (e + 1.0) - y) / lam)
+    return y, dy
+
+
+def _boxcox_round(x: DataFrame, group: str, lams: dict[str, list[float]]) -> dict[str, list[tuple[float, float]]]:
+    """(derivative, log-likelihood) at each λ of each group, in one aggregation of mergeable central moments.
+
+    llf(λ) = (λ − 1)·Σ log x − n/2·log var(y); its derivative is Σ log x − n·cov(y, dy/dλ)/var(y)."""
+    m = max(len(v) for v in lams.values())
+    aggs = [F.count("_l").alias("n"), F.sum("_l").alias("sl")]
+    for i in range(m):
+        lam = F.coalesce(*[F.when(F.col(group) == g, F.lit(v[i])) for g, v in lams.items() if i < len(v)])
+        y, dy = _boxcox_terms(F.col("_l"), lam)
+        aggs += [F.var_pop(y).alias(f"v{i}"), F.covar_pop(y, dy).alias(f"c{i}")]
+    out = {}
+    for r in x.where(F.col(group).isin(*lams)).groupBy(group).agg(*aggs).collect():  # one row per searched group
+        out[r[group]] = [(r["sl"] - r["n"] * r[f"c{i}"] / r[f"v{i}"], (lam - 1.0) * r["sl"] - r["n"] / 2.0 * math.log(r[f"v{i}"])) if r[f"v{i}"] else (0.0, None)
+                         for i, lam in enumerate(lams[r[group]])]
+    return out
 
 
 def boxcox_lambda(df: DataFrame, value: str = "revenue", group: str = "store_cluster", shift: float = 1.0,
                   clusters=BOXCOX_CLUSTERS) -> DataFrame:
-    """Best λ per group: a coarse grid (step 0.1 on [−2, 2]) then a fine grid (step 0.005, ±0.1) around it."""
-    spark = df.sparkSession
-    x = (df.where(F.col(group).isin(*clusters)).select(group, (F.col(value) + F.lit(shift)).alias("_x"))
-         .where(F.col("_x") > 0))
-    coarse = spark.createDataFrame([(float(v),) for v in BOXCOX_COARSE], "lam double")
-    best = _boxcox_llf(x, coarse, group).groupBy(group).agg(F.max_by("lam", F.struct("llf", "lam")).alias("_best"))
-    offs = spark.createDataFrame([(round(i * BOXCOX_FINE_STEP, 3),) for i in range(-BOXCOX_FINE_HALF, BOXCOX_FINE_HALF + 1)],
-                                 "off double")
-    fine = best.crossJoin(F.broadcast(offs)).select(group, F.round(F.col("_best") + F.col("off"), 3).alias("lam"))
-    g = _boxcox_llf(x, fine, group)
-    return g.groupBy(group).agg(F.max_by("lam", F.struct("llf", "lam")).alias("boxcox_lambda"), F.max("llf").alias("llf"))
+    """(group, boxcox_lambda, llf): the λ of [−2, 2] with the largest likelihood, per group of ``clusters``.
+
+    The root of the derivative is bracketed by the range's ends and closed in by false position, where an end that
+    stays twice counts half (the Illinois rule); an end is the answer where the derivative doesn't change sign.  A round reads the
+    logarithms once and brings two numbers per group to the driver; all groups share the rounds.  A group
+    without spread keeps λ = 1."""
+    v = F.col(value).cast("double") + F.lit(shift)
+    x = cut_lineage(df.where(F.col(group).isin(*clusters) & (v > 0)).select(group, F.log(v).alias("_l")))
+    lo, hi = BOXCOX_RANGE
+    state, done = {}, {}
+    for g, ((g0, l0), (g1, l1)) in _boxcox_round(x, group, {c: [lo, hi] for c in clusters}).items():
+        if l0 is None:
+            done[g] = (1.0, None)
+        elif g0 <= 0 or g1 >= 0:
+            done[g] = (lo, l0) if g0 <= 0 and (g1 < 0 or l0 >= l1) else (hi, l1)
+        else:
+            state[g] = (lo, hi, g0, g1, 0, math.inf)
+    for _ in range(BOXCOX_ROUNDS):
+        if not state:
+            break
+        tries = {g: [(a * gb - b * ga) / (gb - ga)] for g, (a, b, ga, gb, _, _) in state.items()}
+        for g, ((d, llf),) in _boxcox_round(x, group, tries).items():
+            a, b, ga, gb, side, last = state[g]
+            t = tries[g][0]
+            if d > 0:  # the likelihood still rises: the root is above
+                state[g] = (t, b, d, gb / 2.0 if side > 0 else gb, 1, t)
+            else:
+                state[g] = (a, t, ga / 2.0 if side < 0 else ga, d, -1, t)
+            if d == 0.0 or abs(t - last) < BOXCOX_WIDTH or not a < t < b:
+                done[g] = (t, llf)
+                del state[g]
+    if state:
+        raise RuntimeError(f"the Box-Cox search did not settle for {sorted(state)}")
+    kind = df.schema[group].dataType.simpleString()
+    return df.sparkSession.createDataFrame([(g, float(lam), llf) for g, (lam, llf) in done.items()], f"{group} {kind}, boxcox_lambda double, llf double")
 
 
 def boxcox(df: DataFrame, lambdas: DataFrame, value: str = "revenue", group: str = "store_cluster",

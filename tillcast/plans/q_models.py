@@ -25,7 +25,9 @@ from tillcast.operators import weights as WT
 from tillcast.operators.joins import maybe_broadcast
 from tillcast.plans import base
 from tillcast.plans.features import FEATURES, CATALOGUE, build_feature_table
+from tillcast.plans.q_intervals import PP_SQL, pp
 from tillcast.plans.registry import register
+from tillcast.plans.sqlbase import sql
 from tillcast.session import written
 from tillcast.sources.festivals import festivals
 
@@ -337,15 +339,36 @@ def q_cluster_noise(spark, sf_dir):
     return out.select("store", F.col("probabilities").alias("probabilities_noisy"), "store_cluster")
 
 
-@register("cluster_calibrate")
+# Equal-weight isotonic regression by its min-max formula: the largest over starts of the smallest mean over ends.
+CALIBRATE_SQL = sql(f"""{PP_SQL}
+, raw AS (SELECT store, date, store_cluster, revenue, p50, p90 - p50 AS unc, p50 - {I.Z90} * (p90 - p50) AS lo, p50 + {I.Z90} * (p90 - p50) AS hi FROM pp)
+, pos AS (SELECT store_cluster, CASE WHEN revenue >= lo AND revenue <= hi THEN (revenue - lo) / (hi - lo) WHEN revenue < lo THEN 0.0 ELSE 1.0 END AS position FROM raw)
+, agg AS (SELECT store_cluster, CAST(floor(position * 99) AS INTEGER) AS bin, avg(position) AS mp FROM pos WHERE position < 1.0 GROUP BY 1, 2)
+, bins AS (SELECT c.store_cluster, b.bin, (b.bin + 0.5) / 99.0 AS x, COALESCE(agg.mp, (b.bin + 0.5) / 99.0) AS y
+           FROM (SELECT DISTINCT store_cluster FROM pos WHERE store_cluster IS NOT NULL) c CROSS JOIN (SELECT range AS bin FROM range(0, 99)) b
+           LEFT JOIN agg ON agg.store_cluster = c.store_cluster AND agg.bin = b.bin)
+, upto AS (SELECT *, sum(y) OVER (PARTITION BY store_cluster ORDER BY bin) AS s FROM bins)
+, means AS (SELECT a.store_cluster, a.bin AS a, b.bin AS b, (b.s - a.s + a.y) / (b.bin - a.bin + 1) AS m
+            FROM upto a JOIN upto b ON a.store_cluster = b.store_cluster AND a.bin <= b.bin)
+, least_ AS (SELECT m.store_cluster, m.a, i.bin AS i, min(m.m) AS m FROM means m JOIN bins i ON i.store_cluster = m.store_cluster AND m.a <= i.bin AND m.b >= i.bin
+             GROUP BY m.store_cluster, m.a, i.bin)
+, iso AS (SELECT store_cluster, i AS bin, (i + 0.5) / 99.0 AS x, max(m) AS y FROM least_ GROUP BY store_cluster, i)
+, ranked AS (SELECT *, percent_rank() OVER (PARTITION BY store_cluster ORDER BY p50, store, date) AS r FROM raw)
+, cut AS (SELECT ranked.*, LEAST(GREATEST(CAST(floor(r * 99.0 - 0.5) AS INTEGER), 0), 97) AS b FROM ranked)
+, cal AS (SELECT cut.*, CASE WHEN r <= i.x THEN i.y WHEN r >= j.x THEN j.y ELSE i.y + (j.y - i.y) * (r - i.x) / (j.x - i.x) END AS cp
+          FROM cut LEFT JOIN iso i ON i.store_cluster = cut.store_cluster AND i.bin = cut.b LEFT JOIN iso j ON j.store_cluster = cut.store_cluster AND j.bin = cut.b + 1)
+, st AS (SELECT store_cluster, avg(unc) AS mean_uncertainty, avg(CASE WHEN revenue >= lo AND revenue <= hi THEN 1.0 ELSE 0.0 END) AS coverage_rate FROM raw GROUP BY store_cluster)
+SELECT cal.store, cal.date, cal.store_cluster, CASE WHEN cp IS NULL THEN lo ELSE p50 - cp * (hi - lo) END AS p10, p50,
+       CASE WHEN cp IS NULL THEN hi ELSE p50 + (1.0 - cp) * (hi - lo) END AS p90, cp AS calibrated_position, coverage_rate, mean_uncertainty
+FROM cal LEFT JOIN st ON st.store_cluster = cal.store_cluster""")
+
+
+@register("cluster_calibrate", CALIBRATE_SQL, dbl="p10 p50 p90 calibrated_position coverage_rate mean_uncertainty")
 def q_cluster_calibrate(spark, sf_dir):
     """Isotonic position maps per cluster fitted on the history's bands, applied to the normal band."""
-    from tillcast.plans.q_intervals import pp
-    d = pp(spark, sf_dir).withColumn("uncertainty", F.col("p90") - F.col("p50"))
+    d = written(pp(spark, sf_dir).withColumn("uncertainty", F.col("p90") - F.col("p50")), "bands")
     raw = I.normal_band(d)
-    binned = I.binned_position(I.band_position(raw))
-    models = CAL.fit(binned)
-    cal = CAL.apply(d, models)
+    cal = CAL.apply(d, CAL.fit(I.binned_position(I.band_position(raw))))
     stats = CAL.cluster_stats(raw)
-    return cal.join(F.broadcast(stats), "store_cluster", "left").select(
+    return cal.join(maybe_broadcast(stats, materialize=True), "store_cluster", "left").select(
         *K, "store_cluster", "p10", "p50", "p90", "calibrated_position", "coverage_rate", "mean_uncertainty")

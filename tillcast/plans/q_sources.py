@@ -17,7 +17,7 @@ from tillcast.plans import base
 from tillcast.plans.q_intervals import PP_SQL, pp
 from tillcast.plans.q_lookups import YOY_CTES
 from tillcast.plans.registry import register
-from tillcast.plans.sqlbase import XAVG, sql
+from tillcast.plans.sqlbase import XAVG, recursive, sql
 from tillcast.session import ensure_checkpoint_dir
 from tillcast.sources import driver
 from tillcast.sources import files as FS
@@ -103,35 +103,30 @@ def q_snapshot_state(spark, sf_dir):
 
 # Box-Cox --------------------------------------------------------------------------
 
-def _bc_llf_sql(grid_cte, x_cte):
-    return f"""
-  SELECT x.store_cluster, g.lam, count(x.x) AS n, sum(ln(x.x)) AS slog,
-         var_pop(CASE WHEN g.lam = 0 THEN ln(x.x) ELSE pow(x.x, g.lam) END) AS vz
-  FROM {x_cte} x JOIN {grid_cte} g ON {'g.store_cluster = x.store_cluster' if 'fine' in grid_cte else 'TRUE'}
-  GROUP BY x.store_cluster, g.lam"""
-
-
 BC_CLUSTERS = ", ".join(f"'{c}'" for c in T.BOXCOX_CLUSTERS)
-COARSE_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({v})" for v in T.BOXCOX_COARSE) + ") AS t(lam)"
-OFFS_SQL = ("SELECT * FROM (VALUES " + ", ".join(f"({round(i * T.BOXCOX_FINE_STEP, 3)})"
-                                                for i in range(-T.BOXCOX_FINE_HALF, T.BOXCOX_FINE_HALF + 1)) + ") AS t(off)")
-LLF = "(lam - 1.0) * slog - n / 2.0 * ln(CASE WHEN lam = 0 THEN vz ELSE vz / (lam * lam) END)"
+BC_Y = "CASE WHEN abs(lam) < 1e-6 THEN l + lam * l * l / 2 ELSE (exp(lam * l) - 1.0) / lam END"
+BC_DY = f"CASE WHEN abs(lam) < 1e-6 THEN l * l / 2 + lam * l * l * l / 3 ELSE (l * exp(lam * l) - ({BC_Y})) / lam END"
+# Bisection on the derivative of the likelihood, fifty halvings per cluster.
 BOXCOX_CTES = f"""
-, bx AS (SELECT store_cluster, revenue + 1.0 AS x FROM daily WHERE store_cluster IN ({BC_CLUSTERS}) AND revenue + 1.0 > 0)
-, coarse AS ({COARSE_SQL})
-, c_llf AS ({_bc_llf_sql('coarse', 'bx')})
-, c_best AS (SELECT store_cluster, arg_max(lam, ({LLF}, lam)) AS best FROM c_llf GROUP BY store_cluster)
-, fine AS (SELECT c.store_cluster, round(c.best + o.off, 3) AS lam FROM c_best c CROSS JOIN ({OFFS_SQL}) o)
-, f_llf AS ({_bc_llf_sql('fine', 'bx')})
-, lambdas AS (SELECT store_cluster, arg_max(lam, ({LLF}, lam)) AS boxcox_lambda, max({LLF}) AS llf FROM f_llf GROUP BY store_cluster)"""
-
-
-@register("boxcox_lambda", sql(f"{BOXCOX_CTES} SELECT store_cluster, boxcox_lambda, llf FROM lambdas"), dbl="boxcox_lambda llf")
+, bx AS (SELECT store_cluster, ln(revenue + 1.0) AS l FROM daily WHERE store_cluster IN ({BC_CLUSTERS}) AND revenue + 1.0 > 0)
+, it AS (
+  SELECT DISTINCT store_cluster, 0 AS k, -2.0::DOUBLE AS lo, 2.0::DOUBLE AS hi FROM bx
+  UNION ALL
+  SELECT store_cluster, k + 1, CASE WHEN g > 0 THEN lam ELSE lo END, CASE WHEN g > 0 THEN hi ELSE lam END
+  FROM (SELECT store_cluster, any_value(k) AS k, any_value(lo) AS lo, any_value(hi) AS hi, any_value(lam) AS lam,
+               sum(l) - count(*) * covar_pop({BC_Y}, {BC_DY}) / var_pop({BC_Y}) AS g
+        FROM (SELECT it.*, (lo + hi) / 2 AS lam, bx.l FROM it JOIN bx ON bx.store_cluster = it.store_cluster WHERE k < 50) GROUP BY store_cluster))
+, lam_ AS (SELECT store_cluster, (lo + hi) / 2 AS lam FROM it WHERE k = 50)
+, lambdas AS (SELECT bx.store_cluster, any_value(lam) AS boxcox_lambda, (any_value(lam) - 1.0) * sum(l) - count(*) / 2.0 * ln(var_pop({BC_Y})) AS llf
+              FROM bx JOIN lam_ ON lam_.store_cluster = bx.store_cluster GROUP BY bx.store_cluster)"""
+
+
+@register("boxcox_lambda", recursive(f"{BOXCOX_CTES} SELECT store_cluster, boxcox_lambda, llf FROM lambdas"), dbl="boxcox_lambda llf")
 def q_boxcox_lambda(spark, sf_dir):
     return T.boxcox_lambda(base.daily(spark, sf_dir))
 
 
-@register("boxcox", sql(f"""{BOXCOX_CTES}
+@register("boxcox", recursive(f"""{BOXCOX_CTES}
 SELECT d.store, d.date, d.store_cluster,
        CASE WHEN l.boxcox_lambda IS NULL THEN NULL WHEN l.boxcox_lambda = 0 THEN ln(d.revenue + 1.0)
             ELSE (pow(d.revenue + 1.0, l.boxcox_lambda) - 1.0) / l.boxcox_lambda END AS revenue_boxcox

@@ -58,6 +58,11 @@ def sql(body: str) -> str:
     return PREFIX + sep + body
 
 
+def recursive(body: str) -> str:
+    """``sql`` whose further CTEs may refer to themselves."""
+    return sql(body).replace("WITH sales", "WITH RECURSIVE sales", 1)
+
+
 def over(o: str) -> str:
     return f" OVER {o}" if o else ""
 
