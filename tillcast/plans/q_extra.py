@@ -118,26 +118,35 @@ def q_discount_z(spark, sf_dir):
 
 @register("model_io")
 def q_model_io(spark, sf_dir):
-    """Save the fitted median pipeline and its feature list into the shared folder, load both back and score:
-    the loaded model must give the same predictions."""
-    import os
+    """The three models, feature list, scaling and training range as one state version, opened again for scoring:
+    predictions of the saved and of the loaded models must agree."""
     import uuid
 
-    from pyspark.ml import PipelineModel
-
+    from tillcast.operators.reports import feature_bounds
     from tillcast.plans.features import FEATURES
-    from tillcast.plans.q_models import feature_table, median_model
-    from tillcast.session import ensure_checkpoint_dir
-    m = median_model(spark, sf_dir)
-    root = os.path.join(ensure_checkpoint_dir(spark), f"model-{uuid.uuid4().hex}")
-    m.write().overwrite().save(f"{root}/median")
-    spark.createDataFrame([(i, f) for i, f in enumerate(FEATURES)], "position int, feature string").write.parquet(f"{root}/features")
-    loaded = PipelineModel.load(f"{root}/median")
-    feats = [r["feature"] for r in spark.read.parquet(f"{root}/features").orderBy("position").collect()]
+    from tillcast.plans.q_models import feature_table, median_model, spread_model
+    from tillcast.session import shared_folder
+    from tillcast.sources.state import read_state, write_state
     ft = feature_table(spark, sf_dir)
-    a = m.transform(ft).select(*K, F.col("prediction").alias("prediction_saved"))
-    b = loaded.transform(ft.select(*K, *feats)).select(*K, F.col("prediction").alias("prediction_loaded"))
-    return a.join(b, K)
+    median, spread = median_model(spark, sf_dir), spread_model(spark, sf_dir)
+    train = ft.where("is_test = 0")
+    span = train.agg(F.min("date").cast("string").alias("a"), F.max("date").cast("string").alias("b"), F.avg("target_log_ratio").alias("m"),
+                     F.stddev_samp("target_log_ratio").alias("s")).first()
+    root = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    write_state(spark, root, {"bounds": feature_bounds(train, FEATURES[:4])}, {"median": median, "lower": spread, "upper": spread},
+                {"features": FEATURES, "train_from": span["a"], "train_to": span["b"], "target_mean": span["m"], "target_std": span["s"]})
+    state = read_state(spark, root)
+    state.verify()
+
+    def scored(models, columns, suffix):
+        out = ft.select(*K, *columns)
+        for name, m in models.items():
+            out = m.transform(out).withColumnRenamed("prediction", f"{name}_{suffix}").drop("features")
+        return out.select(*K, F.col(f"median_{suffix}").alias(f"prediction_{suffix}"), f"lower_{suffix}", f"upper_{suffix}")
+
+    saved = scored({"median": median, "lower": spread, "upper": spread}, FEATURES, "saved")
+    loaded = scored({name: state.model(name) for name in state.models}, state.settings["features"], "loaded")
+    return saved.join(loaded, K)
 
 
 @register("iterative_prune")

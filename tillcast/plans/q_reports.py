@@ -190,11 +190,15 @@ def _tier_sql(k):
                           FROM daily GROUP BY {k}) s) q) t"""
 
 
-@register("tiers", sql(f"""
+TIER_CTES = f"""
 , t AS ({_tier_sql('city')} UNION ALL {_tier_sql('region')})
-SELECT level, value, mean, std, count, score, CASE WHEN score IS NULL THEN 0 ELSE tier_code END AS tier_code,
-       (['D', 'C', 'B', 'A'])[CASE WHEN score IS NULL THEN 0 ELSE tier_code END + 1] AS tier
-FROM t"""), dbl="mean std score")
+, tier_rows AS (
+  SELECT level, value, mean, std, count, score, CASE WHEN score IS NULL THEN 0 ELSE tier_code END AS tier_code,
+         (['D', 'C', 'B', 'A'])[CASE WHEN score IS NULL THEN 0 ELSE tier_code END + 1] AS tier
+  FROM t)"""
+
+
+@register("tiers", sql(f"{TIER_CTES} SELECT * FROM tier_rows"), dbl="mean std score")
 def q_tiers(spark, sf_dir):
     from tillcast.operators.encoding import tiers_filled
     d = _d(spark, sf_dir)

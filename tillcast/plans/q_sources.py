@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillcast.functions.columns import clip
@@ -17,10 +19,13 @@ from tillcast.plans import base
 from tillcast.plans.q_intervals import PP_SQL, pp
 from tillcast.plans.q_lookups import YOY_CTES
 from tillcast.plans.registry import register
+from tillcast.plans.q_reports import TIER_CTES
 from tillcast.plans.sqlbase import XAVG, recursive, sql
-from tillcast.session import ensure_checkpoint_dir
+from tillcast.session import ensure_checkpoint_dir, shared_folder
+from tillcast.sources import dates as DT
 from tillcast.sources import driver
 from tillcast.sources import files as FS
+from tillcast.sources import state as ST
 
 K = ["store", "date"]
 FALLBACK_LOW = 45000.0  # driver revenue scale (reference: 1000)
@@ -71,6 +76,23 @@ def q_validate_input(spark, sf_dir):
     return FS.validate_input(base.sales(spark, sf_dir), required=("store", "date", "revenue"))
 
 
+MIXED_TEXT = {0: ("MM/dd/yyyy", "%m/%d/%Y"), 1: ("dd.MM.yyyy", "%d.%m.%Y"), 2: ("yyyyMMdd", "%Y%m%d")}
+MIXED_SQL = "CASE " + " ".join(f"WHEN l_orderkey % 3 = {k} THEN strftime(CAST(l_shipdate AS DATE), '{f}')" for k, (_, f) in MIXED_TEXT.items()) + " END"
+
+
+@register("date_rejects", sql("""
+SELECT l_orderkey, l_linenumber, CAST(l_orderkey % 3 AS BIGINT) AS file, CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS date,
+       CASE WHEN l_linenumber = 7 THEN 'unreadable' END AS reason FROM lineitem"""))
+def q_date_rejects(spark, sf_dir):
+    """Ship dates as text in one format per file, some of them unreadable: accepted dates and rejected rows."""
+    li = driver.table(spark, sf_dir, "lineitem")
+    file, day = (F.col("l_orderkey") % 3).cast("bigint"), F.to_date("l_shipdate")
+    text = F.coalesce(*[F.when(file == k, F.date_format(day, f)) for k, (f, _) in MIXED_TEXT.items()])
+    rows = li.select("l_orderkey", "l_linenumber", file.alias("file"), F.when(F.col("l_linenumber") == 7, "n/a").otherwise(text).alias("date"))
+    good, bad = DT.parse_with_rejects(rows, "date", by="file")
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad.withColumn("date", F.lit(None).cast("date")))
+
+
 REPORT_COLS = ["store", "date", "revenue", "disc_value", "disc_perc"]
 
 
@@ -83,22 +105,60 @@ def q_sink_report(spark, sf_dir):
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
-@register("snapshot_state", sql(f"""
-SELECT 'city' AS kind, city AS value, {XAVG('revenue')} AS encoded FROM daily GROUP BY city
-UNION ALL SELECT 'region', region, {XAVG('revenue')} FROM daily GROUP BY region
-UNION ALL SELECT 'channel', channel, {XAVG('revenue')} FROM daily GROUP BY channel"""), dbl="encoded")
-def q_snapshot_state(spark, sf_dir):
-    """Persist encodings, tiers and store-month stats; reload the encodings (scoring reads the saved state)."""
-    from tillcast.operators.reports import store_month_stats
+STATE_KEYS = ("city", "region", "channel")
+STATE_SQL = "\nUNION ALL ".join([
+    *[f"SELECT 'enc_{k}' AS kind, {k} AS value, NULL::VARCHAR AS label, {XAVG('revenue')} AS number FROM daily GROUP BY {k}" for k in STATE_KEYS],
+    "SELECT 'tiers_' || level, value, tier, score FROM tier_rows",
+    *[f"SELECT 'categories', value, '{k}', row_number() OVER (ORDER BY value) - 1.0 FROM (SELECT DISTINCT {k} AS value FROM daily WHERE {k} IS NOT NULL)" for k in STATE_KEYS],
+    f"SELECT 'store_month_stats', store, CAST(month AS VARCHAR), COALESCE({XAVG('revenue')}, 0.0) FROM daily GROUP BY store, month",
+    "SELECT 'train_range', NULL, CAST(min(date) AS VARCHAR) || ' ' || CAST(max(date) AS VARCHAR), count(*) FROM daily"])
+
+
+def saved_state(spark, sf_dir) -> ST.State:
+    """Everything that scoring reads, written as one version of the state and opened again from its manifest:
+    encodings, tiers of cities and regions, category lists, store-month statistics and the training range."""
+    from tillcast.operators.encoding import tiers_filled
+    from tillcast.operators.reports import category_lists, store_month_stats
     d = base.daily(spark, sf_dir)
-    root = os.path.join(ensure_checkpoint_dir(spark), f"state-{uuid.uuid4().hex}")
-    tables = {f"enc_{k}": target_encoding_table(d, k).select(F.lit(k).alias("kind"), F.col(k).alias("value"),
-                                                             F.col(f"{k}_encoded").alias("encoded"))
-              for k in ("city", "region", "channel")}
-    tables["tiers_city"] = tiers(d, "city")
-    tables["store_month_stats"] = store_month_stats(d)
-    loaded = FS.load_state(spark, FS.snapshot_state(tables, root))
-    return loaded["enc_city"].unionByName(loaded["enc_region"]).unionByName(loaded["enc_channel"])
+    tables = {f"enc_{k}": target_encoding_table(d, k).withColumnsRenamed({k: "value", f"{k}_encoded": "encoded"}) for k in STATE_KEYS}
+    tables |= {f"tiers_{k}": tiers_filled(d, k) for k in ("city", "region")}
+    tables |= {"categories": category_lists(d), "store_month_stats": store_month_stats(d)}
+    span = d.agg(F.min("date").cast("string").alias("a"), F.max("date").cast("string").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    root = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    version = ST.write_state(spark, root, tables, settings={"train_from": span["a"], "train_to": span["b"], "rows": span["n"]})
+    return ST.read_state(spark, root, version)
+
+
+STATE_KEYS = ("city", "region", "channel")
+ENCODED_SQL = " UNION ALL ".join(f"SELECT '{k}' AS kind, {k} AS value, {XAVG('revenue')} AS encoded FROM daily GROUP BY {k}" for k in STATE_KEYS)
+
+
+@register("snapshot_state", sql(ENCODED_SQL), dbl="encoded")
+def q_snapshot_state(spark, sf_dir):
+    """Encodings as scoring reads them: from the saved state."""
+    state = saved_state(spark, sf_dir)
+    parts = [state.table(f"enc_{k}").select(F.lit(k).alias("kind"), "value", "encoded") for k in STATE_KEYS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+STATE_SQL = "\nUNION ALL ".join([
+    "SELECT 'tiers_' || level AS kind, value, tier AS label, score AS number FROM tier_rows",
+    *[f"SELECT 'categories', value, '{k}', row_number() OVER (ORDER BY value) - 1.0 FROM (SELECT DISTINCT {k} AS value FROM daily WHERE {k} IS NOT NULL) c_{k}" for k in STATE_KEYS],
+    f"SELECT 'store_month_stats', store, CAST(month AS VARCHAR), COALESCE({XAVG('revenue')}, 0.0) FROM daily GROUP BY store, month",
+    "SELECT 'train_range', NULL, CAST(min(date) AS VARCHAR) || ' ' || CAST(max(date) AS VARCHAR), count(*) FROM daily"])
+
+
+@register("state_tables", sql(f"{TIER_CTES}\nSELECT kind, value, label, CAST(number AS DOUBLE) AS number FROM ({STATE_SQL}) state"), dbl="number")
+def q_state_tables(spark, sf_dir):
+    """The other parts of the saved state, read back: tiers, category lists, store-month means, training range."""
+    state = saved_state(spark, sf_dir)
+    parts = [state.table(f"tiers_{k}").select(F.lit(f"tiers_{k}").alias("kind"), "value", F.col("tier").alias("label"), F.col("score").alias("number")) for k in ("city", "region")]
+    parts.append(state.table("categories").select(F.lit("categories").alias("kind"), "value", F.col("column").alias("label"), F.col("position").cast("double").alias("number")))
+    parts.append(state.table("store_month_stats").select(F.lit("store_month_stats").alias("kind"), F.col("store").alias("value"), F.col("month").cast("string").alias("label"),
+                                                         F.col("store_month_revenue_mean").alias("number")))
+    s = state.settings
+    parts.append(spark.createDataFrame([("train_range", None, f"{s['train_from']} {s['train_to']}", float(s["rows"]))], "kind string, value string, label string, number double"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # Box-Cox --------------------------------------------------------------------------

@@ -1,14 +1,13 @@
-"""File sources and sinks, column mapping, input validation and persisted state tables."""
+"""File sources and sinks, column mapping and input validation."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillcast.operators.rollup import SALES_SCHEMA
+from tillcast.sources import dates as DT
 
 STORES_SCHEMA = T.StructType([
     T.StructField("id", T.StringType(), False), T.StructField("channel", T.StringType(), True),
@@ -19,14 +18,33 @@ STORES_SCHEMA = T.StructType([
 REQUIRED_SALES = ["store", "date", "qty_sold", "revenue", "disc_value"]
 
 
-def read_sales(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType = SALES_SCHEMA) -> DataFrame:
-    """Sales with an explicit schema (no inference); dates are parsed leniently (bad → NULL)."""
+def typed_sales(raw: DataFrame, schema: T.StructType = SALES_SCHEMA, by: str | None = None) -> DataFrame:
+    """Sales read as text, typed: dates by the formats that their source votes for, numbers by ``try_cast``.
+
+    ``reason`` names the first column whose text can't be read (else null) and ``_texts`` holds the texts."""
+    out = DT.parsed(raw.withColumn("_texts", F.struct(*[F.col(f.name) for f in schema])), "date", by)
+    fields = [f for f in schema if f.name != "date"]
+    out = out.withColumns({f"_v_{f.name}": F.col(f.name).try_cast(f.dataType) for f in fields})
+    bad = [F.when(F.col("date").isNull(), F.lit("date"))]
+    bad += [F.when(F.col(f.name).isNotNull() & F.col(f"_v_{f.name}").isNull(), F.lit(f.name)) for f in fields]
+    typed = [F.col("date") if f.name == "date" else F.col(f"_v_{f.name}").alias(f.name) for f in schema]
+    return out.select(*typed, *([by] if by else []), F.coalesce(*bad).alias("reason"), "_texts")
+
+
+def read_sales(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType = SALES_SCHEMA, rejects: str | None = None) -> DataFrame:
+    """Sales with an explicit schema (no inference).  Each CSV file's dates are read by the formats it votes for.
+
+    With ``rejects``, rows with an unreadable date or number are left out and written there (CSV: the texts, the
+    file and the column at fault); without it they stay, with NULL for what can't be read."""
     r = spark.read.format(fmt)
-    if fmt == "csv":
-        raw = r.option("header", True).schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema])).load(path)
-        return parse_dates(raw, "date").select(
-            *[F.col(f.name) if f.name == "date" else F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-    return r.schema(schema).load(path)
+    if fmt != "csv":
+        return r.schema(schema).load(path)
+    raw = r.option("header", True).schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema])).load(path)
+    rows = typed_sales(raw.withColumn("file", F.input_file_name()), schema, by="file")
+    if rejects:
+        rows.where("reason IS NOT NULL").select("_texts.*", "file", "reason").write.option("header", True).csv(rejects)
+        rows = rows.where("reason IS NULL")
+    return rows.select(*schema.names)
 
 
 def read_stores(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -52,16 +70,14 @@ def read_festivals(spark: SparkSession, path: str | None = None) -> DataFrame:
     return parse_dates(df, "date").select("date", F.trim("festival").alias("festival")).where(F.col("date").isNotNull())
 
 
-def parse_dates(df: DataFrame, col: str = "date") -> DataFrame:
-    """Text or timestamp → DATE; unparseable text → NULL (ANSI-safe ``try_to_date``)."""
+def parse_dates(df: DataFrame, col: str = "date", by: str | None = None) -> DataFrame:
+    """Text or timestamp → DATE by the formats that the texts vote for; NULL where none reads the text.
+
+    ``dates.parse_with_rejects`` gives the unreadable rows apart."""
     t = df.schema[col].dataType
     if isinstance(t, T.DateType):
         return df
-    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        return df.withColumn(col, F.to_date(F.col(col)))
-    s = F.col(col).cast("string")
-    return df.withColumn(col, F.coalesce(F.try_to_date(s, "yyyy-MM-dd"),
-                                         F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd")))
+    return DT.parsed(df, col, by).drop("_raw")
 
 
 def apply_mapping(df: DataFrame, mapping: dict) -> DataFrame:
@@ -86,17 +102,3 @@ def write_report(df: DataFrame, path: str, cols, fmt: str = "csv") -> str:
         w = w.option("header", True)
     w.save(path)
     return path
-
-
-def snapshot_state(tables: dict, root: str) -> dict:
-    """Persist fitted state tables (category lists, encodings, tiers, store stats) as parquet."""
-    out = {}
-    for name, df in tables.items():
-        p = os.path.join(root, name)
-        df.write.mode("overwrite").parquet(p)
-        out[name] = p
-    return out
-
-
-def load_state(spark: SparkSession, paths: dict) -> dict:
-    return {name: spark.read.parquet(p) for name, p in paths.items()}
