@@ -17,7 +17,7 @@ def discount_target_encode(df: DataFrame, value: str = "revenue", cluster: str =
     """Mean revenue per discount level inside one cluster (grouped aggregate joined back)."""
     sub = df.where(F.col("store_cluster") == cluster)
     enc = sub.groupBy("store_cluster", "discount_pct").agg(xavg(value).alias("discount_target_encoded"))
-    return df.join(enc, ["store_cluster", "discount_pct"], "left")
+    return df.join(maybe_broadcast(enc, materialize=True), ["store_cluster", "discount_pct"], "left")
 
 
 def tiers_filled(df: DataFrame, key: str) -> DataFrame:
@@ -28,6 +28,13 @@ def tiers_filled(df: DataFrame, key: str) -> DataFrame:
         "tier", F.element_at(F.array(*[F.lit(x) for x in TIER_LABELS]), code + 1))
 
 
+def apply_tiers(df: DataFrame, fitted: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``{key}_tier`` and ``{key}_tier_encoded`` by a saved tier table; unseen and null values are in tier D."""
+    t = fitted.select(F.col("value").alias("_v"), F.col("tier").alias("_t"), F.col("tier_code").alias("_c"))
+    j = df.join(maybe_broadcast(t, materialize=True), F.col(key) == F.col("_v"), "left")
+    return j.withColumns({f"{key}_tier": F.coalesce("_t", F.lit(TIER_LABELS[0])), f"{key}_tier_encoded": F.coalesce("_c", F.lit(0))}).drop("_v", "_t", "_c")
+
+
 def area_impute(df: DataFrame, col: str = "store_area") -> DataFrame:
     """Missing store area → the exact median over the rows (distributed two-pass percentile)."""
     med = exact_percentiles(df, col, [0.5]).select(F.col("q0").alias("_med"))
@@ -43,10 +50,12 @@ def kbins_fit(stores_df: DataFrame, col: str = "store_area", n_bins: int = 5) ->
 
 def kbins_apply(df: DataFrame, edges: DataFrame, col: str = "store_area", out: str = "store_area_bucket",
                 closed: str = "left", default: int = 2) -> DataFrame:
-    """Apply saved edges: left-closed when fitting (KBinsDiscretizer), right-closed when scoring (``pd.cut``);
-    no edges (failed fit) → ``default``."""
+    """Apply saved edges: left-closed when fitting (KBinsDiscretizer), right-closed when scoring (``pd.cut``), where
+    NULL and values outside the edges are in bucket 0; no edges (failed fit) → ``default``."""
     j = df.crossJoin(F.broadcast(edges))
-    b = bucket_left_closed(F.col(col), F.col("edges")) if closed == "left" else bucket_right_closed(F.col(col), F.col("edges"))
+    x = F.col(col)
+    inside = (x >= F.get("edges", F.lit(0))) & (x <= F.element_at("edges", -1))
+    b = bucket_left_closed(x, F.col("edges")) if closed == "left" else F.when(inside, bucket_right_closed(x, F.col("edges"))).otherwise(F.lit(0))
     return j.withColumn(out, F.coalesce(F.when(F.col("edges").isNotNull(), b), F.lit(default))).drop("edges")
 
 

@@ -7,7 +7,7 @@ conformal quantile) are pre-aggregated and joined, never computed per row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.functions.columns import safe_div, xavg
@@ -60,6 +60,13 @@ def p10_floor(df: DataFrame, history: DataFrame, share: float = 0.7) -> DataFram
     return j.withColumn("p10", F.greatest(F.col("p10"), floor)).drop("_m", "_dow", "_smw")
 
 
+def p10_floor_weekday(df: DataFrame, history: DataFrame, share: float = 0.7) -> DataFrame:
+    """p10 is at least ``share`` of the store's mean revenue on that weekday; stores without one keep it."""
+    m = history.groupBy("store", F.weekday("date").alias("_dow")).agg(xavg("revenue").alias("_sw"))
+    j = df.withColumn("_dow", F.weekday("date")).join(m, ["store", "_dow"], "left")
+    return j.withColumn("p10", F.greatest(F.col("p10"), F.col("_sw") * share)).drop("_dow", "_sw")
+
+
 def wide_fallback(df: DataFrame, history: DataFrame, std_col: str = "revenue_std", factor: float = 3.0) -> DataFrame:
     """If the batch's mean width exceeds factor × mean revenue_std: p50 = history mean, bands 0.8 / 1.2."""
     st = df.agg(F.avg(F.col("p90") - F.col("p10")).alias("_mw"), F.avg(std_col).alias("_ms"))
@@ -133,6 +140,20 @@ def fallback_invalid(df: DataFrame, pred: str = "p50", custom: str = "yoy_fallba
         "p50", F.when(F.col("p50") < low, fb).otherwise(F.col("p50")))
 
 
+def sparse_input(features) -> Column:
+    """Whether more than half of the features are null or NaN, or the others add up to 0."""
+    values = [F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in features]
+    nulls = sum((v.isNull().cast("int") for v in values), F.lit(0))
+    total = sum((F.coalesce(v, F.lit(0.0)) for v in values), F.lit(0.0))
+    return (nulls * 2 > len(features)) | (total == 0)
+
+
+def fallback_sparse(df: DataFrame, features, custom: str = "yoy_fallback") -> DataFrame:
+    """p50 → the custom fallback where the input is sparse (see ``sparse_input``)."""
+    sparse = sparse_input(list(features))
+    return df.withColumn("fallback_triggered", sparse.cast("int")).withColumn("p50", F.when(sparse, F.col(custom)).otherwise(F.col("p50")))
+
+
 def final_floor(df: DataFrame, floor: str = "yoy_fallback") -> DataFrame:
     return df.withColumns({c: F.greatest(F.col(c), F.col(floor)) for c in ("p10", "p50", "p90")})
 

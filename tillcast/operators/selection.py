@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillcast.functions.columns import finite
+
 VIF_LIMIT = 5.0
 NZV_LIMIT = 0.01
 CORR_DROP = 0.95
@@ -32,8 +34,15 @@ def near_zero_variance(df: DataFrame, cols, limit: float = NZV_LIMIT) -> DataFra
     return long.withColumn("keep", (F.col("variance") > limit).cast("int"))
 
 
+def mean_filled(df: DataFrame, cols) -> DataFrame:
+    """NULL, NaN and infinite values of ``cols`` → the column's mean over the others (0 without any)."""
+    clean = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in cols])
+    means = clean.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
+    return clean.na.fill({c: float(m) if m is not None else 0.0 for c, m in means.items()})
+
+
 def moments(df: DataFrame, cols) -> tuple[np.ndarray, np.ndarray, int]:
-    """Means and the population covariance matrix of ``cols``.
+    """Means and the population covariance matrix of ``cols`` (NULL counts as 0).
 
     Spark ML's ``Summarizer`` and ``Correlation`` aggregate one assembled
     vector per row (a tree aggregation of k-vectors / k×k blocks), instead of
@@ -88,8 +97,10 @@ def vif(df: DataFrame, cols) -> DataFrame:
 
 
 def remove_high_vif(df: DataFrame, cols, limit: float = VIF_LIMIT) -> DataFrame:
-    """Drop the feature with the largest VIF until all are ≤ limit; (feature, step_removed or NULL)."""
-    _, cov, _ = moments(df, cols)
+    """Drop the feature with the largest VIF until all are ≤ limit; (feature, step_removed or NULL).
+
+    Missing and infinite values count as the column's mean."""
+    _, cov, _ = moments(mean_filled(df, cols), cols)
     r = correlation(cov)
     keep = list(range(len(cols)))
     removed = {}
@@ -112,7 +123,7 @@ def vif_grouped(df: DataFrame, cols, prefixes=("city_", "region_", "channel_"),
     v = vif_from_corr(correlation(cov))
     drop = {c for c, x in zip(cols, v) if x > limit}
     for p in prefixes:
-        members = [c for c in cols if c.startswith(p)]
+        members = [c for c in cols if c.startswith(p) and not c.endswith("_encoded")]  # the one-hot columns
         if members and all(m in drop for m in members):
             drop.discard(max(members, key=lambda m: (mean[m] or 0.0, m)))
     return _spark().createDataFrame([(c, float(x), int(c not in drop)) for c, x in zip(cols, v)],
@@ -146,7 +157,7 @@ def corr_groups_pca(df: DataFrame, cols, limit: float = CORR_GROUP, kept: float
         if len(grp) <= 2:
             keep.update(grp)
         else:
-            sub = r[np.ix_(grp, grp)]
+            sub = cov[np.ix_(grp, grp)]
             w, vec = np.linalg.eigh(sub)
             order = np.argsort(w)[::-1]
             w, vec = w[order], vec[:, order]
@@ -255,9 +266,9 @@ LEAK_PATTERNS = ("revenue_lag_", "revenue_rolling_", "rolling_", "lag_")
 MUST_HAVE = ("store", "store_dayofweek_avg", "discount_pct")
 
 
-def leakage_audit(ranked: DataFrame, top: int = 10) -> DataFrame:
-    """Warnings from the top of a (feature, score) ranking: lag/rolling features in the top ``top``,
-    and must-have stable features missing from it."""
+def leakage_audit(ranked: DataFrame, top: int = 10, catalogue: dict | None = None) -> DataFrame:
+    """Warnings from the top of a (feature, score) ranking: lag/rolling features in the top ``top``, features that
+    the ``catalogue`` (name: (uses current rows, uses future rows)) flags, and must-have stable features missing."""
     from pyspark.sql import Window
 
     r = ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "feature")))
@@ -267,4 +278,9 @@ def leakage_audit(ranked: DataFrame, top: int = 10) -> DataFrame:
     present = t.agg(*[F.max(F.instr("feature", m) > 0).alias(m) for m in MUST_HAVE])
     miss = present.unpivot([], list(MUST_HAVE), "feature", "present").where(~F.col("present")).select(
         F.lit("missing_stable").alias("kind"), "feature", F.lit(None).cast("int").alias("rank"))
-    return leak.unionByName(miss)
+    out = leak.unionByName(miss)
+    for k, kind in enumerate(("uses_current", "uses_future")):
+        flagged = [f for f, flags in (catalogue or {}).items() if flags[k]]
+        if flagged:
+            out = out.unionByName(t.where(F.col("feature").isin(flagged)).select(F.lit(kind).alias("kind"), "feature", "rank"))
+    return out

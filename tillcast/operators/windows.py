@@ -246,6 +246,12 @@ def lead_time(df: DataFrame) -> DataFrame:
     return df.withColumn("lead_time_days", F.coalesce(F.datediff(F.col("date"), prev), F.lit(0)))
 
 
+def lead_time_scoring(requests: DataFrame, history: DataFrame) -> DataFrame:
+    """Days from the last date of the whole history to each request (null without a history)."""
+    last = history.agg(F.max("date").alias("_last"))
+    return requests.crossJoin(F.broadcast(last)).withColumn("lead_time_days", F.datediff(F.col("date"), F.col("_last"))).drop("_last")
+
+
 def smooth_residuals(df: DataFrame, residual: str = "residual", out: str = "smoothed_abs_residual") -> DataFrame:
     """Centred 7-row median of |residual| per store."""
     fr = wsd().rowsBetween(-3, 3)

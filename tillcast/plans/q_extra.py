@@ -165,7 +165,7 @@ def q_iterative_prune(spark, sf_dir):
         current = [f for f in current if f in {r["feature"] for r in grp}]
         model = FO.forest(current, LABEL, None, depth=6, n_trees=20).fit(ft)
         score = model.transform(ft).agg(F.pow(F.corr(LABEL, "prediction"), 2.0)).first()[0] or 0.0
-        rows.append((i, len(current), float(score)))
+        rows.append((i, len(current), float(score), list(current)))
         if score > best[0]:
             best = (score, list(current))
         if len(current) <= 10:
@@ -173,14 +173,13 @@ def q_iterative_prune(spark, sf_dir):
         imp = sorted(zip(current, model.stages[-1].featureImportances.toArray()), key=lambda t: (t[1], t[0]))
         drop = {f for f, _ in imp[:max(1, len(current) // 10)]}
         current = [f for f in current if f not in drop]
-    out = spark.createDataFrame(rows, "iteration int, n_features int, r2 double")
+    out = spark.createDataFrame(rows, "iteration int, n_features int, r2 double, features array<string>")
     return out.withColumn("is_best", (F.col("r2") == F.lit(best[0])).cast("int"))
 
 
 # Inventory keys whose operator is registered under a more specific key -----------------------
 ALIASES = {
     "discount_pct": "disc_perc",
-    "anchor_features": "align_features",
     "column_profile": "column_profile_numeric",
     "geo_profile": "geo_profile_city",
     "qcut": "qcut_area",

@@ -175,7 +175,12 @@ def q_remove_high_vif(spark, sf_dir):
 
 @register("vif_grouped")
 def q_vif_grouped(spark, sf_dir):
-    return SEL.vif_grouped(feature_table(spark, sf_dir), SEL_FEATURES)
+    """VIF of the features and the one-hot columns of region and channel; each one-hot group keeps a member."""
+    st = base.stores(spark, sf_dir).select(F.col("id").alias("store"), "region", "channel")
+    hot = {f"{c}_{v}": F.col(c) == v for c in ("region", "channel") for v in sorted(r[0] for r in st.select(c).where(F.col(c).isNotNull()).distinct().collect())}
+    onehot = st.select("store", *[F.coalesce(e, F.lit(False)).cast("double").alias(n) for n, e in hot.items()])
+    ft = feature_table(spark, sf_dir).select("store", *SEL_FEATURES).join(maybe_broadcast(onehot), "store")
+    return SEL.vif_grouped(ft, [*SEL_FEATURES, *hot])
 
 
 @register("drop_correlated")
@@ -254,7 +259,7 @@ def q_common_features(spark, sf_dir):
 @register("leakage_audit")
 def q_leakage_audit(spark, sf_dir):
     sh = SEL.mean_abs_attribution(attribution_table(spark, sf_dir), FEATURES)
-    return SEL.leakage_audit(sh.select("feature", F.col("mean_abs_shap").alias("score")))
+    return SEL.leakage_audit(sh.select("feature", F.col("mean_abs_shap").alias("score")), catalogue=CATALOGUE)
 
 
 @register("feature_catalogue")

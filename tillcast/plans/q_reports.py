@@ -177,21 +177,21 @@ def q_discount_target_encode(spark, sf_dir):
         "store", "date", "discount_pct", "discount_target_encoded")
 
 
-def _tier_sql(k):
+def tier_sql(k, src="daily"):
     return f"""
   SELECT '{k}' AS level, value, mean, std, count, score,
          COALESCE(len(list_filter(inner_e, lambda v: v < score)), 0) AS tier_code
   FROM (SELECT *, (list_sort(list_distinct(e)))[2:len(list_distinct(e)) - 1] AS inner_e
         FROM (SELECT {k} AS value, {XAVG('revenue')} AS mean, stddev_samp(revenue) AS std, count(revenue) AS count,
                      {XAVG('revenue')} * 0.6 + stddev_samp(revenue) * 0.2 + count(revenue) * 0.2 AS score
-              FROM daily GROUP BY {k}) g
+              FROM {src} GROUP BY {k}) g
         CROSS JOIN (SELECT quantile_cont(score, [0.0, 0.25, 0.5, 0.75, 1.0]) AS e
                     FROM (SELECT {XAVG('revenue')} * 0.6 + stddev_samp(revenue) * 0.2 + count(revenue) * 0.2 AS score
-                          FROM daily GROUP BY {k}) s) q) t"""
+                          FROM {src} GROUP BY {k}) s) q) t"""
 
 
 TIER_CTES = f"""
-, t AS ({_tier_sql('city')} UNION ALL {_tier_sql('region')})
+, t AS ({tier_sql('city')} UNION ALL {tier_sql('region')})
 , tier_rows AS (
   SELECT level, value, mean, std, count, score, CASE WHEN score IS NULL THEN 0 ELSE tier_code END AS tier_code,
          (['D', 'C', 'B', 'A'])[CASE WHEN score IS NULL THEN 0 ELSE tier_code END + 1] AS tier
@@ -375,7 +375,7 @@ def q_feature_bounds(spark, sf_dir):
     return R.feature_bounds(_d(spark, sf_dir), DESCRIBE_COLS)
 
 
-CORR_COLS = ["revenue", "qty_sold", "disc_value", "disc_perc", "store_area", "revenue_lag_1", "revenue_rolling_mean_7d"]
+CORR_COLS = ["revenue", "qty_sold", "disc_value", "disc_perc", "store_area", "revenue_lag_1", "revenue_rolling_mean_7d", "month", "quarter", "day_of_year"]
 
 
 @register("corr_pairs", sql(f"""
