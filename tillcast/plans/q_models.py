@@ -24,6 +24,7 @@ from tillcast.operators import transforms as T
 from tillcast.operators import weights as WT
 from tillcast.operators.joins import maybe_broadcast
 from tillcast.plans import base
+from tillcast.plans import train_score as TS
 from tillcast.plans.features import FEATURES, CATALOGUE, build_feature_table
 from tillcast.plans.q_intervals import PP_SQL, pp
 from tillcast.plans.registry import register
@@ -377,3 +378,39 @@ def q_cluster_calibrate(spark, sf_dir):
     stats = CAL.cluster_stats(raw)
     return cal.join(maybe_broadcast(stats, materialize=True), "store_cluster", "left").select(
         *K, "store_cluster", "p10", "p50", "p90", "calibrated_position", "coverage_rate", "mean_uncertainty")
+
+
+# training and scoring as a whole -------------------------------------------------
+
+CUT = "2021-06-01"
+MIN_ACTIVITY = 45000.0  # driver revenue scale
+
+
+def trained(spark, sf_dir):
+    """Root and metrics of a state trained on the history before ``CUT``."""
+    import uuid
+
+    from tillcast.session import shared_folder
+
+    def run():
+        root = f"{shared_folder(spark)}/trained-{uuid.uuid4().hex}"
+        history = base.sales(spark, sf_dir).where(F.col("date") < CUT)
+        version, metrics = TS.train(written(history, "history"), base.stores(spark, sf_dir), festivals(spark), root, min_activity=MIN_ACTIVITY)
+        return root, version, metrics
+    return _cached((sf_dir, "trained"), run)
+
+
+@register("train")
+def q_train(spark, sf_dir):
+    """Metrics of the whole training on the history before the cut: clean, features, prune, fit, calibrate, persist."""
+    return trained(spark, sf_dir)[2]
+
+
+@register("score")
+def q_score(spark, sf_dir):
+    """Every store-day after the cut, with its planned discount, scored against the history before it."""
+    from tillcast.operators.lookups import requests_from
+    root, version, _ = trained(spark, sf_dir)
+    history = written(base.sales(spark, sf_dir).where(F.col("date") < CUT), "history")
+    requests = requests_from(base.daily(spark, sf_dir).where(F.col("date") >= CUT))
+    return TS.score(requests, history, base.stores(spark, sf_dir), festivals(spark), root, version, low=MIN_ACTIVITY)
