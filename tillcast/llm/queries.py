@@ -22,7 +22,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record and read back: payload length and digest, record type, what it revisits."""
     back = warc.round_trip(input_table(spark, sf_dir, "pages"))
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,8 +164,9 @@ SCHEMA = ("page_id bigint, url string, payload binary, payload_bytes bigint, pay
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row per record of the archives in ``path`` (see SCHEMA); an empty folder gives no rows.
 
-    ``payload`` is null for revisits and where ``payloads`` is False; length and digest are the full payload's.
-    ``verified`` says that all stated digests hold.  Broken framing raises."""
+    ``payload`` is null for revisits and where ``payloads`` is False.  A response's length and digest are those of
+    the body that was read; a revisit has none, so they are what it states (see ``resolved``).  ``verified`` says
+    that all stated lengths and digests hold.  Broken framing raises."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
 
@@ -178,10 +179,12 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                     lengths = [x.split(b":")[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
                     revisit = h["warc-type"] == "revisit"
                     ok = _same(h.get("warc-block-digest"), block) and (revisit or _same(h.get("warc-payload-digest"), body))
-                    digest = base64.b32decode(h["warc-payload-digest"].removeprefix("sha1:")).hex()
+                    stated = base64.b32decode(h["warc-payload-digest"].removeprefix("sha1:")).hex()
+                    digest, length = (stated, int(lengths[0]) if lengths else 0) if revisit else (hashlib.sha1(body).hexdigest(), len(body))
+                    ok = ok and (revisit or not lengths or int(lengths[0]) == len(body))
                     page, to = h.get("x-page-id"), h.get("x-refers-to-page-id")
                     rows.append((page and int(page), h.get("warc-target-uri"), body if payloads and not revisit else None,
-                                 int(lengths[0]) if lengths else len(body), digest, h["warc-type"], to and int(to), ok))
+                                 length, digest, h["warc-type"], to and int(to), ok))
                     size += len(body) if payloads else 0
                     if size > CHUNK_BYTES or len(rows) >= 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -193,16 +196,31 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     return files.mapInArrow(unpack, SCHEMA)
 
 
+def resolved(rows: DataFrame) -> DataFrame:
+    """``rows`` (written, see ``read``) where revisits take length and digest from the response that they refer to.
+
+    A revisit is verified only if a verified response of that page has the digest that it states.  Only
+    responses that are referred to meet the revisits; Spark broadcasts them below its size threshold."""
+    revisit = F.col("record_type") == "revisit"
+    wanted = rows.where(revisit).select(F.col("refers_to").alias("page_id")).distinct()
+    full = rows.where(~revisit).join(wanted, "page_id", "left_semi").where("verified").groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("_bytes"))
+    full = full.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), "_bytes")
+    back = rows.where(revisit).join(full, (F.col("refers_to") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    back = back.withColumns({"verified": F.col("verified") & F.col("_bytes").isNotNull() & (F.col("payload_bytes") == F.coalesce("_bytes", F.lit(-1))),
+                             "payload_bytes": F.coalesce("_bytes", "payload_bytes"), "payload_digest": F.coalesce("_digest", "payload_digest")})
+    return rows.where(~revisit).unionByName(back.select(rows.columns))
+
+
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``pages`` as archives into the shared folder and read them back (see ``read``, without payloads)."""
     spark = pages.sparkSession
     path = path or f"{shared_folder(spark)}/llm-warc-{uuid.uuid4().hex}"
-    return read(spark, write(records(pages), path), payloads=False)
+    return resolved(materialize(read(spark, write(records(pages), path), payloads=False).drop("payload"), "warc-rows"))
 
 
 OP10_SQL = """
 SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
        CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id < last THEN last END AS refers_to
+       CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id < last THEN last END AS refers_to, TRUE AS verified
 FROM (SELECT *, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
 """
