@@ -5,9 +5,10 @@ clamped, the rest of the budget is shared again by weight, until no further sour
 per round reach the driver; the number of rounds is at most the number of sources and in practice a few.
 
 Each source then takes every document ``whole`` times, and once more a seeded fraction of them: documents in
-the order of a hash, up to the one whose middle crosses the rest of the target.  The crossing is found in two
-steps, by sums over hash buckets and then inside the one bucket per source that holds it, so a source of any
-size is never ordered by one task.
+the order of a hash, up to the one whose middle crosses the rest of the target.  The crossing is found by sums
+over hash buckets, then over the finer buckets of the one that holds it, and then inside one fine bucket per source
+(a 16-millionth of it), so a source of any size is never ordered by one task.  Rows that repeat id and text share
+a hash; where the crossing lies among them, they are numbered over a range partitioning and as many as fit are taken.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MAX_EPOCHS = 2
 SEED = "mix"
-#: Hex digits of the order hash that name a bucket: 16^3 buckets for each source, so that one task adds up few.
-BUCKET_DIGITS = 3
+#: Hex digits of the order hash that name a bucket, coarse and fine: 16^3 buckets each time for one task to add up.
+BUCKET_DIGITS = (3, 6)
 
 
 def n_words(text: Column) -> Column:
@@ -73,37 +74,59 @@ def mixture(rows: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs
     src = materialize(src.withColumn("target", target).withColumn("whole", whole)
                       .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
 
-    bucketed = rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    sums = bucketed.groupBy(*by, "bucket").agg(F.sum("size").alias("b_size"))
-    upto = F.sum("b_size").over(Window.partitionBy(*by).orderBy("bucket")) - F.col("b_size")
-    sums = sums.withColumn("before", upto).join(src.select(*by, "rest"), by)
-    # The bucket in which the rest of the target ends; buckets before it are taken whole.
-    edge = materialize(sums.where("before <= rest AND rest <= before + b_size").groupBy(*by).agg(F.min("bucket").alias("bucket"), F.min("rest").alias("rest"), F.min("before").alias("before")), "edges")
-    inside = bucketed.join(edge, [*by, "bucket"])
-    run = F.sum("size").over(Window.partitionBy(*by).orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1))
-    taken = inside.withColumn("done", F.col("before") + F.coalesce(run, F.lit(0))).where(F.col("done") * 2 + F.col("size") <= F.col("rest") * 2)
-    cut = taken.groupBy(*by).agg(F.max("key").alias("last"))
-    earlier = edge.select(*by, "bucket")
+    # The bucket in which the rest of the target ends, ever finer; buckets before it are taken whole.
+    edge, inside = src.select(*by, "rest", F.lit("").alias("bucket"), F.lit(0).cast("bigint").alias("before")), rows
+    for digits in BUCKET_DIGITS:
+        cells = inside.join(edge, by) if digits == BUCKET_DIGITS[0] else inside.withColumn("bucket", F.substring("key", 1, digits - 3)).join(edge, [*by, "bucket"])
+        sums = cells.withColumn("bucket", F.substring("key", 1, digits)).groupBy(*by, "bucket").agg(
+            F.sum("size").alias("b_size"), F.first("rest").alias("rest"), F.first("before").alias("base"))
+        upto = F.col("base") + F.sum("b_size").over(Window.partitionBy(*by).orderBy("bucket")) - F.col("b_size")
+        sums = sums.withColumn("before", upto).where("before <= rest AND rest <= before + b_size")
+        edge = materialize(sums.groupBy(*by).agg(F.min("bucket").alias("bucket"), F.min("rest").alias("rest"), F.min("before").alias("before")), "edges")
+    # Inside it, rows with the same hash are equal: of n rows of a size, m fit.
+    inside = rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS[-1])).join(edge, [*by, "bucket"])
+    keys = inside.groupBy(*by, "key").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+    run = F.sum(F.col("n") * F.col("size")).over(Window.partitionBy(*by).orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+    keys = keys.withColumn("done", F.col("before") + F.coalesce(run, F.lit(0)))
+    one = (F.col("done") * 2 + F.col("size") <= F.col("rest") * 2).cast("bigint")
+    fit = F.when((F.col("n") == 1) | (F.col("size") == 0), one * F.col("n")).otherwise(
+        F.least(F.col("n"), F.greatest(F.lit(0), F.floor((F.col("rest") - F.col("done")) / F.col("size") + 0.5))).cast("bigint"))
+    keys = keys.withColumn("m", fit)
+    cut = keys.groupBy(*by).agg(F.max(F.when(F.col("m") == F.col("n"), F.col("key"))).alias("last"),
+                                F.max(F.when((F.col("m") > 0) & (F.col("m") < F.col("n")), F.struct("key", "m"))).alias("part"))
     return materialize(
-        src.join(earlier, by, "left").join(cut, by, "left")
-        .select(*by, "source_size", "weight", "target", "whole", F.coalesce("last", "bucket").alias("cut")), "mixture")
-
-
-def repetitions(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """``rows`` (with nosrc, src, key) and the plan's source_size, target and ``times``: how often the mix takes each.
-
-    The plan has a row per source; Spark broadcasts it only while it is below its size threshold."""
-    joined = rows.join(plan.select("nosrc", "src", "source_size", "target", "whole", "cut"), ["nosrc", "src"])
-    return joined.withColumn("times", F.col("whole") + F.when(F.col("key") <= F.col("cut"), 1).otherwise(0)).drop("whole", "cut")
+        src.join(edge.select(*by, "bucket"), by, "left").join(cut, by, "left")
+        .select(*by, "source_size", "weight", "target", "whole", F.coalesce("last", "bucket").alias("cut"), F.col("part.key").alias("part"), F.col("part.m").alias("fit")), "mixture")
+
+
+def repetitions(rows: DataFrame, plan: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """``rows`` (with nosrc, src and key) and the plan's source_size, target and ``times``: how often the mix
+    takes each.
+
+    The plan has a row per source; Spark broadcasts it only while it is below its size threshold.  Equal rows
+    at the crossing are written and numbered; there are none unless rows repeat."""
+    joined = rows.join(plan.drop("weight"), ["nosrc", "src"])
+    part = F.col("key") == F.col("part")
+    extra = F.when(F.col("key") <= F.col("cut"), 1).otherwise(0)
+    if plan.where("part IS NOT NULL").isEmpty():
+        joined = joined.withColumn("_more", extra)
+    else:
+        equal = materialize(joined.where(part).withColumn("_mid", F.monotonically_increasing_id()), "equal-rows").withColumn("_group", F.struct("nosrc", "src"))
+        equal = rank_within(equal, "_group", ["_mid"], out="_rank", index_out="_nth")
+        equal = equal.withColumn("_more", (F.col("_nth") < F.col("fit")).cast("int")).drop("_mid", "_group", "_rank", "_nth")
+        joined = joined.where(~F.coalesce(part, F.lit(False))).withColumn("_more", extra).unionByName(equal)
+    times = F.least(F.col("whole") + F.col("_more"), F.lit(max_epochs))
+    return joined.withColumn("times", times).drop("whole", "cut", "part", "fit", "_more")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
     """(id, size, source_size, target, taken) of every row of ``df``.
 
     Null texts have size 0 and are taken with no words; null sources are one source; null ids are ordinary
-    rows.  Rows that repeat id and text share a hash and are taken alike.  Reruns give the same result."""
+    rows.  Rows that repeat id and text are taken as often as fits the target, which of them doesn't matter.  Reruns
+    give the same rows."""
     rows = materialize(sized(df, id_col, text_col, source_col), "sizes")
-    out = repetitions(rows, mixture(rows, **params))
+    out = repetitions(rows, mixture(rows, **params), params.get("max_epochs", MAX_EPOCHS))
     return out.select("id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("bigint").alias("taken"))
 
 
@@ -116,7 +139,7 @@ def repeat(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     wide = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
     wide = wide.select("_row", source.isNull().alias("nosrc"), F.coalesce(source, F.lit("")).alias("src"),
                        order_key(F.col(f"_row.`{id_col}`"), text, SEED).alias("key"))
-    out = repetitions(wide, plan).where("times > 0")
+    out = repetitions(wide, plan, params.get("max_epochs", MAX_EPOCHS)).where("times > 0")
     return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_i")).select("_row.*")
 
 
