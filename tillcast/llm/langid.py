@@ -76,8 +76,8 @@ def profile(text: str) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Linear SVM (squared hinge, L2) by accelerated gradient steps; the bias is the last weight.  y is ±1."""
-    x, y = np.c_[x, np.ones(len(x))].astype(np.float32), y.astype(np.float32)
+    """Linear SVM (squared hinge, L2) by accelerated gradient steps; the last column of ``x`` is 1.  y is ±1."""
+    y = y.astype(np.float32)
     v = np.ones(x.shape[1], np.float32)
     for _ in range(8):
         v = x.T @ (x @ v)
@@ -101,9 +101,12 @@ class Model:
         self.families = sorted({family_of(c) for c in self.langs})
         y = np.array(langs)
         fam = np.array([family_of(c) for c in langs])
-        self.scale = 1 / (x.std(axis=0) + 1e-4)
-        self.mean = x.mean(axis=0)
-        z = (x - self.mean) * self.scale / np.sqrt(CELLS)
+        self.mean = x.mean(axis=0, dtype=float)
+        # Some rows or columns at a time, so that the driver holds the profiles once more in single precision only.
+        self.scale = 1 / (np.concatenate([x[:, i : i + 512].std(axis=0, dtype=float) for i in range(0, CELLS, 512)]) + 1e-4)
+        z = np.ones((len(x), CELLS + 1), np.float32)
+        for i in range(0, len(x), 64):
+            z[i : i + 64, :-1] = (x[i : i + 64] - self.mean) * self.scale / np.sqrt(CELLS)
         self.pairs = [(a, b) for a, b in combinations(self.langs, 2) if family_of(a) == family_of(b)]
         cols = [svm(z, np.where(fam == f, 1.0, -1.0)) for f in self.families if len(self.families) > 1]
         for a, b in self.pairs:
@@ -170,7 +173,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     rows = sorted((r["lang"], bytes(r["x"])) for r in sample.collect())
     if not rows:
         return None
-    return Model(np.array([np.frombuffer(x, np.float32) for _, x in rows], float), [c for c, _ in rows])
+    return Model(np.frombuffer(b"".join(x for _, x in rows), np.float32).reshape(len(rows), CELLS), [c for c, _ in rows])
 
 
 def predictor(model: Model | None):
