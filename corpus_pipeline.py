@@ -20,7 +20,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", tokenize),
 ]
 
-#: The stages fit classifiers, hash and encode; SQL can't express them (tests/llm holds the brute-force check).
+#: The stages fit classifiers, hash and encode; SQL can't express them.  tests/llm compares run() with brute force.
 ORACLE_SQL = None
 
 
