@@ -63,7 +63,7 @@ def test_line_dedup(spark, docs, empty):
 
 
 def test_line_matches(spark, monkeypatch):
-    """Classes and links of all lines against brute force, with groups larger than NEAREST, large words and several blocks."""
+    """Classes and links of all lines against brute force, with large words and several blocks."""
     rng = random.Random(11)
     rows = []
     for g in range(8):
@@ -84,7 +84,7 @@ def test_line_matches(spark, monkeypatch):
     want = {lines[i][0]: (*lines[low[i]][0], n[i]) for i in range(len(lines)) if n[i]}
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     monkeypatch.setattr(line_dedup, "LARGE", 4)
-    monkeypatch.setattr(line_dedup, "BLOCK", 3)
+    monkeypatch.setattr(line_dedup, "BLOCK_WORDS", 60)
     monkeypatch.setattr(line_dedup, "HOT_CLASS", 6)
     got = line_dedup.matches(df).collect()
     key = lambda x: x if x is not None else 1 << 62

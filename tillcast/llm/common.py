@@ -135,20 +135,24 @@ def sum_cells(partials: DataFrame, cells: int, dtype: str = "int64") -> np.ndarr
     The table has a fixed number of cells, whatever the input, so it may go to the driver and be broadcast.
     Tasks send their blocks on to sqrt-many groups first, so that no task reads what all tasks have sent."""
 
-    def add(key, pdf):
+    return _fold_cells(partials, cells // BLOCKS, dtype, np.add)
+
+
+def _fold_cells(partials: DataFrame, width: int, dtype: str, op) -> np.ndarray:
+    def fold(key, pdf):
         import pandas as pd
 
-        total = np.zeros(cells // BLOCKS, dtype)
+        total = np.zeros(width, dtype)
         for d in pdf["data"]:
-            total += np.frombuffer(zlib.decompress(d), dtype)
+            op(total, np.frombuffer(zlib.decompress(d), dtype), out=total)
         return pd.DataFrame({"block": [key[0]], "data": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "block int, data binary"
     n = max(1, int(partials.sparkSession.sparkContext.defaultParallelism ** 0.5))
     part = (F.abs(F.hash(F.xxhash64("data"))) % n).alias("part")
-    once = partials.select("block", "data", part).groupBy("block", "part").applyInPandas(add, schema)
-    rows = once.groupBy("block").applyInPandas(add, schema).collect()
-    out = np.zeros((BLOCKS, cells // BLOCKS), dtype)
+    once = partials.select("block", "data", part).groupBy("block", "part").applyInPandas(fold, schema)
+    rows = once.groupBy("block").applyInPandas(fold, schema).collect()
+    out = np.zeros((BLOCKS, width), dtype)
     for r in rows:
         out[r["block"]] = np.frombuffer(zlib.decompress(r["data"]), dtype)
     return out.reshape(-1)
@@ -177,19 +181,7 @@ def bloom(ids: DataFrame, col: str, n: int = 0) -> np.ndarray:
                 seen[cell] = 1
         yield cell_blocks(np.packbits(seen))
 
-    def union(key, pdf):
-        import pandas as pd
-
-        total = np.zeros(size // 8 // BLOCKS, np.uint8)
-        for d in pdf["data"]:
-            total |= np.frombuffer(zlib.decompress(d), np.uint8)
-        return pd.DataFrame({"block": [key[0]], "data": [zlib.compress(total.tobytes(), 1)]})
-
-    parts = ids.select(col).mapInArrow(flags, "block int, data binary")
-    out = np.zeros((BLOCKS, size // 8 // BLOCKS), np.uint8)
-    for r in parts.groupBy("block").applyInPandas(union, "block int, data binary").collect():
-        out[r["block"]] = np.frombuffer(zlib.decompress(r["data"]), np.uint8)
-    return out.reshape(-1)
+    return _fold_cells(ids.select(col).mapInArrow(flags, "block int, data binary"), size // 8 // BLOCKS, "uint8", np.bitwise_or)
 
 
 def bloom_cells(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,20 +2,19 @@
 
 A line is the set of its words (ASCII lower case).  Its words are ordered by rarity over the whole corpus; two
 sets with Jaccard similarity t share a word in their prefixes of |x| − ⌈t|x|⌉ + 1 words, their sizes differ by
-t at most, the positions of the shared word bound their overlap, and so do parity bitmaps: each set keeps 64
-bits, a word flips one of them, and two sets differ in at least as many words as their bitmaps do in bits.
-What passes these filters, and after them a bitmap of 256 bits that only the candidates' sets bring along, is
-verified on the full sets, which are read again from the texts.
-
-``matches`` verifies all candidate pairs and returns classes and links.  A line goes if an earlier line, in the
-order (id, line number), is similar enough, so ``removals`` alone needs one match a line.  A bucket (a shared
-prefix word) sends each set on with a few of its nearest earlier candidates; sets that had more, for
-``removals`` only those still without a match, then meet the rest of their bucket in blocks.  Copies of frequent lines
-are combined before the shuffle; words with more than LARGE sets are joined instead of held in one task, their
-earliest set first.
+t at most, the positions of the shared word bound their overlap, and so do parity bitmaps: a word flips one bit,
+and two sets differ in at least as many words as their bitmaps do in bits.
+
+Sets that share a prefix word meet in a bucket, which holds sizes, positions and bitmaps only.  A bucket sends on
+a spanning forest of the pairs that pass all filters.  Sets that hang together by such pairs form a cluster, so a
+similar pair is always within one.  The clusters' sets are read again from the texts and dealt into blocks; a task
+compares two blocks, verifies the pairs that the bitmaps allow on the full sets, each pair in one task, and returns
+a row a set (weight of its links, whether an earlier line is among them) and a spanning forest, never its pairs.
+Words with more than LARGE sets are dealt into blocks as well, so no task holds a frequent word or a cluster.
 
 Word counts are kept in a table of a fixed number of cells, which bounds them from above and orders all words
-alike everywhere; the order affects speed only, never the result.
+alike everywhere; the order affects speed only, never the result.  Words are compared by 46-bit hashes, equal
+sets by a 64-bit hash: exact up to collisions of these.
 """
 
 from __future__ import annotations
@@ -32,22 +31,22 @@ from tillcast.llm.components import components
 
 CELLS = 1 << 20
 SIMILAR = (80, 100)
-#: Candidates that a bucket sends on for a set at once.
-NEAREST = 4
 #: Rows that a task compares at once, and sets of one word that it holds.
 CHUNK = 200_000
 LARGE = 4096
-#: Sets of a word that one block holds.
-BLOCK = 512
+#: Words (in all sets together) that a block of a cluster holds in expectation.
+BLOCK_WORDS = 1 << 18
 #: Words with at least 2^(HOT_CLASS / 2) − 1 occurrences (by the table) go the way of frequent words.
 HOT_CLASS = 24
 _HASH_BITS = 46
 _MASK = U64((1 << _HASH_BITS) - 1)
 _LAST = (1 << 63) - 1
-#: Bits of the wide parity bitmap, in words of 64, and the least size of a set that has one.
+#: Words of the wide parity bitmap, and the least sizes of sets that have it folded to 128 bits and whole.
 WIDE = [f"w{i}" for i in range(4)]
-WIDE_SIZE = 32
-ROWS = "word bigint, h bigint, size int, pos int, doc bigint, line int, bits bigint"
+FOLDED_SIZE, WIDE_SIZE = 48, 192
+#: A key with more than this share of a table's rows is joined by broadcast: at most 1,000 keys have it.
+HOT_SHARE = 1000
+ROWS = ["key", "h", "size", "pos", "bits", *WIDE]
 
 
 def need(size, num: int, den: int):
@@ -65,7 +64,10 @@ def line_sets(buf: np.ndarray, off: np.ndarray, classes: np.ndarray):
     h = SpanHash(LOWER[buf])(start, end)
     word = (classes[(h & U64(CELLS - 1)).astype(np.int64)].astype(U64) << U64(_HASH_BITS)) | (h >> U64(64 - _HASH_BITS))
     room = U64(max(1, int(len(breaks)).bit_length()))
-    order = np.argsort((line.astype(U64) << (U64(64) - room)) | ((word << U64(58 - _HASH_BITS)) >> room))
+    if room <= U64(58 - _HASH_BITS):  # both fit into one key
+        order = np.argsort((line.astype(U64) << (U64(64) - room)) | ((word << U64(58 - _HASH_BITS)) >> room))
+    else:
+        order = np.lexsort((word, line))
     word, line = word[order], line[order]
     new = np.ones(len(word), bool)
     new[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
@@ -81,13 +83,17 @@ def line_sets(buf: np.ndarray, off: np.ndarray, classes: np.ndarray):
     return text, number, first, size, mix64(h), bits, word
 
 
-def wide_bitmaps(first: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
-    """The sets' parity bitmaps of 64 · len(WIDE) bits, 64 bits an array."""
+def wide_bitmaps(first: np.ndarray, size: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
+    """The sets' parity bitmaps, 64 bits an array: whole, folded into the first two arrays, or zero, by size."""
     if not len(first):
         return [np.zeros(0, U64) for _ in WIDE]
     bit = U64(1) << ((word >> U64(6)) & U64(63))
     part = (word >> U64(12)) & U64(len(WIDE) - 1)
-    return [np.bitwise_xor.reduceat(np.where(part == U64(i), bit, U64(0)), first) for i in range(len(WIDE))]
+    a, b, c, d = (np.bitwise_xor.reduceat(np.where(part == U64(i), bit, U64(0)), first) for i in range(len(WIDE)))
+    none, whole = U64(0), size >= WIDE_SIZE
+    some = size >= FOLDED_SIZE
+    return [np.where(whole, a, np.where(some, a ^ c, none)), np.where(whole, b, np.where(some, b ^ d, none)),
+            np.where(whole, c, none), np.where(whole, d, none)]
 
 
 def word_classes(df: DataFrame, text_col: str) -> np.ndarray:
@@ -129,8 +135,7 @@ def lines_table(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray,
                 of = np.concatenate([text, none])
                 pad = np.zeros(len(none), np.int64)
                 ids = b.column(0).slice(row, m).take(pa.array(of))
-                small = np.concatenate([(size < WIDE_SIZE) | (prefix == 0), pad == 0])
-                wide = [pa.array(np.concatenate([w, pad.astype(U64)]).view(np.int64), mask=small) for w in wide_bitmaps(first, word)]
+                wide = [signed(np.concatenate([w, pad.astype(U64)])) for w in wide_bitmaps(first, size, word)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(rid + of), ids, b.column(2).slice(row, m).take(pa.array(of)), pa.array(np.concatenate([number, pad - 1]).astype(np.int32)),
                     signed(np.concatenate([h, pad.astype(U64)])), pa.array(np.concatenate([size, pad]).astype(np.int32)),
@@ -145,51 +150,63 @@ def lines_table(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray,
     return materialize(out.withColumn("doc", F.coalesce("id", F.lit(_LAST))), "lines")
 
 
-def _may_match(sa, at_a, sb, at_b, bits_a, bits_b, num, den):
-    """Length, positional and bitmap filter for sets that share the word at these positions: at most the words
-    from there on are common, and t/(1+t) of both sizes have to be; (1−t)/(1+t) of them may differ."""
-    sa, sb = sa.astype(np.int64), sb.astype(np.int64)
-    ok = (sa * den >= sb * num) & (sb * den >= sa * num) & (np.minimum(sa - at_a, sb - at_b) * (num + den) >= (sa + sb) * num)
-    return ok & (np.bitwise_count((bits_a ^ bits_b).view(U64)).astype(np.int64) * (num + den) <= (sa + sb) * (den - num))
+def _differ(a: list[np.ndarray], b: list[np.ndarray], small: np.ndarray) -> np.ndarray:
+    """Bits in which wide bitmaps differ, folded where the smaller set has ``small`` words and no whole bitmap."""
+    x = [(p ^ q).view(U64) for p, q in zip(a, b)]
+    whole = sum(np.bitwise_count(v).astype(np.int64) for v in x)
+    return np.where(small >= WIDE_SIZE, whole, np.bitwise_count(x[0] ^ x[2]).astype(np.int64) + np.bitwise_count(x[1] ^ x[3]))
 
 
-def _bucket_pairs(similar):
-    """Over rows (ROWS) sorted by word: candidate pairs (earlier set, later set) of each word's bucket, and the
-    rows that take part in further candidate pairs (a is null in these)."""
+def _candidates(similar):
+    """Over rows (ROWS) sorted by key: edges (a, b) that span, in each key's bucket, the pairs that pass the filters."""
     num, den = similar
 
-    def solve(*cols):
-        word, h, _, _, doc, line, _ = cols
-        order = np.lexsort((h, line, doc, word))
+    def solve(cols):
+        order = np.lexsort((cols[1], cols[2], cols[0]))
         cols = [x[order] for x in cols]
-        word, h = cols[:2]
-        # Copies: of one set in a bucket the earliest row stays.
-        by = np.lexsort((np.arange(len(h)), h, word))
-        twin = np.zeros(len(h), bool)
-        twin[by[1:]] = (word[by[1:]] == word[by[:-1]]) & (h[by[1:]] == h[by[:-1]])
-        word, h, size, pos, doc, line, bits = cols = [x[~twin] for x in cols]
-        at = np.arange(len(word))
-        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        before = at - np.repeat(first, np.diff(np.r_[first, len(word)]))
-        count, left, right = np.zeros(len(word), np.int64), [], []
-        later = np.zeros(len(word), bool)  # takes part in a candidate pair that is not sent on yet
-        j, k = at[before >= 1], 1
+        twin = np.zeros(len(order), bool)  # copies of one set in a bucket
+        twin[1:] = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
+        key, h, size, pos, bits, *wide = [x[~twin] for x in cols]
+        size, pos = size.astype(np.int64), pos.astype(np.int64)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        before = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
+        root = np.arange(len(key))
+        left, right = [], []
+        j, k = np.flatnonzero(before >= 1), 1
         while len(j):
-            ok = _may_match(size[j - k], pos[j - k], size[j], pos[j], bits[j - k], bits[j], num, den)
-            count[j[ok]] += 1
-            j_ok = j[ok]
-            wait = j_ok[count[j_ok] > NEAREST]
-            later[wait] = later[wait - k] = True
-            send = j_ok[count[j_ok] <= NEAREST]
-            left.append(send - k)
-            right.append(send)
+            i = j - k
+            near = size[i] * den >= size[j] * num  # sizes ascend: sets further off are smaller still
+            j, i = j[near], i[near]
+            both = size[i] + size[j]
+            ok = np.minimum(size[i] - pos[i], size[j] - pos[j]) * (num + den) >= both * num
+            ok &= np.bitwise_count((bits[i] ^ bits[j]).view(U64)).astype(np.int64) * (num + den) <= both * (den - num)
+            ok &= root[i] != root[j]
+            x, y = i[ok], j[ok]
+            fits = _differ([w[x] for w in wide], [w[y] for w in wide], size[x]) * (num + den) <= (size[x] + size[y]) * (den - num)
+            x, y = x[fits | (size[x] < FOLDED_SIZE)], y[fits | (size[x] < FOLDED_SIZE)]
+            for p, q in zip(x.tolist(), y.tolist()):
+                a, b = p, q
+                while root[a] != a:
+                    a = root[a]
+                while root[b] != b:
+                    b = root[b]
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    left.append(p)
+                    right.append(q)
+            while len(x) and (root[root] != root).any():
+                root = root[root]
             k += 1
             j = j[before[j] >= k]
-        a, b = np.concatenate([at[:0], *left]), np.concatenate([at[:0], *right])
-        big = np.flatnonzero(later)
-        out = [np.concatenate([x[b], x[big]]) for x in cols]
-        none = np.zeros(len(big), np.int64)
-        return out, [np.concatenate([x[a], none]) for x in (h, doc, line)], np.concatenate([np.zeros(len(b), bool), np.ones(len(big), bool)])
+        return h[np.array(left, int)], h[np.array(right, int)]
+
+    def emit(cols):
+        key = cols[0]
+        same = key[1:] == key[:-1]
+        pair = np.r_[same, False] | np.r_[False, same] if len(key) else np.zeros(0, bool)
+        if pair.any():
+            a, b = solve([x[pair] for x in cols])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches):
         held, n = [], 0
@@ -201,72 +218,28 @@ def _bucket_pairs(similar):
                 cols = [np.concatenate(x) for x in zip(*held)]
                 cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last bucket may go on
                 yield from emit([x[:cut] for x in cols])
-                held, n = [[x[cut:] for x in cols]], 0
+                held = [[x[cut:] for x in cols]]
+                n = len(held[0][0]) if cut else 0  # a bucket above CHUNK: look again after as many rows
         if held:
             yield from emit([np.concatenate(x) for x in zip(*held)])
 
-    def emit(cols):
-        word = cols[0]
-        if len(word) < 2:
-            return
-        same = word[1:] == word[:-1]
-        pair = np.r_[same, False] | np.r_[False, same]
-        if not pair.any():
-            return
-        rows, other, rest = solve(*(x[pair] for x in cols))
-        for i in range(0, len(rest), 50_000):
-            s = slice(i, i + 50_000)
-            mask = rest[s]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[s]) for x in rows] + [pa.array(x[s].astype(t), mask=mask) for x, t in zip(other, (np.int64, np.int64, np.int32))],
-                ["word", "h", "size", "pos", "doc", "line", "bits", "a", "a_doc", "a_line"])
-
-    return run, ROWS + ", a bigint, a_doc bigint, a_line int"
-
-
-def _row_bloom(rows: DataFrame, texts: bool) -> np.ndarray:
-    """Bloom filter (see common.bloom) of the rows' sets at their lines and, with ``texts``, of the ids of their texts."""
+    return run
+
+
+def _row_bloom(rows: DataFrame) -> np.ndarray:
+    """Bloom filter (see common.bloom) of the rows' sets at their lines and of the ids of their texts."""
 
     def tags(batches):
         for b in batches:
             h, doc, line = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            yield pa.RecordBatch.from_arrays([signed(np.concatenate([_tag(h, doc, line), mix64(np.unique(doc)) if texts else h[:0].view(U64)]))], ["tag"])
+            yield pa.RecordBatch.from_arrays([signed(np.concatenate([_tag(h, doc, line), mix64(np.unique(doc))]))], ["tag"])
 
     return bloom(rows.select("h", "doc", "line").mapInArrow(tags, "tag bigint"), "tag", 2 * rows.count())
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    """(h, doc, line) of both sets of the pairs."""
-    return pairs.select(F.col("a").alias("h"), F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).unionByName(pairs.select("h", "doc", "line")).distinct()
-
-
-def _wide_table(table: DataFrame, needed: DataFrame) -> DataFrame:
-    """(h, n, w0 …): size and wide bitmap of at least the needed sets that have one."""
-    bits = _row_bloom(needed, False)
-
-    def run(batches):
-        for b in batches:
-            hit = bloom_has(bits, _tag(*(b.column(i).to_numpy(zero_copy_only=False) for i in range(3))))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in b.columns], b.schema.names)
-
-    lines = table.where("w0 IS NOT NULL").select("h", "doc", "line", F.col("size").alias("n"), *WIDE)
-    got = lines.mapInArrow(run, lines.schema)
-    return materialize(got.groupBy("h").agg(*[F.first(c).alias(c) for c in ("n", *WIDE)]), "wide")
-
-
-def _near(pairs: DataFrame, wide: DataFrame, similar) -> DataFrame:
-    """The pairs whose wide bitmaps allow the similarity; a pair that lacks a bitmap stays."""
-    num, den = similar
-    other = wide.select(*[F.col(c).alias("a" if c == "h" else f"a_{c}") for c in wide.columns])
-    both = pairs.join(other, "a", "left").join(wide, "h", "left")
-    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"a_{w}"))).cast("bigint") for w in WIDE), F.lit(0))
-    fits = differ * (num + den) <= (F.col("n") + F.col("a_n")).cast("bigint") * (den - num)
-    return materialize(both.where(F.coalesce(fits, F.lit(True))).select(*pairs.columns), "near")
-
-
 def _sets(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray, needed: DataFrame) -> DataFrame:
-    """(h, set) of the needed sets, read again at their earliest lines (see common.bloom)."""
-    bits = _row_bloom(needed, True)
+    """(h, set) of at least the needed sets, read again at their earliest lines (see common.bloom)."""
+    bits = _row_bloom(needed)
 
     def run(batches):
         for b in batches:
@@ -283,78 +256,147 @@ def _sets(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray, needed
                 yield pa.RecordBatch.from_arrays([signed(h[hit]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), signed(word[take]))], ["h", "set"])
 
     src = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    got = src.mapInArrow(run, "h bigint, set array<bigint>")
-    return materialize(got.join(needed.select("h").distinct(), "h", "left_semi"), "sets")
+    return src.mapInArrow(run, "h bigint, set array<bigint>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
-    """The pairs (a, h) whose full sets are similar enough."""
+def _compare(cross, mine, h, doc, line, n, words, size, similar):
+    """Links among the sets of one unit, ``cross``: between its two blocks, else in its one.  Returns per linked set the weight of its
+    links and whether an earlier line is among them, and edges that span the links."""
     num, den = similar
-    left = sets.select(F.col("h").alias("a"), F.col("set").alias("sa"))
-    right = sets.select("h", F.col("set").alias("sb"))
-    joined = pairs.join(left, "a").join(right, "h")
-    both = F.size(F.array_intersect("sa", "sb")).cast("bigint")
-    rows = joined.select("a", "h", both.alias("i"), (F.size("sa") + F.size("sb")).cast("bigint").alias("s"))
-    return materialize(rows.where(F.col("i") * den >= (F.col("s") - F.col("i")) * num).select("a", "h").distinct(), "links")
+    order = np.lexsort((h, size))
+    start = (np.cumsum(size) - size)[order]
+    mine, h, doc, line, n, size = (x[order] for x in (mine, h, doc, line, n, size))
+    take = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+    word = words[take].view(U64)
+    first = np.cumsum(size) - size
+    wide = wide_bitmaps(first, np.full(len(h), WIDE_SIZE), word)
+    _, word = np.unique(word, return_inverse=True)
+    rank = np.empty(len(h), np.int64)
+    rank[np.lexsort((h, line, doc))] = np.arange(len(h))
+    near, gone, label = np.zeros(len(h), np.int64), np.zeros(len(h), bool), np.arange(len(h))
+    a, b = [], []
+    mark = np.zeros(int(word.max()) + 1, bool)
+    stop = np.searchsorted(size, size * den // num, "right")
+    for p in range(len(h) - 1):
+        q = np.arange(p + 1, stop[p])
+        if cross:
+            q = q[mine[q] != mine[p]]
+        both = size[q] + size[p]
+        differ = sum(np.bitwise_count(w[q] ^ w[p]).astype(np.int64) for w in wide)
+        ok = differ * (num + den) <= both * (den - num)
+        q, both = q[ok], both[ok]
+        if not len(q):
+            continue
+        own = word[first[p] : first[p] + size[p]]
+        mark[own] = True
+        ends = np.cumsum(size[q])
+        at = np.arange(int(ends[-1])) + np.repeat(first[q] - (ends - size[q]), size[q])
+        common = np.add.reduceat(mark[word[at]].astype(np.int64), ends - size[q])
+        mark[own] = False
+        q = q[common * den >= (both - common) * num]
+        if not len(q):
+            continue
+        near[p] += n[q].sum()
+        near[q] += n[p]
+        gone[p] |= (rank[q] < rank[p]).any()
+        gone[q] |= rank[p] < rank[q]
+        new = q[label[q] != label[p]]
+        if len(new):
+            found, at = np.unique(label[new], return_index=True)
+            a += [h[p]] * len(at)
+            b += h[new[at]].tolist()
+            label[np.isin(label, found)] = label[p]
+    some = near > 0
+    return h[some], near[some], gone[some], a, b
+
+
+def _verified(rows: DataFrame, similar) -> DataFrame:
+    """(h, near, gone, b) of rows (key, i, j, mine, h, doc, line, n, set): see ``_compare``; b is an edge's other end."""
+
+    def run(batches):
+        held, last = [], None
+
+        def flush():
+            cols = [np.concatenate(x) for x in zip(*held)]
+            if len(cols[1]) < 2:
+                return
+            h, near, gone, a, b = _compare(last[1] != last[2], *cols, similar)
+            if len(h):
+                k, m = len(h), len(a)
+                flag = np.arange(k + m) >= k
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([h, np.array(a, np.int64)])), pa.array(np.concatenate([near, np.zeros(m, np.int64)])),
+                     pa.array(np.concatenate([gone, np.zeros(m, bool)])), pa.array(np.concatenate([np.zeros(k, np.int64), np.array(b, np.int64)]), mask=~flag)],
+                    ["h", "near", "gone", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, i, j, mine, h, doc, line, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(8))
+            ends = batch.column(8).offsets.to_numpy()
+            words = batch.column(8).values.to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(key)]):
+                unit = (key[s], i[s], j[s])
+                if held and unit != last:
+                    yield from flush()
+                    held = []
+                last = unit
+                held.append((mine[s:e], h[s:e], doc[s:e], line[s:e], n[s:e], words[ends[s] : ends[e]], np.diff(ends[s : e + 1]).astype(np.int64)))
+        if held:
+            yield from flush()
 
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = ["key", "i", "j"]
+    rows = rows.select(*by, "mine", "h", "doc", "line", "n", "set").repartition(parts, *by).sortWithinPartitions(*by)
+    return materialize(rows.mapInArrow(run, "h bigint, near bigint, gone boolean, b bigint"), "links")
 
-def _confirm(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray, pairs: DataFrame, similar) -> DataFrame:
-    """The pairs (a, h) that are similar enough, by the full sets."""
-    sets = _sets(df, id_col, text_col, classes, materialize(_ends(pairs), "needed"))
-    return _verified(pairs.select("a", "h"), sets, similar)
 
+def _join_spread(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``, which has a key once and the number of its rows in ``weight``.
 
-def _block_pairs(later: DataFrame, left: DataFrame, big: DataFrame):
-    """``later`` and ``left`` joined by word; a word's sets are dealt into blocks, so that no task holds a frequent word."""
-    blocks = materialize(big.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    mine = lambda h: F.pmod(F.xxhash64(h), F.col("blocks")).cast("int")
-    right = later.join(blocks, "word").withColumn("j", mine("h")).withColumn("i", every).drop("blocks")
-    other = left.join(blocks, "word").withColumn("i", mine("a")).withColumn("j", every).drop("blocks")
-    return right.join(other, ["word", "i", "j"])
+    Keys with more than 1/HOT_SHARE of the ``total`` rows, at most HOT_SHARE of them, are broadcast; so no task of
+    the shuffled rest holds a frequent key."""
+    hot = F.col(weight) > max(total // HOT_SHARE, LARGE)
+    few = table.where(hot)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(table.where(~hot), key)
+    return rest.unionByName(rows.join(F.broadcast(few), key))
 
 
-def _links(df: DataFrame, id_col: str, text_col: str, similar, every: bool) -> tuple[DataFrame, DataFrame]:
-    """The lines (``lines_table``) and pairs (a, h) of similar sets, a at the earlier line: with ``every`` all of
-    them, else at least one for each h that has any."""
-    num, den = similar
+def _links(df: DataFrame, id_col: str, text_col: str, similar) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lines (``lines_table``); the different sets (h, o, n: earliest line and number of lines); their links
+    (h, near, gone, b) as in ``_verified``."""
     classes = word_classes(df, text_col)
     table = lines_table(df, id_col, text_col, classes, similar)
-    rows = table.select("h", "size", "doc", "line", "bits", F.posexplode("prefix").alias("pos", "word")).select("word", "h", "size", "pos", "doc", "line", "bits")
-    hot = F.shiftright("word", _HASH_BITS) >= HOT_CLASS
-    run, schema = _bucket_pairs(similar)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cold = materialize(rows.where(~hot).repartition(n, "word").sortWithinPartitions("word").mapInArrow(run, schema), "buckets")
-
-    by = ["word", "h", "size", "pos", "bits"]
-    frequent = materialize(rows.where(hot).groupBy(*by).agg(F.min(F.struct("doc", "line")).alias("o")).select(*by, "o.doc", "o.line"), "frequent")
-    sets_of = materialize(frequent.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "frequent-words")
-    held = frequent.join(sets_of.where(F.col("n") <= LARGE), "word", "left_semi").select(*rows.columns)
-    held = materialize(held.repartition(n, "word").sortWithinPartitions("word").mapInArrow(run, schema), "frequent-buckets")
-    cold = cold.unionByName(held)
-    frequent = materialize(frequent.join(sets_of.where(F.col("n") > LARGE), "word", "left_semi"), "large")
-    first = frequent.groupBy("word").agg(F.min(F.struct("doc", "line", "h", "size", "pos", "bits")).alias("o"))
-    first = materialize(first.select("word", F.col("o.h").alias("a"), F.col("o.size").alias("a_size"), F.col("o.pos").alias("a_pos"), F.col("o.bits").alias("a_bits"),
-                                     F.col("o.doc").alias("a_doc"), F.col("o.line").alias("a_line")), "first")
-    fits = _fits(num, den)
-    star = frequent.join(first, "word").where("a <> h").where(fits)
-    pair = ["a", "a_doc", "a_line", "h", "doc", "line"]
-    found = materialize(cold.where("a IS NOT NULL").select(*pair).unionByName(star.select(*pair)).distinct(), "pairs")
-
-    big = cold.where("a IS NULL").select("word", "h", "size", "pos", "doc", "line", "bits").unionByName(frequent)
-    big = materialize(big, "big")
-    wide = _wide_table(table, materialize(_ends(found).unionByName(big.select("h", "doc", "line")).distinct(), "candidates"))
-    links = _confirm(df, id_col, text_col, classes, _near(found, wide, similar), similar)
-
-    left = big.select("word", F.col("h").alias("a"), F.col("size").alias("a_size"), F.col("pos").alias("a_pos"), F.col("bits").alias("a_bits"),
-                      F.col("doc").alias("a_doc"), F.col("line").alias("a_line"))
-    open_ = big if every else big.join(links.select("h").distinct(), "h", "left_anti")
-    earlier = F.struct("a_doc", "a_line", "a") < F.struct("doc", "line", "h")
-    rest = _block_pairs(open_, left, big).where(earlier & fits).select(*pair).distinct()
-    rest = _near(rest.join(found.select("a", "h"), ["a", "h"], "left_anti"), wide, similar)
-    if not rest.isEmpty():
-        links = links.unionByName(_confirm(df, id_col, text_col, classes, rest, similar))
-    return table, links
+    rows = table.select("h", "size", "bits", *WIDE, F.posexplode("prefix").alias("pos", "key")).select(*ROWS)
+    hot = F.shiftright("key", _HASH_BITS) >= HOT_CLASS
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def bucket_edges(rows, tag):
+        rows = rows.repartition(parts, "key").sortWithinPartitions("key")
+        return materialize(rows.mapInArrow(_candidates(similar), "a bigint, b bigint").distinct(), tag)
+
+    edges = bucket_edges(rows.where(~hot), "buckets")
+    frequent = materialize(rows.where(hot).groupBy("key", "h").agg(*[F.first(c).alias(c) for c in ROWS[2:]]), "frequent")
+    counts = materialize(frequent.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "frequent-words")
+    edges = edges.unionByName(bucket_edges(frequent.join(counts.where(F.col("sets") <= LARGE).select("key"), "key", "left_semi"), "frequent-buckets"))
+    large = counts.where(F.col("sets") > LARGE).withColumn("blocks", F.ceil(F.col("sets") / LARGE).cast("int"))
+    dealt = _join_spread(frequent, large, "key", "sets", frequent.count()).withColumn("mine", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("mine <> other")
+    dealt = dealt.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+    edges = edges.unionByName(bucket_edges(dealt.select(*ROWS), "large-buckets"))
+
+    sets = table.where("size > 0").groupBy("h").agg(F.min(F.struct("doc", "line")).alias("o"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+    sets = materialize(sets, "copies")
+    clusters = components(edges).select(F.col("id").alias("h"), "component")
+    placed = materialize(clusters.join(sets, "h").select("h", "component", "o.doc", "o.line", "n", "size"), "clusters")
+    words = placed.groupBy("component").agg(F.ceil(F.sum("size") / BLOCK_WORDS).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members"))
+    words = materialize(words, "cluster-sizes")
+    units = _join_spread(placed, words, "component", "members", placed.count()).withColumn("mine", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    units = units.join(_sets(df, id_col, text_col, classes, placed).dropDuplicates(["h"]), "h")
+    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.select(F.col("component").alias("key"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "h", "doc", "line", "n", "set")
+    return table, sets, _verified(units, similar)
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -365,11 +407,12 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     set); whether that line stays itself doesn't matter.  Null ids come last.  Of rows that repeat an id, lines
     with the same number are ordered by a hash of their set, and equal lines at the same place don't remove
     each other.  Null and empty texts have no lines.  xx is the hash of the text, to find the row again."""
-    table, links = _links(df, id_col, text_col, similar, False)
-    matched = links.select("h").distinct()
-    copies = (table.where("size > 0").groupBy("h").agg(F.min(F.struct("doc", "line")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "o"))
-    marks = materialize(copies.join(matched.withColumn("gone", F.lit(True)), "h", "full"), "marks")
-    lines = table.where("size > 0").select("rid", "doc", "line", "h").join(marks, "h")
+    table, sets, links = _links(df, id_col, text_col, similar)
+    gone = links.where("b IS NULL").groupBy("h").agg(F.max("gone").alias("gone"))
+    marks = sets.join(gone, "h", "left").where("n > 1 OR gone").select("h", "o", "n", "gone")
+    marks = materialize(marks, "marks")
+    lines = table.where("size > 0").select("rid", "doc", "line", "h")
+    lines = _join_spread(lines, marks, "h", "n", lines.count())
     gone = lines.where(F.coalesce("gone", F.lit(False)) | (F.struct("doc", "line") > F.col("o"))).select("rid", "line")
     gone = gone.groupBy("rid").agg(F.sort_array(F.collect_list("line")).alias("removed"))
     docs = table.groupBy("rid").agg(F.first("id").alias("id"), F.first("xx").alias("xx"), F.count(F.when(F.col("size") > 0, 1)).alias("n_lines"))
@@ -382,19 +425,17 @@ def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     All pairs of different sets are verified.  n_links counts the other lines that are similar to the line, equal
     ones included; lines that hang together by such links are a class, named by the id and number of its earliest
     line (a null id if it has one).  removed is as in ``removals``."""
-    table, links = _links(df, id_col, text_col, similar, True)
-    sets = table.where("size > 0").groupBy("h").agg(F.min(F.struct("doc", "line")).alias("o"), F.count(F.lit(1)).alias("n"))
-    sets = materialize(sets, "copies")
-    both = links.select("h", F.col("a").alias("other")).unionByName(links.select(F.col("a").alias("h"), F.col("h").alias("other")))
-    near = both.join(sets.select(F.col("h").alias("other"), "n"), "other").groupBy("h").agg(F.sum("n").alias("near"))
-    comp = components(links.select("a", F.col("h").alias("b"))).select(F.col("id").alias("h"), "component")
-    gone = links.select("h", F.lit(True).alias("gone")).distinct()
-    placed = sets.join(near, "h", "left").join(comp, "h", "left").join(gone, "h", "left")
-    placed = placed.select("h", "o", F.coalesce("gone", F.lit(False)).alias("gone"), F.coalesce("component", "h").alias("c"),
+    table, sets, links = _links(df, id_col, text_col, similar)
+    near = links.where("b IS NULL").groupBy("h").agg(F.sum("near").alias("near"), F.max("gone").alias("gone"))
+    comp = components(links.where("b IS NOT NULL").select(F.col("h").alias("a"), "b")).select(F.col("id").alias("h"), "component")
+    placed = sets.join(near, "h", "left").join(comp, "h", "left")
+    placed = placed.select("h", "o", "n", F.coalesce("gone", F.lit(False)).alias("gone"), F.coalesce("component", "h").alias("c"),
                            (F.coalesce("near", F.lit(0)) + F.col("n") - 1).alias("n_links")).where("n_links > 0")
     placed = materialize(placed, "placed")
-    marks = materialize(placed.join(placed.groupBy("c").agg(F.min("o").alias("head")), "c"), "marks")
-    lines = table.where("size > 0").select("rid", "doc", "line", "h").join(marks, "h")
+    heads = materialize(placed.groupBy("c").agg(F.min("o").alias("head"), F.count(F.lit(1)).alias("members")), "heads")
+    marks = materialize(_join_spread(placed, heads, "c", "members", placed.count()), "marks")
+    lines = table.where("size > 0").select("rid", "doc", "line", "h")
+    lines = _join_spread(lines, marks, "h", "n", lines.count())
     match = F.struct("line", F.nullif(F.col("head.doc"), F.lit(_LAST)).alias("class_id"), F.col("head.line").alias("class_line"), "n_links")
     lines = lines.select("rid", "line", match.alias("match"), (F.col("gone") | (F.struct("doc", "line") > F.col("o"))).alias("gone"))
     lines = lines.groupBy("rid").agg(F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("removed"), F.sort_array(F.collect_list("match")).alias("matches"))
@@ -403,15 +444,6 @@ def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     return out.select("id", "xx", "n_lines", *[F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c) for c in ("removed", "matches")])
 
 
-def _fits(num: int, den: int):
-    """The filters of ``_may_match`` as a column: a set a earlier than the row's, both sharing the word."""
-    size, pos, a_size, a_pos = (F.col(c).cast("bigint") for c in ("size", "pos", "a_size", "a_pos"))
-    room = F.least(a_size - a_pos, size - pos)
-    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("a_bits"))).cast("bigint")
-    return ((a_size * den >= size * num) & (size * den >= a_size * num) & (room * (num + den) >= (a_size + size) * num)
-            & (differ * (num + den) <= (a_size + size) * (den - num)))
-
-
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """``df`` without the lines that ``removals`` names; a text that loses its last line with a word is dropped.
 
