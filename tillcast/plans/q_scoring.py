@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tillcast.functions.columns import clip
 from tillcast.operators import encoding as E
 from tillcast.operators import intervals as I
 from tillcast.operators import transforms as T
@@ -11,6 +12,7 @@ from tillcast.operators import windows as W
 from tillcast.plans import base
 from tillcast.plans.q_intervals import PP_SQL, pp
 from tillcast.plans.q_reports import tier_sql
+from tillcast.plans.q_transforms import ALIGN_EXPECTED
 from tillcast.plans.registry import register
 from tillcast.plans.sqlbase import XAVG, sql
 
@@ -83,8 +85,22 @@ def q_fallback_sparse(spark, sf_dir):
 
 
 @register("anchor_features", sql(f"""
-SELECT store, date, {XAVG('revenue', '(PARTITION BY store, month)')} AS store_month_avg, 0.0::DOUBLE AS revenue_lag_7, 0.0::DOUBLE AS discount_pct FROM daily"""), dbl="store_month_avg")
+, a AS (SELECT store, date, lag(revenue, 30) OVER w AS revenue_lag_30,
+               {XAVG('revenue', '(w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)')} AS revenue_rolling_mean_7d,
+               LEAST(GREATEST(disc_perc / 100.0, 0.0), 1.0) AS discount_pct, CAST(month AS DOUBLE) AS month,
+               {XAVG('revenue', '(PARTITION BY store, day_of_week)')} AS store_dayofweek_avg,
+               {XAVG('revenue', '(PARTITION BY store, month)')} AS store_month_avg
+        FROM daily WINDOW w AS (PARTITION BY store ORDER BY date))
+SELECT store, date,
+       COALESCE(last(revenue_lag_30 IGNORE NULLS) OVER f, 0.0) AS revenue_lag_30,
+       COALESCE(last(revenue_rolling_mean_7d IGNORE NULLS) OVER f, 0.0) AS revenue_rolling_mean_7d,
+       COALESCE(last(discount_pct IGNORE NULLS) OVER f, 0.0) AS discount_pct,
+       0.0::DOUBLE AS missing_feature, month, 0.0::DOUBLE AS revenue_lag_7, store_dayofweek_avg, store_month_avg
+FROM a WINDOW f AS (PARTITION BY store ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""),
+          dbl="revenue_lag_30 revenue_rolling_mean_7d discount_pct missing_feature month revenue_lag_7 store_dayofweek_avg store_month_avg")
 def q_anchor_features(spark, sf_dir):
-    """Anchors that a table lacks are added as 0; those that it has stay."""
-    d = base.daily(spark, sf_dir).transform(W.store_baselines)
-    return T.anchor_features(d).select(*K, "store_month_avg", "revenue_lag_7", "discount_pct")
+    """Anchors that a pruned table lacks (the 7-row lag) are added as 0, those that it has stay; then the table is aligned."""
+    d = base.daily(spark, sf_dir).transform(lambda x: W.lags(x, ns=(30,))).transform(
+        lambda x: W.rolling_lagged(x, windows=(7,))).transform(W.store_baselines)
+    d = d.withColumn("discount_pct", clip(F.col("disc_perc") / 100.0, 0.0, 1.0)).withColumn("extra_feature", F.lit(1.0))
+    return T.align_features(T.anchor_features(d), [*ALIGN_EXPECTED, *(a for a in T.ANCHORS if a not in ALIGN_EXPECTED)])
