@@ -30,3 +30,15 @@ def test_moments_read_the_rows_once(spark):
             yield b
     SEL.moments(df.mapInArrow(count, df.schema), ["a", "b"])
     assert seen.value == 1000
+
+
+def test_mean_filled_by_arrow(spark):
+    """Missing and infinite values become the column's mean, without a wide aggregate of guarded columns."""
+    inf = float("inf")
+    rows = [(1.0, None, None), (3.0, 2.0, None), (float("nan"), inf, float("nan")), (inf, -inf, None), (None, 4.0, -inf)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    filled = SEL.mean_filled(df, ["a", "b", "c"])
+    assert sorted(map(tuple, filled.collect())) == sorted([(1.0, 3.0, 0.0), (3.0, 2.0, 0.0), (2.0, 3.0, 0.0), (2.0, 3.0, 0.0), (2.0, 4.0, 0.0)])
+    assert SEL.mean_filled(df.limit(0), ["a", "b"]).count() == 0
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CASE WHEN" not in plan
