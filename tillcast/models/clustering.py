@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.clustering import GaussianMixture
+from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -69,14 +69,15 @@ def scale_pca(profile: DataFrame, cols, kept: float = VARIANCE_KEPT):
     return pca.transform(zv), pca, k
 
 
-def bic_table(data: DataFrame, d: int, k_values) -> list[tuple[int, float]]:
+def bic_table(data: DataFrame, d: int, k_values) -> list[tuple[int, float, GaussianMixtureModel]]:
+    """(k, BIC, fitted mixture) for every k."""
     n = data.count()
     out = []
     for k in k_values:
-        gm = GaussianMixture(featuresCol="pcs", k=k, seed=SEED).fit(data)
+        gm = GaussianMixture(featuresCol="pcs", k=k, seed=SEED, probabilityCol="prob").fit(data)
         ll = gm.summary.logLikelihood
         p = k * d + k * d * (d + 1) / 2 + (k - 1)
-        out.append((k, -2.0 * ll + p * math.log(n)))
+        out.append((k, -2.0 * ll + p * math.log(n), gm))
     return out
 
 
@@ -98,9 +99,11 @@ def fit_clusters(profile: DataFrame):
     pcs = cut_lineage(pcs)  # the mixtures iterate over it; one row per store
     n = pcs.count()
     ks = list(range(2, min(MAX_K + 1, n)))
-    bics = bic_table(pcs, d, ks)
+    fits = bic_table(pcs, d, ks)
+    bics = [(k, b) for k, b, _ in fits]
     k = choose_k(bics)
-    gm = GaussianMixture(featuresCol="pcs", k=k, seed=SEED, probabilityCol="prob").fit(pcs)
+    fitted = {j: g for j, _, g in fits}
+    gm = fitted[k] if k in fitted else GaussianMixture(featuresCol="pcs", k=k, seed=SEED, probabilityCol="prob").fit(pcs)
     return pcs, pca, gm, k, bics
 
 
