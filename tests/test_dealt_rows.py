@@ -23,3 +23,21 @@ def test_rollup_partitions_follow_the_line_items(spark, sf_dir, monkeypatch):
     n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() / 100
     assert sorted(tuple(r)[:-1] for r in got) == want
     assert len({r["_p"] for r in got}) > n / 2  # a few of n may be empty
+
+
+def test_window_partitions_follow_the_store_days(spark, sf_dir, monkeypatch):
+    from tillcast.plans import base, catalog
+
+    days = base.daily(spark, sf_dir).count()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    for name in ("interval_spread", "band_sort"):
+        query = catalog.queries()[name]
+        want = sorted(map(tuple, query(spark, sf_dir).collect()))
+        try:
+            with monkeypatch.context() as m:
+                _shuffles_of_two(spark, m, 100)
+                got = query(spark, sf_dir)
+                assert got.rdd.getNumPartitions() == -(-days // 100), name
+                assert sorted(map(tuple, got.collect())) == want, name
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)

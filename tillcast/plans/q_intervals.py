@@ -22,14 +22,14 @@ PP_SQL = f"""
 
 
 def pp(spark, sf_dir):
-    d = base.daily(spark, sf_dir)
+    d = base.daily_by_store(spark, sf_dir)
     d = d.withColumn("revenue_std", F.stddev_samp("revenue").over(W.wsd().rowsBetween(W.Window.unboundedPreceding, 0)))
     return I.past_predictions(d)
 
 
 @register("interval_spread", sql(f"{PP_SQL} SELECT store, date, revenue, p10, p50, p90 FROM pp"), dbl=PDBL)
 def q_interval_spread(spark, sf_dir):
-    d = base.daily(spark, sf_dir)
+    d = base.daily_by_store(spark, sf_dir)
     w = W.wsd().rowsBetween(-28, -1)
     from tillcast.functions.columns import xavg
     d = d.withColumn("p50", xavg("revenue", w)).withColumn("spread", F.stddev_samp("revenue").over(w))
