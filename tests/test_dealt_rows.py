@@ -30,7 +30,7 @@ def test_window_partitions_follow_the_store_days(spark, sf_dir, monkeypatch):
 
     days = base.daily(spark, sf_dir).count()
     old = spark.conf.get("spark.sql.shuffle.partitions")
-    for name in ("interval_spread", "band_sort"):
+    for name in ("interval_spread", "band_sort", "rolling_rank30", "median90", "store_baselines", "clean_matrix"):
         query = catalog.queries()[name]
         want = sorted(map(tuple, query(spark, sf_dir).collect()))
         try:

@@ -212,7 +212,7 @@ SELECT store, date, {XAVG('revenue', '(PARTITION BY store, month)')} AS store_mo
        {XAVG('revenue', '(PARTITION BY store, day_of_week)')} AS store_dayofweek_avg
 FROM daily"""), dbl="store_month_avg store_day_avg store_dayofweek_avg")
 def q_store_baselines(spark, sf_dir):
-    return _d(spark, sf_dir).transform(W.store_baselines).select(
+    return base.daily_by_store(spark, sf_dir).transform(W.store_baselines).select(
         "store", "date", "store_month_avg", "store_day_avg", "store_dayofweek_avg")
 
 
@@ -387,7 +387,7 @@ CORR_COLS = ["revenue", "qty_sold", "disc_value", "disc_perc", "store_area", "re
 SELECT split_part(k, '__', 1) AS feature_1, split_part(k, '__', 2) AS feature_2, r FROM u WHERE abs(r) > 0.8"""),
           dbl="r")
 def q_corr_pairs(spark, sf_dir):
-    d = _d(spark, sf_dir).transform(lambda x: W.lags(x, ns=(1,))).transform(lambda x: W.rolling_lagged(x, windows=(7,)))
+    d = base.daily_by_store(spark, sf_dir).transform(lambda x: W.lags(x, ns=(1,))).transform(lambda x: W.rolling_lagged(x, windows=(7,)))
     return R.corr_pairs(d, CORR_COLS)
 
 

@@ -60,7 +60,7 @@ SELECT store, date, CASE WHEN abs(p50 * (1 + day_of_week) - store_dayofweek_avg)
                          THEN store_dayofweek_avg * 0.5 + p50 * (1 + day_of_week) * 0.5 ELSE p50 * (1 + day_of_week) END AS p50 FROM ppf"""), dbl="p50")
 def q_model_vs_fallback(spark, sf_dir):
     """A prediction that grows with the weekday, blended with the weekday mean where it is far from it."""
-    d = base.daily(spark, sf_dir).transform(W.store_baselines)
+    d = base.daily_by_store(spark, sf_dir).transform(W.store_baselines)
     avg = d.select(*K, "store_dayofweek_avg")
     p = pp(spark, sf_dir).join(avg, K).withColumn("pred", F.col("p50") * (F.col("day_of_week") + 1))
     return I.model_vs_fallback(p, "pred", "store_dayofweek_avg").select(*K, "p50")
@@ -75,7 +75,7 @@ SELECT store, date, CAST(day_of_week IN (1, 2) OR f1 + f2 + f3 = 0 AS INTEGER) A
        CASE WHEN day_of_week IN (1, 2) OR f1 + f2 + f3 = 0 THEN store_dayofweek_avg ELSE p50 END AS p50 FROM f"""), dbl="p50")
 def q_fallback_sparse(spark, sf_dir):
     """Requests with zero features (Tuesdays) or mostly null ones (Wednesdays) take the fallback."""
-    avg = base.daily(spark, sf_dir).transform(W.store_baselines).select(*K, "store_dayofweek_avg")
+    avg = base.daily_by_store(spark, sf_dir).transform(W.store_baselines).select(*K, "store_dayofweek_avg")
     p = pp(spark, sf_dir).join(avg, K)
     dow, null = F.col("day_of_week"), F.lit(None).cast("double")
     p = p.withColumns({"f1": F.when(dow == 1, 0.0).otherwise(F.col("disc_perc")),
@@ -100,7 +100,7 @@ FROM a WINDOW f AS (PARTITION BY store ORDER BY date ROWS BETWEEN UNBOUNDED PREC
           dbl="revenue_lag_30 revenue_rolling_mean_7d discount_pct missing_feature month revenue_lag_7 store_dayofweek_avg store_month_avg")
 def q_anchor_features(spark, sf_dir):
     """Anchors that a pruned table lacks (the 7-row lag) are added as 0, those that it has stay; then the table is aligned."""
-    d = base.daily(spark, sf_dir).transform(lambda x: W.lags(x, ns=(30,))).transform(
+    d = base.daily_by_store(spark, sf_dir).transform(lambda x: W.lags(x, ns=(30,))).transform(
         lambda x: W.rolling_lagged(x, windows=(7,))).transform(W.store_baselines)
     d = d.withColumn("discount_pct", clip(F.col("disc_perc") / 100.0, 0.0, 1.0)).withColumn("extra_feature", F.lit(1.0))
     return T.align_features(T.anchor_features(d), [*ALIGN_EXPECTED, *(a for a in T.ANCHORS if a not in ALIGN_EXPECTED)])

@@ -199,7 +199,7 @@ def q_boxcox(spark, sf_dir):
 # Remaining interval rules ------------------------------------------------------------
 
 def _pp_with_yoy(spark, sf_dir):
-    d = base.daily(spark, sf_dir).transform(W.store_baselines)  # baselines over the whole history
+    d = base.daily_by_store(spark, sf_dir).transform(W.store_baselines)  # baselines over the whole history
     p = I.past_predictions(d)
     p = p.withColumn("discount_pct", clip(F.col("disc_perc") / 100.0, 0.0, 1.0))
     return L.yoy_fallback(p.drop("month", "day_of_week").withColumn("_m", F.month("date")), base.daily(spark, sf_dir)

@@ -210,7 +210,7 @@ CLEAN_COLS = ["revenue_day_over_day", "revenue_lag_30", "revenue_last_3_days_std
 
 def _raw_for_clean(spark, sf_dir):
     from tillcast.functions.columns import safe_div
-    d = base.daily(spark, sf_dir).transform(W.day_over_day).transform(lambda x: W.lags(x, ns=(30,))).transform(W.last3)
+    d = base.daily_by_store(spark, sf_dir).transform(W.day_over_day).transform(lambda x: W.lags(x, ns=(30,))).transform(W.last3)
     return d.withColumn("undefined_ratio", safe_div(F.col("disc_value"), F.col("revenue") - F.col("revenue")))
 
 
@@ -248,7 +248,7 @@ SELECT store, date,
 FROM a WINDOW f AS (PARTITION BY store ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""),
           dbl="revenue_lag_30 revenue_rolling_mean_7d discount_pct missing_feature month")
 def q_align_features(spark, sf_dir):
-    d = base.daily(spark, sf_dir).transform(lambda x: W.lags(x, ns=(30,))).transform(
+    d = base.daily_by_store(spark, sf_dir).transform(lambda x: W.lags(x, ns=(30,))).transform(
         lambda x: W.rolling_lagged(x, windows=(7,))).withColumn("discount_pct", clip(F.col("disc_perc") / 100.0, 0.0, 1.0))
     d = d.withColumn("extra_feature", F.lit(1.0))
     return T.align_features(T.anchor_features(d), ALIGN_EXPECTED)
@@ -320,7 +320,7 @@ RT_SQL = f"""
 @register("ratio_target", sql(f"{RT_SQL} SELECT store, date, target_ratio, target_log_ratio FROM rt2"),
           dbl="target_ratio target_log_ratio")
 def q_ratio_target(spark, sf_dir):
-    return base.daily(spark, sf_dir).transform(W.store_baselines).transform(T.ratio_target).select(
+    return base.daily_by_store(spark, sf_dir).transform(W.store_baselines).transform(T.ratio_target).select(
         *K, "target_ratio", "target_log_ratio")
 
 
@@ -329,7 +329,7 @@ SELECT store, date, COALESCE(CASE WHEN isinf(v) OR isnan(v) THEN NULL ELSE v END
 FROM (SELECT *, (exp(LEAST(GREATEST(target_log_ratio, -10.0), 10.0)) - 1) * store_dayofweek_avg AS v FROM rt2)"""),
           dbl="revenue_pred:4")
 def q_inverse_target(spark, sf_dir):
-    d = base.daily(spark, sf_dir).transform(W.store_baselines).transform(T.ratio_target)
+    d = base.daily_by_store(spark, sf_dir).transform(W.store_baselines).transform(T.ratio_target)
     return T.inverse_target(d, "target_log_ratio").select(*K, "revenue_pred")
 
 
