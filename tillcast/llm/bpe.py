@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillcast.llm.common import lean
+
 #: Short pre-tokens whose ids a worker remembers (two generations of this many), and what counts as short.
 MEMO_ENTRIES = 500_000
 MEMO_CHARS = 64
@@ -168,7 +170,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "ids"])
 
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, ids array<bigint>")
+    return src.mapInArrow(lean(run), f"id {src.schema['id'].dataType.simpleString()}, ids array<bigint>")
 
 
 def decode(df: DataFrame, id_col: str = "id", ids_col: str = "ids", path: str | None = None,
@@ -183,7 +185,7 @@ def decode(df: DataFrame, id_col: str = "id", ids_col: str = "ids", path: str |
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "data"])
 
     src = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, data binary")
+    return src.mapInArrow(lean(run), f"id {src.schema['id'].dataType.simpleString()}, data binary")
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
@@ -206,4 +208,4 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], names)
 
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return src.mapInArrow(lean(run), f"id {src.schema['id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillcast.llm.common import LOWER, crc_fold, held_out, text_buffers, uniform
+from tillcast.llm.common import LOWER, crc_fold, hand_back, held_out, lean, text_buffers, uniform
 
 CELLS = 4096
 ORDERS = (1, 2, 3)
@@ -169,7 +169,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             yield pa.RecordBatch.from_arrays([pa.array([profile(t).astype(np.float32).tobytes() for t, _ in keep], pa.binary()),
                                               pa.array([c for _, c in keep], pa.string())], ["x", "lang"])
 
-    sample = src.where(uniform("lang", F.col("id")) < share).select("text", "lang").mapInArrow(profiles, "x binary, lang string")
+    sample = src.where(uniform("lang", F.col("id")) < share).select("text", "lang").mapInArrow(lean(profiles), "x binary, lang string")
     rows = sorted((r["lang"], bytes(r["x"])) for r in sample.collect())
     if not rows:
         return None
@@ -192,6 +192,7 @@ def predictor(model: Model | None):
             pred, s = model.predict(model.margins(buf, off))
             lang[row : row + n] = np.where(known, pred, UNKNOWN)
             score[row : row + n] = np.where(known, s, 0.0)
+        hand_back()  # this worker may be idle from here on
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
     return predict

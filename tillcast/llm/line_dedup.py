@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillcast.llm.common import (LOWER, U64, SpanHash, bloom, bloom_has, cell_blocks, materialize, mix64, signed,
+from tillcast.llm.common import (LOWER, U64, SpanHash, bloom, bloom_has, cell_blocks, lean, materialize, mix64, signed,
                                  sum_cells, text_buffers, word_spans)
 from tillcast.llm.components import components
 
@@ -107,7 +107,7 @@ def word_classes(df: DataFrame, text_col: str) -> np.ndarray:
                 np.add.at(total, (SpanHash(LOWER[buf])(start, end) & U64(CELLS - 1)).astype(np.int64), 1)
         yield cell_blocks(total)
 
-    parts = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "block int, data binary")
+    parts = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lean(count), "block int, data binary")
     return np.floor(2 * np.log2(1 + sum_cells(parts, CELLS).astype(float))).clip(0, 63).astype(np.uint8)
 
 
@@ -146,7 +146,7 @@ def lines_table(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray,
 
     src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("xx", F.xxhash64("text"))
     wide = ", ".join(f"{w} bigint" for w in WIDE)
-    out = src.mapInArrow(run, f"rid bigint, id bigint, xx bigint, line int, h bigint, size int, bits bigint, {wide}, prefix array<bigint>")
+    out = src.mapInArrow(lean(run), f"rid bigint, id bigint, xx bigint, line int, h bigint, size int, bits bigint, {wide}, prefix array<bigint>")
     return materialize(out.withColumn("doc", F.coalesce("id", F.lit(_LAST))), "lines")
 
 
@@ -234,7 +234,7 @@ def _row_bloom(rows: DataFrame) -> np.ndarray:
             h, doc, line = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             yield pa.RecordBatch.from_arrays([signed(np.concatenate([_tag(h, doc, line), mix64(np.unique(doc))]))], ["tag"])
 
-    return bloom(rows.select("h", "doc", "line").mapInArrow(tags, "tag bigint"), "tag", 2 * rows.count())
+    return bloom(rows.select("h", "doc", "line").mapInArrow(lean(tags), "tag bigint"), "tag", 2 * rows.count())
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray, needed: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def _sets(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray, needed
                 yield pa.RecordBatch.from_arrays([signed(h[hit]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), signed(word[take]))], ["h", "set"])
 
     src = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "h bigint, set array<bigint>")
+    return src.mapInArrow(lean(run), "h bigint, set array<bigint>")
 
 
 def _compare(cross, mine, h, doc, line, n, words, size, similar):
@@ -349,7 +349,7 @@ def _verified(rows: DataFrame, similar) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = ["key", "i", "j"]
     rows = rows.select(*by, "mine", "h", "doc", "line", "n", "set").repartition(parts, *by).sortWithinPartitions(*by)
-    return materialize(rows.mapInArrow(run, "h bigint, near bigint, gone boolean, b bigint"), "links")
+    return materialize(rows.mapInArrow(lean(run), "h bigint, near bigint, gone boolean, b bigint"), "links")
 
 
 def _join_spread(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
@@ -374,7 +374,7 @@ def _links(df: DataFrame, id_col: str, text_col: str, similar) -> tuple[DataFram
 
     def bucket_edges(rows, tag):
         rows = rows.repartition(parts, "key").sortWithinPartitions("key")
-        return materialize(rows.mapInArrow(_candidates(similar), "a bigint, b bigint").distinct(), tag)
+        return materialize(rows.mapInArrow(lean(_candidates(similar)), "a bigint, b bigint").distinct(), tag)
 
     edges = bucket_edges(rows.where(~hot), "buckets")
     frequent = materialize(rows.where(hot).groupBy("key", "h").agg(*[F.first(c).alias(c) for c in ROWS[2:]]), "frequent")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillcast.llm.common import LOWER, U64, SpanHash, bloom, bloom_has, materialize, mix64, signed, text_buffers, word_spans
+from tillcast.llm.common import LOWER, U64, SpanHash, bloom, bloom_has, lean, materialize, mix64, signed, text_buffers, word_spans
 from tillcast.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -130,7 +130,7 @@ def signed_table(df: DataFrame, id_col: str, text_col: str, width: int) -> DataF
                     ["doc", "xx", "n", "h1", "h2", "tag", "bands", "sig"])
 
     src = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("xx", F.xxhash64("text"))
-    out = src.mapInArrow(run, "doc bigint, xx bigint, n bigint, h1 bigint, h2 bigint, tag bigint, bands array<bigint>, sig binary")
+    out = src.mapInArrow(lean(run), "doc bigint, xx bigint, n bigint, h1 bigint, h2 bigint, tag bigint, bands array<bigint>, sig binary")
     return materialize(out.withColumn("rid", F.monotonically_increasing_id()), "signatures")
 
 
@@ -152,7 +152,7 @@ def _sets(df: DataFrame, id_col: str, text_col: str, width: int, needed: DataFra
                     yield pa.RecordBatch.from_arrays([signed(h1[hit]), signed(h2[hit]), _lists(x[keep], ends)], ["h1", "h2", "set"])
 
     src = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    got = src.mapInArrow(run, "h1 bigint, h2 bigint, set array<bigint>")
+    got = src.mapInArrow(lean(run), "h1 bigint, h2 bigint, set array<bigint>")
     return materialize(got.join(needed.select("id", "h1", "h2"), ["h1", "h2"]).select("id", "set"), "sets")
 
 
@@ -225,7 +225,7 @@ def _cross_links(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a bigint, b bigint")
+    return dealt.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
