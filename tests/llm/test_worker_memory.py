@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from tillcast.llm import common
+from tillcast.llm import common, line_dedup
 
 
 def _resident_mb():
@@ -37,3 +37,15 @@ def test_memory_is_handed_back_when_the_reader_stops_early(monkeypatch):
     assert next(rows) == 1 and not seen
     rows.close()
     assert seen == [1]
+
+
+def test_a_task_of_the_bloom_filter_has_one_worker(spark, monkeypatch):
+    """Every step of a chain of Python operators takes a worker of its own, and executors keep them."""
+    rows = spark.createDataFrame([(i, i % 7, i % 3) for i in range(50)], "h bigint, doc bigint, line int")
+    plans, fold = [], common._fold_cells
+    monkeypatch.setattr(common, "_fold_cells", lambda parts, *a: plans.append(parts._jdf.queryExecution().executedPlan().toString()) or fold(parts, *a))
+    bits = line_dedup._row_bloom(rows)
+    assert [p.count("MapInArrow") for p in plans] == [1]
+    h, doc, line = (np.array([r[k] for r in rows.collect()]) for k in range(3))
+    assert common.bloom_has(bits, line_dedup._tag(h, doc, line)).all() and common.bloom_has(bits, common.mix64(np.arange(7))).all()
+    assert not common.bloom_has(bits, common.mix64(np.arange(1000, 1100))).any()

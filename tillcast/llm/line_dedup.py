@@ -229,12 +229,10 @@ def _candidates(similar):
 def _row_bloom(rows: DataFrame) -> np.ndarray:
     """Bloom filter (see common.bloom) of the rows' sets at their lines and of the ids of their texts."""
 
-    def tags(batches):
-        for b in batches:
-            h, doc, line = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            yield pa.RecordBatch.from_arrays([signed(np.concatenate([_tag(h, doc, line), mix64(np.unique(doc))]))], ["tag"])
+    def tags(h, doc, line):
+        return np.concatenate([_tag(h, doc, line), mix64(np.unique(doc))])
 
-    return bloom(rows.select("h", "doc", "line").mapInArrow(lean(tags), "tag bigint"), "tag", 2 * rows.count())
+    return bloom(rows.select("h", "doc", "line"), 2 * rows.count(), tags)
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray, needed: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ def signed_table(df: DataFrame, id_col: str, text_col: str, width: int) -> DataF
 def _sets(df: DataFrame, id_col: str, text_col: str, width: int, needed: DataFrame) -> DataFrame:
     """(id, n, set) for ``needed`` (id, h1, h2, tag): texts are read again, and only rows whose tag passes a
     fixed-size Bloom filter leave the task; the join drops what it lets through wrongly."""
-    bits = bloom(needed, "tag")
+    bits = bloom(needed.select("tag"))
 
     def run(batches):
         for b in batches:
