@@ -289,3 +289,43 @@ def test_pipeline_stages(spark, docs, empty, sf_dir):
             assert d.columns == stages.COLUMNS
         ids = {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, d, sf_dir).collect()}
     assert not ids
+
+
+def test_stars():
+    rng = random.Random(4)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(300, 400)]
+    a, b = components.stars(*(np.array([x[k] for x in links]) for k in range(2)))
+    low = reach(401, links)
+    assert dict(zip(a.tolist(), b.tolist())) == {v: low[v] for v in range(401) if low[v] != v}
+    assert len(components.stars(np.zeros(0, np.int64), np.zeros(0, np.int64))[0]) == 0
+
+
+def test_components_of_paths_and_hubs(spark, monkeypatch):
+    """Rounds that a task ends before it has seen all its edges; no vertex's degree shows in the rows of a larger end."""
+    monkeypatch.setattr(components, "EDGES", 3)
+    links = [(i, i + 1) for i in range(40)] + [(500 + i * 37 % 60, 500 + (i + 1) * 37 % 60) for i in range(59)] + [(1000, 1001 + i) for i in range(80)] + [(1040, 5)]
+    got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    low = reach(1100, links)
+    assert got == {v: low[v] for e in links for v in e}
+
+
+def _bucket_rows():
+    """Three sets, one of them twice, with two words in common; words of one slot and of another."""
+    h, size, pos = [5, 6, 7, 5], [10, 10, 60, 10], [0, 0, 0, 0]
+    words = [[11, 12, 13], [11, 12], [11, 14], [11, 12, 13]]
+    wide = [[0, 0, 9, 0]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h, size, [1, 1, 3, 1], *wide, pos)] + [pa.array(words, pa.list_(pa.int64()))],
+                                      ["h", "size", "bits", *line_dedup.WIDE, "pos", "words"])
+
+
+def test_bucket_rows_travel_by_slot_and_once():
+    """A row a slot and not a row a word; a set that a task sees again adds none."""
+    batches = list(line_dedup._packed(2)(iter([_bucket_rows()])))
+    rows = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)))]
+    assert [(s, n) for s, n, _ in rows] == [(0, 3), (1, 4)]
+    cols = [np.concatenate(x) for x in zip(*(line_dedup._unpacked(n, memoryview(d)) for _, n, d in rows))]
+    got = {(k, h): (size, pos, bits, w) for k, h, size, pos, bits, w, *_ in zip(*(c.tolist() for c in cols))}
+    assert got == {(11, 5): (10, 0, 1, 0), (12, 5): (10, 1, 1, 0), (13, 5): (10, 2, 1, 0), (11, 6): (10, 0, 1, 0), (12, 6): (10, 1, 1, 0),
+                   (11, 7): (60, 0, 3, 9), (14, 7): (60, 1, 3, 9)}
+    edges = [e for b in line_dedup._candidates((80, 100))(iter(batches)) for e in zip(*(b.column(k).to_pylist() for k in range(2)))]
+    assert edges == [(6, 5)]

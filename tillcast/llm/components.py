@@ -1,41 +1,70 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Nothing but two numbers per round reaches the driver.  Minima are taken with map-side combining, and the
-joins that follow read written tables, so adaptive execution can split the rows of a hub vertex.
+The small-star step is done by tasks that hold all edges of their larger ends: what hangs together in a task becomes one
+star, which is at least as much.  So a larger end has an edge a task at most, whatever its degree, and no task holds a
+hub; the large-star step joins written tables, so adaptive execution can split the rows of one.  Nothing but two flags
+per round reaches the driver.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillcast.llm.common import materialize
+from tillcast.llm.common import lean, materialize
 
+#: Edges that a task makes into stars at once.
+EDGES = 1 << 20
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], r["h"]
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (v, smallest id of its component) that connect what the edges (a, b) connect."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = low < high
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    v = np.flatnonzero(root < np.arange(len(ids)))
+    return ids[v], ids[root[v]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Stars (see ``stars``) of the edges in each task, which has all those of a larger end ``a``."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)])
+            n += batch.num_rows
+            if n >= EDGES:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(*map(np.concatenate, zip(*held)))], ["a", "b"])
+                held, n = [], 0
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(*map(np.concatenate, zip(*held)))], ["a", "b"])
+
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(edges.select("a", "b").repartition(parts, "a").mapInArrow(lean(run), "a bigint, b bigint"), "edges")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every vertex of ``edges`` (a, b: bigint); component is the smallest id reachable.
 
     Null ends and loops are ignored; repeated edges count once; an empty table gives an empty one."""
-    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = _state(e)
-    while before[0]:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")), "low")
-        large = (both.join(low, "a").where("b > a")
-                 .select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
+    e = _contracted(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    while True:
+        low = materialize(e.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "low")
+        large = e.join(low.select(F.col("a").alias("b"), "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved"))
         large = materialize(large, "large")
-        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
-        small = large.join(low, "a").select(F.explode(F.array(
-            F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        e = materialize(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
-        after = _state(e)
-        if after == before:
+        # Stars only: every vertex has one edge to a smaller one, which has none.
+        if not (low.agg(F.max("n")).first()[0] or 0) > 1 and not large.agg(F.max("moved")).first()[0]:
             break
-        before = after
+        e = _contracted(large)
     leaves = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return leaves.unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

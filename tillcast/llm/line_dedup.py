@@ -5,8 +5,9 @@ sets with Jaccard similarity t share a word in their prefixes of |x| − ⌈t|x|
 t at most, the positions of the shared word bound their overlap, and so do parity bitmaps: a word flips one bit,
 and two sets differ in at least as many words as their bitmaps do in bits.
 
-Sets that share a prefix word meet in a bucket, which holds sizes, positions and bitmaps only.  A bucket sends on
-a spanning forest of the pairs that pass all filters.  Sets that hang together by such pairs form a cluster, so a
+Sets that share a prefix word meet in a bucket, which holds sizes, positions and bitmaps only.  Words are dealt into
+slots of some SLOT_ROWS rows, and what a task has for a slot travels as one row, so that Spark shuffles few rows.  Buckets
+send on a spanning forest of the pairs that pass all filters.  Sets that hang together by such pairs form a cluster, so a
 similar pair is always within one.  The clusters' sets are read again from the texts and dealt into blocks; a task
 compares two blocks, verifies the pairs that the bitmaps allow on the full sets, each pair in one task, and returns
 a row a set (weight of its links, whether an earlier line is among them) and a spanning forest, never its pairs.
@@ -27,13 +28,16 @@ from pyspark.sql import functions as F
 
 from tillcast.llm.common import (LOWER, U64, SpanHash, bloom, bloom_has, cell_blocks, lean, materialize, mix64, signed,
                                  sum_cells, text_buffers, word_spans)
-from tillcast.llm.components import components
+from tillcast.llm.components import components, stars
 
 CELLS = 1 << 20
 SIMILAR = (80, 100)
 #: Rows that a task compares at once, and sets of one word that it holds.
 CHUNK = 200_000
 LARGE = 4096
+#: Bucket rows of a slot in expectation, and those that a task sorts by slot at once.
+SLOT_ROWS = 50_000
+SORTED_ROWS = 500_000
 #: Words (in all sets together) that a block of a cluster holds in expectation.
 BLOCK_WORDS = 1 << 18
 #: Words with at least 2^(HOT_CLASS / 2) − 1 occurrences (by the table) go the way of frequent words.
@@ -47,6 +51,7 @@ FOLDED_SIZE, WIDE_SIZE = 48, 192
 #: A key with more than this share of a table's rows is joined by broadcast: at most 1,000 keys have it.
 HOT_SHARE = 1000
 ROWS = ["key", "h", "size", "pos", "bits", *WIDE]
+PACKED = ["h", "size", "bits", *WIDE]
 
 
 def need(size, num: int, den: int):
@@ -116,9 +121,9 @@ def _tag(h, doc, line):
 
 
 def lines_table(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray, similar) -> DataFrame:
-    """(rid, id, xx, doc, line, h, size, bits, w0 …, prefix): one row per line that has a word, and one with line −1 per
+    """(rid, id, xx, doc, line, h, size, bits, w0 …, prefix, hot): one row per line that has a word, and one with line −1 per
     text that has none.  rid numbers the texts; doc is the id with null last; prefix is empty where no
-    different set can be similar."""
+    different set can be similar, and its frequent words, the last ones, are in ``hot`` instead."""
     num, den = similar
 
     def run(batches):
@@ -131,7 +136,9 @@ def lines_table(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray,
                 prefix = np.where(size * den >= (size + 1) * num, prefix, 0)  # a larger set can match
                 none = np.flatnonzero(np.bincount(text, minlength=m) == 0)
                 ends = np.concatenate([[0], np.cumsum(prefix)])
-                take = np.arange(ends[-1]) + np.repeat(first - ends[:-1], prefix)
+                taken = word[np.arange(ends[-1]) + np.repeat(first - ends[:-1], prefix)]
+                hot = (taken >> U64(_HASH_BITS)) >= U64(HOT_CLASS)
+                hot_ends = np.concatenate([[0], np.cumsum(hot)])[ends]
                 of = np.concatenate([text, none])
                 pad = np.zeros(len(none), np.int64)
                 ids = b.column(0).slice(row, m).take(pa.array(of))
@@ -140,13 +147,14 @@ def lines_table(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray,
                     pa.array(rid + of), ids, b.column(2).slice(row, m).take(pa.array(of)), pa.array(np.concatenate([number, pad - 1]).astype(np.int32)),
                     signed(np.concatenate([h, pad.astype(U64)])), pa.array(np.concatenate([size, pad]).astype(np.int32)),
                     signed(np.concatenate([bits, pad.astype(U64)])), *wide,
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([ends, pad + ends[-1]]).astype(np.int32)), signed(word[take]))],
-                    ["rid", "id", "xx", "line", "h", "size", "bits", *WIDE, "prefix"])
+                    *[pa.ListArray.from_arrays(pa.array(np.concatenate([at, pad + at[-1]]).astype(np.int32)), signed(taken[mine]))
+                      for at, mine in ((ends - hot_ends, ~hot), (hot_ends, hot))]],
+                    ["rid", "id", "xx", "line", "h", "size", "bits", *WIDE, "prefix", "hot"])
                 rid += m
 
     src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("xx", F.xxhash64("text"))
     wide = ", ".join(f"{w} bigint" for w in WIDE)
-    out = src.mapInArrow(lean(run), f"rid bigint, id bigint, xx bigint, line int, h bigint, size int, bits bigint, {wide}, prefix array<bigint>")
+    out = src.mapInArrow(lean(run), f"rid bigint, id bigint, xx bigint, line int, h bigint, size int, bits bigint, {wide}, prefix array<bigint>, hot array<bigint>")
     return materialize(out.withColumn("doc", F.coalesce("id", F.lit(_LAST))), "lines")
 
 
@@ -157,8 +165,65 @@ def _differ(a: list[np.ndarray], b: list[np.ndarray], small: np.ndarray) -> np.n
     return np.where(small >= WIDE_SIZE, whole, np.bitwise_count(x[0] ^ x[2]).astype(np.int64) + np.bitwise_count(x[1] ^ x[3]))
 
 
+def _packed(slots: int):
+    """Over rows (PACKED) of sets with words from a position on: (slot, n, data), the rows (ROWS) of a slot's words one column
+    after the other.  A set that a task sees again is left out, and so are the wide bitmaps of sets that have none."""
+
+    def pack(cols, words, ends):
+        h, size, bits, wide, pos = cols[0], cols[1], cols[2], cols[3:7], cols[7]
+        # Rows of a set have the same words, or different ones only.
+        _, new = np.unique(mix64(words[ends[:-1]].view(U64) + mix64(h.view(U64))), return_index=True)
+        n = np.diff(ends)[new]
+        of = np.repeat(new, n)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        words = words[ends[of] + nth]
+        slot = ((words.view(U64) & _MASK) % U64(slots)).astype(np.int64)
+        order = np.argsort(slot)
+        slot, of = slot[order], of[order]
+        cols = [words[order], h[of], bits[of], size[of].astype(np.int32), (pos[of] + nth[order]).astype(np.int32)]
+        some = size[of] >= FOLDED_SIZE
+        wide = [w[of[some]] for w in wide]
+        before = np.concatenate([[0], np.cumsum(some)])
+        first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+        stop = np.r_[first[1:], len(slot)]
+        data = [b"".join([*[c[i:j].tobytes() for c in cols], *[w[before[i] : before[j]].tobytes() for w in wide]]) for i, j in zip(first.tolist(), stop.tolist())]
+        out = pa.RecordBatch.from_arrays([pa.array(slot[first]), pa.array(stop - first), pa.array(data, pa.binary())], ["slot", "n", "data"])
+        return [out.slice(i, 64) for i in range(0, len(first), 64)]
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            ends = b.column(8).offsets.to_numpy()
+            held.append(([b.column(k).to_numpy(zero_copy_only=False) for k in range(8)], b.column(8).values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], np.diff(ends)))
+            n += int(ends[-1] - ends[0])
+            if n >= SORTED_ROWS:
+                yield from flush(held)
+                held, n = [], 0
+        if n:
+            yield from flush(held)
+
+    def flush(held):
+        cols, words, sizes = zip(*held)
+        return pack([np.concatenate(x) for x in zip(*cols)], np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
+
+    return run
+
+
+def _unpacked(n: int, data: memoryview) -> list[np.ndarray]:
+    """The columns (ROWS) of a row of ``_packed``."""
+    cols, at = [], 0
+    for kind in (np.int64, np.int64, np.int64, np.int32, np.int32):
+        cols.append(np.frombuffer(data, kind, n, at))
+        at += cols[-1].nbytes
+    key, h, bits, size, pos = cols
+    some = size >= FOLDED_SIZE
+    wide = np.zeros((len(WIDE), n), np.int64)
+    wide[:, some] = np.frombuffer(data, np.int64, offset=at).reshape(len(WIDE), -1)
+    return [key, h, size, pos, bits, *wide]
+
+
 def _candidates(similar):
-    """Over rows (ROWS) sorted by key: edges (a, b) that span, in each key's bucket, the pairs that pass the filters."""
+    """Over rows of ``_packed`` sorted by slot: edges (a, b) that span, in each key's bucket, the pairs that pass the filters."""
     num, den = similar
 
     def solve(cols):
@@ -170,7 +235,8 @@ def _candidates(similar):
         size, pos = size.astype(np.int64), pos.astype(np.int64)
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         before = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
-        root = np.arange(len(key))
+        ids, of = np.unique(h, return_inverse=True)
+        root = np.arange(len(ids))  # of sets, not rows: what one bucket has connected is not compared in the next
         left, right = [], []
         j, k = np.flatnonzero(before >= 1), 1
         while len(j):
@@ -180,11 +246,11 @@ def _candidates(similar):
             both = size[i] + size[j]
             ok = np.minimum(size[i] - pos[i], size[j] - pos[j]) * (num + den) >= both * num
             ok &= np.bitwise_count((bits[i] ^ bits[j]).view(U64)).astype(np.int64) * (num + den) <= both * (den - num)
-            ok &= root[i] != root[j]
+            ok &= root[of[i]] != root[of[j]]
             x, y = i[ok], j[ok]
             fits = _differ([w[x] for w in wide], [w[y] for w in wide], size[x]) * (num + den) <= (size[x] + size[y]) * (den - num)
             x, y = x[fits | (size[x] < FOLDED_SIZE)], y[fits | (size[x] < FOLDED_SIZE)]
-            for p, q in zip(x.tolist(), y.tolist()):
+            for p, q in zip(of[x].tolist(), of[y].tolist()):
                 a, b = p, q
                 while root[a] != a:
                     a = root[a]
@@ -192,36 +258,35 @@ def _candidates(similar):
                     b = root[b]
                 if a != b:
                     root[max(a, b)] = min(a, b)
-                    left.append(p)
-                    right.append(q)
+                    left.append(a)
+                    right.append(b)
             while len(x) and (root[root] != root).any():
                 root = root[root]
             k += 1
             j = j[before[j] >= k]
-        return h[np.array(left, int)], h[np.array(right, int)]
+        return stars(ids[np.array(left, int)], ids[np.array(right, int)])
 
-    def emit(cols):
-        key = cols[0]
+    def emit(held):
+        cols = [np.concatenate(x) for x in zip(*(_unpacked(*x) for x in held))]
+        order = np.argsort(cols[0])
+        key = cols[0][order]
         same = key[1:] == key[:-1]
-        pair = np.r_[same, False] | np.r_[False, same] if len(key) else np.zeros(0, bool)
-        if pair.any():
-            a, b = solve([x[pair] for x in cols])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        pair = order[np.r_[same, False] | np.r_[False, same]]
+        a, b = solve([x[pair] for x in cols])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches):
-        held, n = [], 0
-        for b in batches:
-            if b.num_rows:
-                held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
-                n += b.num_rows
-            if n >= CHUNK:
-                cols = [np.concatenate(x) for x in zip(*held)]
-                cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last bucket may go on
-                yield from emit([x[:cut] for x in cols])
-                held = [[x[cut:] for x in cols]]
-                n = len(held[0][0]) if cut else 0  # a bucket above CHUNK: look again after as many rows
+        held, n, last = [], 0, None
+        for batch in batches:
+            for slot, m, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if n >= CHUNK and slot != last:
+                    yield emit(held)
+                    held, n = [], 0
+                last = slot
+                held.append((m, memoryview(data.as_buffer())))
+                n += m
         if held:
-            yield from emit([np.concatenate(x) for x in zip(*held)])
+            yield emit(held)
 
     return run
 
@@ -259,7 +324,7 @@ def _sets(df: DataFrame, id_col: str, text_col: str, classes: np.ndarray, needed
 
 def _compare(cross, mine, h, doc, line, n, words, size, similar):
     """Links among the sets of one unit, ``cross``: between its two blocks, else in its one.  Returns per linked set the weight of its
-    links and whether an earlier line is among them, and edges that span the links."""
+    links and whether an earlier line is among them, and edges that span the links, from each set to the smallest it hangs with."""
     num, den = similar
     order = np.lexsort((h, size))
     start = (np.cumsum(size) - size)[order]
@@ -272,7 +337,7 @@ def _compare(cross, mine, h, doc, line, n, words, size, similar):
     rank = np.empty(len(h), np.int64)
     rank[np.lexsort((h, line, doc))] = np.arange(len(h))
     near, gone, label = np.zeros(len(h), np.int64), np.zeros(len(h), bool), np.arange(len(h))
-    a, b = [], []
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     mark = np.zeros(int(word.max()) + 1, bool)
     stop = np.searchsorted(size, size * den // num, "right")
     for p in range(len(h) - 1):
@@ -301,11 +366,11 @@ def _compare(cross, mine, h, doc, line, n, words, size, similar):
         new = q[label[q] != label[p]]
         if len(new):
             found, at = np.unique(label[new], return_index=True)
-            a += [h[p]] * len(at)
-            b += h[new[at]].tolist()
+            a.append(np.repeat(h[p], len(at)))
+            b.append(h[new[at]])
             label[np.isin(label, found)] = label[p]
     some = near > 0
-    return h[some], near[some], gone[some], a, b
+    return h[some], near[some], gone[some], *stars(np.concatenate(a), np.concatenate(b))
 
 
 def _verified(rows: DataFrame, similar) -> DataFrame:
@@ -323,8 +388,8 @@ def _verified(rows: DataFrame, similar) -> DataFrame:
                 k, m = len(h), len(a)
                 flag = np.arange(k + m) >= k
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([h, np.array(a, np.int64)])), pa.array(np.concatenate([near, np.zeros(m, np.int64)])),
-                     pa.array(np.concatenate([gone, np.zeros(m, bool)])), pa.array(np.concatenate([np.zeros(k, np.int64), np.array(b, np.int64)]), mask=~flag)],
+                    [pa.array(np.concatenate([h, a])), pa.array(np.concatenate([near, np.zeros(m, np.int64)])),
+                     pa.array(np.concatenate([gone, np.zeros(m, bool)])), pa.array(np.concatenate([np.zeros(k, np.int64), b]), mask=~flag)],
                     ["h", "near", "gone", "b"])
 
         for batch in batches:
@@ -366,23 +431,27 @@ def _links(df: DataFrame, id_col: str, text_col: str, similar) -> tuple[DataFram
     (h, near, gone, b) as in ``_verified``."""
     classes = word_classes(df, text_col)
     table = lines_table(df, id_col, text_col, classes, similar)
-    rows = table.select("h", "size", "bits", *WIDE, F.posexplode("prefix").alias("pos", "key")).select(*ROWS)
-    hot = F.shiftright("key", _HASH_BITS) >= HOT_CLASS
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def bucket_edges(rows, tag):
-        rows = rows.repartition(parts, "key").sortWithinPartitions("key")
-        return materialize(rows.mapInArrow(lean(_candidates(similar)), "a bigint, b bigint").distinct(), tag)
-
-    edges = bucket_edges(rows.where(~hot), "buckets")
-    frequent = materialize(rows.where(hot).groupBy("key", "h").agg(*[F.first(c).alias(c) for c in ROWS[2:]]), "frequent")
+    # Frequent words: a row a set, and for those with more than LARGE sets a row for each pair of blocks.
+    hot = table.where(F.size("hot") > 0).select("h", "size", "bits", *WIDE, F.size("prefix").alias("from"), F.posexplode("hot").alias("at", "key"))
+    hot = hot.withColumn("pos", F.col("from") + F.col("at"))
+    frequent = materialize(hot.groupBy("key", "h").agg(*[F.first(c).alias(c) for c in ROWS[2:]]), "frequent")
     counts = materialize(frequent.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "frequent-words")
-    edges = edges.unionByName(bucket_edges(frequent.join(counts.where(F.col("sets") <= LARGE).select("key"), "key", "left_semi"), "frequent-buckets"))
+    few = frequent.join(counts.where(F.col("sets") <= LARGE).select("key"), "key", "left_semi")
     large = counts.where(F.col("sets") > LARGE).withColumn("blocks", F.ceil(F.col("sets") / LARGE).cast("int"))
     dealt = _join_spread(frequent, large, "key", "sets", frequent.count()).withColumn("mine", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("mine <> other")
     dealt = dealt.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
-    edges = edges.unionByName(bucket_edges(dealt.select(*ROWS), "large-buckets"))
+
+    rows = table.where(F.size("prefix") > 0).select(*PACKED, F.lit(0).alias("pos"), F.col("prefix").alias("words"))
+    for more in (few, dealt):
+        rows = rows.unionByName(more.select(*PACKED, "pos", F.array("key").alias("words")))
+    num, den = similar
+    total = table.agg(F.sum(F.col("size") * ((den - num) / den) + 1)).first()[0] or 0
+    packed = rows.mapInArrow(lean(_packed(max(parts, int(total / SLOT_ROWS)))), "slot bigint, n bigint, data binary")
+    packed = packed.repartitionById(parts, F.pmod("slot", F.lit(parts)).cast("int")).sortWithinPartitions("slot")
+    edges = materialize(packed.mapInArrow(lean(_candidates(similar)), "a bigint, b bigint"), "buckets")
 
     sets = table.where("size > 0").groupBy("h").agg(F.min(F.struct("doc", "line")).alias("o"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
     sets = materialize(sets, "copies")
